@@ -68,3 +68,42 @@ QUERIES.update({
     "owner_recent_bookings_confirmed": lambda s, d: R.owner_recent_bookings(T(s, d), confirmed_only=True),
     "primary_image": lambda s, d: R.primary_image(T(s, d)),
 })
+
+# ---- listings, search, intervals ------------------------------------------
+from slotwise.operators import intervals as I  # noqa: E402
+from slotwise.operators import listings as L  # noqa: E402
+from slotwise.operators import search as S  # noqa: E402
+
+SLOT_DAY = "2001-06-15"
+
+QUERIES.update({
+    "recent_bookings": lambda s, d: L.recent_bookings(T(s, d)),
+    "pending_courts": lambda s, d: L.pending_courts(T(s, d)),
+    "admin_courts": lambda s, d: L.admin_courts(T(s, d)),
+    "admin_bookings": lambda s, d: L.admin_bookings(T(s, d)),
+    "payout_list": lambda s, d: L.payout_list(T(s, d)),
+    "user_bookings": lambda s, d: L.user_bookings(T(s, d)),
+    "user_bookings_detail": lambda s, d: L.user_bookings(T(s, d), detail=True),
+    "owner_bookings": lambda s, d: L.owner_bookings(T(s, d)),
+    "owned_courts": lambda s, d: L.owned_courts(T(s, d)),
+    "promotion_list": lambda s, d: L.promotion_list(T(s, d)),
+    "promotion_target_users": lambda s, d: L.promotion_target_users(T(s, d)),
+    "court_reviews_latest": lambda s, d: L.court_reviews_latest(T(s, d)),
+    "court_images_nested": lambda s, d: L.court_images_nested(T(s, d)),
+    "court_search": lambda s, d: S.court_search(T(s, d)),
+    "court_search_filtered": lambda s, d: S.court_search(T(s, d), location="asia", has_ac=True,
+                                                         indoor_outdoor="indoor"),
+    "court_search_type": lambda s, d: S.court_search(T(s, d), location="Brand#1", court_type="cement",
+                                                     has_food=True),
+    "owner_court_search": lambda s, d: S.owner_court_search(T(s, d)),
+    "owner_court_search_filtered": lambda s, d: S.owner_court_search(T(s, d), location="GEAR", court_type="synthetic",
+                                                                     has_ac=True),
+    "visible_courts": lambda s, d: S.visible_courts(T(s, d)),
+    "visible_courts_active": lambda s, d: S.visible_courts(T(s, d), require_approved=False),
+    "users_by_role": lambda s, d: S.users_by_role(T(s, d)),
+    "users_by_role_owner": lambda s, d: S.users_by_role(T(s, d), role="owner"),
+    "owner_profile_complete": lambda s, d: S.owner_profile_complete(T(s, d)),
+    "available_slots": lambda s, d: I.available_slots(T(s, d), SLOT_DAY),
+    "booking_conflicts": lambda s, d: I.booking_conflicts(T(s, d)),
+    "booking_conflicts_strict": lambda s, d: I.booking_conflicts(T(s, d), strict=True),
+})
