@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotwise.operators import reports as R
 from slotwise.sources.fixtures import fixture
@@ -107,3 +108,37 @@ QUERIES.update({
     "booking_conflicts": lambda s, d: I.booking_conflicts(T(s, d)),
     "booking_conflicts_strict": lambda s, d: I.booking_conflicts(T(s, d), strict=True),
 })
+
+# ---- vouchers -------------------------------------------------------------
+from slotwise.operators import vouchers as VO  # noqa: E402
+
+VOUCHER_DAY = "1998-06-01"
+
+
+def _voucher_rollup(s, d):
+    t = T(s, d)
+    req = V(s, d, "voucher_requests")
+    usage = VO.usage_from_validations(VO.validate_vouchers(t, req), req)
+    return VO.voucher_usage_rollup(t.replace(voucher_usage=usage))
+
+
+def _discount(s, d):
+    """Discount and final amount for every request whose code names a promotion."""
+    t = T(s, d)
+    req = V(s, d, "voucher_requests").withColumn("_code", F.upper("code"))
+    promos = t.promotions.select(F.col("code").alias("_code"), "discount_type", "discount_value",
+                                 "max_discount_amount")
+    return VO.voucher_discount(req.join(promos, "_code"))
+
+
+QUERIES.update({
+    "voucher_discount": _discount,
+    "validate_vouchers": lambda s, d: VO.validate_vouchers(T(s, d), V(s, d, "voucher_requests")),
+    "available_vouchers": lambda s, d: VO.available_vouchers(T(s, d), VOUCHER_DAY),
+    "available_vouchers_distinct": lambda s, d: VO.available_vouchers(T(s, d), VOUCHER_DAY, distinct=True),
+    "available_vouchers_user": lambda s, d: VO.available_vouchers(T(s, d), VOUCHER_DAY, user_id=7),
+    "eligible_vouchers": lambda s, d: VO.eligible_vouchers(
+        T(s, d), V(s, d, "voucher_requests").withColumn("booking_date", F.to_date("requested_at"))),
+    "price_bookings": lambda s, d: VO.price_bookings(T(s, d), V(s, d, "booking_requests")),
+    "voucher_usage_rollup": _voucher_rollup,
+})

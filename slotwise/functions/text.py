@@ -17,11 +17,12 @@ def contains_ci(col: str | Column, fragment: str) -> Column:
     return c.ilike(like_pattern(fragment))
 
 
-def blank(col: str | Column) -> Column:
-    """JS falsiness for form values: NULL, empty text, or zero."""
+def blank(col: str | Column, numeric: bool = False) -> Column:
+    """JS falsiness of a form value: NULL or '' for text; NULL or 0 for numbers."""
     c = F.col(col) if isinstance(col, str) else col
-    s = c.cast("string")
-    return c.isNull() | (s == "") | F.coalesce(s.try_cast("double") == 0, F.lit(False))
+    if numeric:
+        return c.isNull() | F.coalesce(c.cast("double") == 0, F.lit(False))
+    return c.isNull() | (c.cast("string") == "")
 
 
 def full_name(first: str | Column, last: str | Column) -> Column:

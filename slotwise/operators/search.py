@@ -112,7 +112,9 @@ def validate_requests(requests: DataFrame, kind: str) -> DataFrame:
     Blank means NULL, empty text or zero. Reviews also need 1 <= rating <= 5.
     """
     fields, message = REQUEST_RULES[kind]
-    broken = _any([blank(F.col(c)) for c in fields])
+    types = dict(requests.dtypes)
+    numeric = lambda c: not types.get(c, "string").startswith(("string", "varchar", "char", "date", "timestamp"))
+    broken = _any([blank(F.col(c), numeric(c)) for c in fields])
     if kind == "review":
         r = F.col("rating").cast("string").try_cast("double")
         broken = broken | F.coalesce((r < 1) | (r > 5), F.lit(True))

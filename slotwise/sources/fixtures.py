@@ -109,6 +109,19 @@ SELECT o_orderkey AS request_id, o_custkey AS user_id, 'promo' || CAST(20 * (o_o
 FROM {orders}""",
 }
 
+VIEWS["booking_requests"] = """
+SELECT o_orderkey AS request_id, o_custkey AS user_id, o_orderkey % (SELECT COUNT(*) FROM {part}) AS court_id,
+ DATE '2001-06-01' + CAST(o_orderkey % 28 AS INT) AS booking_date,
+ lpad(CAST(6 + o_orderkey % 15 AS STRING), 2, '0') || CASE WHEN o_orderkey % 9 = 0 THEN ':30' ELSE ':00' END AS start_time,
+ lpad(CAST(7 + o_orderkey % 15 + o_custkey % 3 AS STRING), 2, '0') || CASE WHEN o_orderkey % 9 = 0 THEN ':30' ELSE ':00' END
+   AS end_time,
+ CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN NULL ELSE CAST(1 + o_custkey % 3 AS INT) END AS total_hours,
+ CASE WHEN o_orderpriority = '1-URGENT' THEN 'PROMO' || CAST(20 * (o_custkey % 100) AS STRING) END AS voucher_code,
+ CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN CAST(5 + o_orderkey % 20 AS DECIMAL(12,2)) END
+   AS discount_amount,
+ o_orderpriority AS notes, CAST(o_orderdate AS TIMESTAMP) AS requested_at
+FROM {orders}"""
+
 DEPENDS: dict[str, tuple[str, ...]] = {
     name: tuple(dep for dep in list(RAW) + list(VIEWS) if "{" + dep + "}" in text)
     for name, text in VIEWS.items()
