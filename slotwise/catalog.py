@@ -142,3 +142,91 @@ QUERIES.update({
     "price_bookings": lambda s, d: VO.price_bookings(T(s, d), V(s, d, "booking_requests")),
     "voucher_usage_rollup": _voucher_rollup,
 })
+
+# ---- change jobs ------------------------------------------------------------
+from slotwise.operators import changes as CH  # noqa: E402
+
+
+def _promo_upsert(s, d):
+    return CH.upsert_promotions(T(s, d), V(s, d, "promotion_requests"))
+
+
+def _court_upsert(s, d):
+    return CH.upsert_courts(T(s, d), V(s, d, "court_requests"), V(s, d, "court_image_requests"),
+                            V(s, d, "court_image_removals"))
+
+
+def _cancel(s, d):
+    return CH.cancel_bookings(T(s, d), V(s, d, "booking_actions"), AS_OF)
+
+
+def _reviews(s, d):
+    return CH.admit_reviews(T(s, d), V(s, d, "review_requests"))
+
+
+def _settle(s, d):
+    return CH.settle_payments(T(s, d), V(s, d, "booking_actions"), AS_OF)
+
+
+def _delete_courts(s, d):
+    return CH.delete_courts(T(s, d), V(s, d, "court_delete_requests"))
+
+
+def _delete_promotions(s, d):
+    return CH.delete_promotions(T(s, d), V(s, d, "promotion_delete_requests"))
+
+
+def _payouts(s, d):
+    t = T(s, d)
+    return CH.post_payouts(t, R.pending_payouts(t, AS_OF), AS_OF)
+
+
+def _targets(s, d):
+    t = T(s, d)
+    up = CH.upsert_promotions(t, V(s, d, "promotion_requests"))
+    return CH.replace_promotion_targets(t, up.accepted, V(s, d, "promotion_target_requests"))
+
+
+def _admit(s, d):
+    return CH.admit_bookings(T(s, d), V(s, d, "booking_requests"))
+
+
+def _admit_strict(s, d):
+    return CH.admit_bookings(T(s, d), V(s, d, "booking_requests"), strict=True)
+
+
+def _register(s, d):
+    return CH.admit_registrations(T(s, d), V(s, d, "registration_requests"))
+
+
+QUERIES.update({
+    "slots_to_booking": lambda s, d: CH.slots_to_booking(V(s, d, "slot_requests"), T(s, d).courts),
+    "approve_courts": lambda s, d: CH.approve_courts(T(s, d), V(s, d, "approval_requests")),
+    "toggle_promotions": lambda s, d: CH.toggle_promotions(T(s, d), V(s, d, "toggle_requests")).table,
+    "cancel_bookings": lambda s, d: _cancel(s, d).table,
+    "cancel_bookings_rejected": lambda s, d: _cancel(s, d).rejected,
+    "admit_reviews": lambda s, d: _reviews(s, d).table,
+    "admit_reviews_rejected": lambda s, d: _reviews(s, d).rejected,
+    "settle_payments_bookings": lambda s, d: _settle(s, d).bookings,
+    "settle_payments_payments": lambda s, d: _settle(s, d).payments,
+    "settle_payments_rejected": lambda s, d: _settle(s, d).rejected,
+    "post_payouts": _payouts,
+    "upsert_promotions": lambda s, d: _promo_upsert(s, d).promotions,
+    "upsert_promotions_rejected": lambda s, d: _promo_upsert(s, d).rejected,
+    "replace_promotion_targets": _targets,
+    "delete_promotions": lambda s, d: _delete_promotions(s, d).promotions,
+    "delete_promotions_targets": lambda s, d: _delete_promotions(s, d).promotion_targets,
+    "delete_courts": lambda s, d: _delete_courts(s, d).courts,
+    "delete_courts_images": lambda s, d: _delete_courts(s, d).court_images,
+    "delete_courts_rejected": lambda s, d: _delete_courts(s, d).rejected,
+    "upsert_courts": lambda s, d: _court_upsert(s, d).courts,
+    "upsert_courts_images": lambda s, d: _court_upsert(s, d).court_images,
+    "upsert_courts_rejected": lambda s, d: _court_upsert(s, d).rejected,
+    "admit_bookings": lambda s, d: _admit(s, d).bookings,
+    "admit_bookings_rejected": lambda s, d: _admit(s, d).rejected,
+    "admit_bookings_usage": lambda s, d: _admit(s, d).usage,
+    "admit_bookings_strict": lambda s, d: _admit_strict(s, d).bookings,
+    "admit_registrations": lambda s, d: _register(s, d).users,
+    "admit_registrations_owners": lambda s, d: _register(s, d).court_owners,
+    "admit_registrations_rejected": lambda s, d: _register(s, d).rejected,
+})

@@ -12,6 +12,8 @@ def as_of_ts(as_of) -> Column:
     """An explicit point in time (never the wall clock) as a TIMESTAMP_NTZ literal."""
     if isinstance(as_of, Column):
         return as_of
+    if as_of is None:
+        return F.lit(None).cast("timestamp_ntz")
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
     if isinstance(as_of, dt.date) and not isinstance(as_of, dt.datetime):

@@ -66,13 +66,13 @@ def available_slots(t: Tables, date, court_id=None) -> DataFrame:
             .select("court_id", "start_time", "end_time", F.lit(True).alias("available")))
 
 
-def _spans(bookings: DataFrame, prefix: str) -> DataFrame:
+def spans(bookings: DataFrame, prefix: str, id_col: str = "id") -> DataFrame:
     """One row per hour bucket touched by each booking's [min(start,end), max(start,end)] span."""
     lo = hour_of(F.least("start_time", "end_time"))
     hi = hour_of(F.greatest("start_time", "end_time"))
     return bookings.select(
         "court_id", "booking_date",
-        F.col("id").alias(f"{prefix}id"), F.col("start_time").alias(f"{prefix}s"),
+        F.col(id_col).alias(f"{prefix}id"), F.col("start_time").alias(f"{prefix}s"),
         F.col("end_time").alias(f"{prefix}e"), lo.alias(f"{prefix}lo"),
         F.explode(_hours(lo, hi)).alias("bucket"))
 
@@ -89,20 +89,28 @@ def conflict_test(e_s: Column, e_e: Column, n_s: Column, n_e: Column, strict: bo
     return ((e_s <= n_s) & (e_e > n_s)) | ((e_s < n_e) & (e_e >= n_e))
 
 
-def booking_conflicts(t: Tables, strict: bool = False) -> DataFrame:
-    """Pairs (first_id < later_id) of confirmed bookings on the same court and date that conflict.
+def blocking_pairs(earlier: DataFrame, later: DataFrame, strict: bool = False, ordered: bool = False,
+                   earlier_id: str = "id", later_id: str = "id") -> DataFrame:
+    """(a_id, b_id): booking a of ``earlier`` blocks booking b of ``later`` (same court and date).
 
-    Any conflicting pair has intersecting time spans, so both meet in at least
+    Any blocking pair has intersecting time spans, so both meet in at least
     one shared hour bucket; the pair is emitted only in the first shared
     bucket (the larger of the two lowest buckets), so no deduplication is
-    needed.
+    needed. ``ordered`` keeps only a_id < b_id.
     """
-    conf = t.bookings.filter(F.col("booking_status") == CONFIRMED)
-    a = _spans(conf, "a_")
-    b = _spans(conf, "b_")
-    j = a.join(b, ["court_id", "booking_date", "bucket"])
-    keep = ((F.col("a_id") < F.col("b_id"))
-            & (F.col("bucket") == F.greatest("a_lo", "b_lo"))
+    a = spans(earlier, "a_", earlier_id)
+    b = spans(later, "b_", later_id)
+    keep = ((F.col("bucket") == F.greatest("a_lo", "b_lo"))
             & conflict_test(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e"), strict))
-    return j.filter(keep).select("court_id", "booking_date", F.col("a_id").alias("first_id"),
-                                 F.col("b_id").alias("later_id"))
+    if ordered:
+        keep = keep & (F.col("a_id") < F.col("b_id"))
+    return a.join(b, ["court_id", "booking_date", "bucket"]).filter(keep).select(
+        "court_id", "booking_date", "a_id", "b_id")
+
+
+def booking_conflicts(t: Tables, strict: bool = False) -> DataFrame:
+    """Pairs (first_id < later_id) of confirmed bookings on the same court and date that conflict
+    (the earlier one blocks the later one under the reference's test, or overlaps it when ``strict``)."""
+    conf = t.bookings.filter(F.col("booking_status") == CONFIRMED)
+    return blocking_pairs(conf, conf, strict, ordered=True).select(
+        "court_id", "booking_date", F.col("a_id").alias("first_id"), F.col("b_id").alias("later_id"))

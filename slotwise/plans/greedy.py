@@ -1,16 +1,18 @@
 """Exact "first one wins" over several unique keys, as sequential inserts decide it.
 
 A row is kept iff no EARLIER KEPT row shares any key with it. That is a greedy
-pass in row order; we evaluate it in set-based rounds:
+pass in row order; we evaluate it in set-based rounds over one state frame
+(status 0 = undecided, 1 = kept, 2 = ignored):
 
-* a row whose order is the minimum of every key group it belongs to (among the
-  undecided rows) is certainly kept — nothing before it can block it;
+* an undecided row whose order is the minimum of every key group it belongs
+  to (among undecided rows) is certainly kept — nothing before it can block it;
 * undecided rows sharing a key with a row kept this round are ignored;
-* repeat on what is left. The global minimum is always kept, so every round
-  makes progress; real batches settle in one or two rounds.
+* repeat. The global minimum is always kept, so every round makes progress;
+  real batches settle in a few rounds.
 
-Each round is two grouped aggregates and joins (partial aggregation, so a
-hot key never lands whole in one task). Lineage is cut every few rounds.
+Each round is grouped aggregates (partial aggregation, so a hot key never
+lands whole in one task) and joins; the state is checkpointed every round so
+the plan does not grow with the number of rounds.
 """
 
 from __future__ import annotations
@@ -22,50 +24,47 @@ from pyspark.sql import functions as F
 
 from slotwise.plans.lineage import cut
 
-ORDER = "_greedy_order"
+ORDER, STATUS = "_greedy_order", "_greedy_status"
 
 
 def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> tuple[DataFrame, DataFrame]:
-    """Split ``batch`` into (kept, ignored) rows; ``order`` must be unique per row."""
-    undecided = batch.withColumn(ORDER, F.col(order))
-    kept_parts: list[DataFrame] = []
-    ignored_parts: list[DataFrame] = []
-    rounds = 0
+    """Split ``batch`` into (kept, ignored) rows; ``order`` must be unique per row.
+
+    NULL key values never clash (SQL UNIQUE semantics).
+    """
+    rows = batch.withColumn(ORDER, F.col(order))
     if len(keys) == 1:
         key = list(keys[0])
-        first = undecided.groupBy(*key).agg(F.min(ORDER).alias("_first"))
-        flagged = undecided.join(first, on=key, how="left")
+        first = rows.groupBy(*key).agg(F.min(ORDER).alias("_first"))
+        flagged = rows.join(first, on=key, how="left")
         keep = F.col("_first").isNull() | (F.col(ORDER) == F.col("_first"))
         return (flagged.filter(keep).drop("_first", ORDER),
                 flagged.filter(~keep).drop("_first", ORDER))
+    state = cut(rows.withColumn(STATUS, F.lit(0)))
     while True:
-        rounds += 1
-        safe_flag = F.lit(True)
-        flagged = undecided
+        und = state.filter(F.col(STATUS) == 0)
+        flagged = und
+        safe = F.lit(True)
         for i, key in enumerate(keys):
             key = list(key)
-            mins = undecided.groupBy(*key).agg(F.min(ORDER).alias(f"_min{i}"))
+            mins = und.groupBy(*key).agg(F.min(ORDER).alias(f"_min{i}"))
             flagged = flagged.join(mins, on=key, how="left")
-            safe_flag = safe_flag & (F.col(f"_min{i}").isNull() | (F.col(f"_min{i}") == F.col(ORDER)))
-        flagged = flagged.withColumn("_safe", safe_flag).drop(*[f"_min{i}" for i in range(len(keys))])
-        flagged = cut(flagged) if rounds % 4 == 0 else flagged.cache()
-        safe = flagged.filter("_safe").drop("_safe")
-        rest = flagged.filter(~F.col("_safe")).drop("_safe")
-        blocked = None
+            safe = safe & (F.col(f"_min{i}").isNull() | (F.col(f"_min{i}") == F.col(ORDER)))
+        flagged = flagged.withColumn("_safe", safe).drop(*[f"_min{i}" for i in range(len(keys))])
+        kept_now = flagged.filter("_safe")
+        hit = None
         for key in keys:
             key = list(key)
-            hit = rest.join(safe.select(*key).dropna().distinct(), on=key, how="left_semi")
-            blocked = hit if blocked is None else blocked.unionByName(hit)
-        blocked = blocked.dropDuplicates([ORDER]) if blocked is not None else rest.limit(0)
-        kept_parts.append(safe)
-        ignored_parts.append(blocked)
-        undecided = rest.join(blocked.select(ORDER), on=ORDER, how="left_anti")
-        if undecided.isEmpty():
+            h = flagged.filter(~F.col("_safe")).join(kept_now.select(*key).dropna().distinct(), on=key,
+                                                     how="left_semi").select(ORDER)
+            hit = h if hit is None else hit.unionByName(h)
+        hit = hit.distinct().withColumn("_hit", F.lit(True))
+        updated = (flagged.join(hit, ORDER, "left")
+                   .withColumn(STATUS, F.when(F.col("_safe"), 1).when(F.col("_hit"), 2).otherwise(0))
+                   .drop("_safe", "_hit"))
+        state = cut(state.filter(F.col(STATUS) != 0).unionByName(updated))
+        if state.filter(F.col(STATUS) == 0).isEmpty():
             break
-    kept = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept = kept.unionByName(part)
-    ignored = ignored_parts[0]
-    for part in ignored_parts[1:]:
-        ignored = ignored.unionByName(part)
-    return kept.drop(ORDER), ignored.drop(ORDER)
+    kept = state.filter(F.col(STATUS) == 1).drop(STATUS, ORDER)
+    ignored = state.filter(F.col(STATUS) == 2).drop(STATUS, ORDER)
+    return kept, ignored

@@ -122,6 +122,95 @@ SELECT o_orderkey AS request_id, o_custkey AS user_id, o_orderkey % (SELECT COUN
  o_orderpriority AS notes, CAST(o_orderdate AS TIMESTAMP) AS requested_at
 FROM {orders}"""
 
+# More request tables for the change jobs (stand-in input: rows of the request schema only).
+VIEWS["slot_requests"] = """
+SELECT DISTINCT l_orderkey AS request_id, l_orderkey % (SELECT COUNT(*) FROM {part}) AS court_id,
+ DATE '2001-06-01' + CAST(l_orderkey % 28 AS INT) AS booking_date,
+ lpad(CAST(6 + CAST(l_quantity AS INT) % 14 AS STRING), 2, '0') || ':00' AS slot
+FROM {lineitem}"""
+
+VIEWS["booking_actions"] = """
+SELECT id * 2 + i AS request_id, id AS booking_id,
+ CASE WHEN id % 13 = 0 THEN user_id + 1 ELSE user_id END AS user_id, created_at AS requested_at
+FROM {bookings} CROSS JOIN (VALUES (0), (1)) AS g(i) WHERE i = 0 OR id % 5 = 0"""
+
+VIEWS["review_requests"] = """
+SELECT id * 2 + i AS request_id, id AS booking_id,
+ CASE WHEN id % 11 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
+ CAST((id + i) % 7 AS INT) AS rating, 'review of ' || CAST(id AS STRING) AS comment, created_at AS requested_at
+FROM {bookings} CROSS JOIN (VALUES (0), (1)) AS g(i)"""
+
+VIEWS["registration_requests"] = """
+SELECT o_orderkey AS request_id, lower(c_name) || '-' || substr(o_orderpriority, 1, 1) AS username,
+ lower(c_name) || '.' || CAST(o_orderkey % 3 AS STRING) || '@mail.example' AS email,
+ split_part(c_name, '#', 1) AS first_name,
+ CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE split_part(c_name, '#', 2) END AS last_name,
+ CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'owner' WHEN substr(o_orderpriority, 1, 1) = '2' THEN ''
+      ELSE NULL END AS role,
+ CAST(o_orderdate AS TIMESTAMP) AS requested_at
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+
+VIEWS["promotion_requests"] = """
+SELECT p_partkey AS request_id, CASE WHEN p_partkey % 40 = 0 THEN p_partkey END AS id,
+ CASE WHEN p_size % 23 = 0 THEN '' ELSE 'promo' || CAST(p_partkey % 1500 AS STRING) END AS code,
+ p_name AS title, p_type AS description,
+ CASE WHEN p_size % 2 = 0 THEN 'percentage' ELSE 'fixed' END AS discount_type,
+ CASE WHEN p_size % 17 = 0 THEN NULL ELSE CAST(5 + p_size % 30 AS DECIMAL(12,2)) END AS discount_value,
+ CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size * 10 AS DECIMAL(12,2)) END AS min_booking_amount,
+ CASE WHEN p_size % 4 = 1 THEN CAST(0 AS DECIMAL(12,2)) ELSE CAST(40 AS DECIMAL(12,2)) END AS max_discount_amount,
+ DATE '2001-01-01' + CAST(p_partkey % 200 AS INT) AS start_date,
+ DATE '2001-09-01' + CAST(p_partkey % 300 AS INT) AS end_date,
+ CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS INT) END AS usage_limit,
+ CASE WHEN p_size % 6 = 0 THEN 'specific' WHEN p_size % 6 = 1 THEN NULL ELSE 'all' END AS target_type,
+ 1000000000 + p_partkey % (SELECT COUNT(*) FROM {supplier}) AS created_by,
+ CAST(DATE '2001-06-01' + CAST(p_partkey % 28 AS INT) AS TIMESTAMP) AS requested_at
+FROM {part}"""
+
+VIEWS["promotion_target_requests"] = """
+SELECT p_partkey AS request_id, CAST(c_custkey AS BIGINT) AS user_id
+FROM {part} JOIN {customer} ON c_custkey % 50 = p_partkey % 50 WHERE p_size % 6 = 0"""
+
+VIEWS["court_requests"] = """
+SELECT p_partkey AS request_id, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS id,
+ CASE WHEN p_size % 9 = 0 THEN CAST(p_partkey AS BIGINT)
+      WHEN p_size % 8 = 0 THEN 1000000000 + (p_partkey + 1) % (SELECT COUNT(*) FROM {supplier})
+      ELSE 1000000000 + p_partkey % (SELECT COUNT(*) FROM {supplier}) END AS user_id,
+ CASE WHEN p_size % 11 = 0 THEN NULL ELSE upper(p_name) END AS name, p_type AS description,
+ CASE WHEN p_size % 13 = 0 THEN '' ELSE p_brand || ' ' || p_type END AS address,
+ CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_retailprice / 100 AS DOUBLE) END AS latitude,
+ CAST(p_retailprice / 50 AS DOUBLE) AS longitude,
+ CASE WHEN p_size % 4 = 0 THEN '' ELSE 'cement' END AS court_type,
+ CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'outdoor' END AS indoor_outdoor,
+ CASE WHEN p_size % 2 = 0 THEN 'on' END AS has_ac, CASE WHEN p_size % 3 = 0 THEN 'on' END AS has_food,
+ CASE WHEN p_size % 5 = 0 THEN 'on' END AS has_rest_area, CAST(NULL AS STRING) AS has_changing_room,
+ CASE WHEN p_size % 7 = 0 THEN 'on' END AS has_parking,
+ CASE WHEN p_size % 19 = 0 THEN NULL ELSE CAST(12 + p_size AS DECIMAL(12,2)) END AS hourly_rate,
+ CASE WHEN p_size % 7 = 0 THEN NULL ELSE '07:00' END AS open_time, '21:00' AS close_time,
+ CAST(DATE '2001-06-01' + CAST(p_partkey % 28 AS INT) AS TIMESTAMP) AS requested_at
+FROM {part}"""
+
+VIEWS["court_image_requests"] = """
+SELECT p_partkey AS request_id, 'new-' || CAST(p_partkey AS STRING) || '.jpg' AS image_path
+FROM {part} WHERE p_size % 3 = 0"""
+
+VIEWS["court_image_removals"] = """
+SELECT court_id AS request_id, id AS image_id FROM {court_images} WHERE is_primary = 0"""
+
+VIEWS["court_delete_requests"] = """
+SELECT p_partkey AS request_id, p_partkey AS court_id,
+ CASE WHEN p_size % 8 = 0 THEN CAST(1 AS BIGINT) ELSE 1000000000 + p_partkey % (SELECT COUNT(*) FROM {supplier}) END
+   AS user_id
+FROM {part}"""
+
+VIEWS["approval_requests"] = """
+SELECT id, CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END AS approved FROM {courts} WHERE is_approved = 0"""
+
+VIEWS["toggle_requests"] = """
+SELECT p_partkey AS request_id, p_partkey - p_partkey % 20 AS id FROM {part} WHERE p_size % 10 = 0"""
+
+VIEWS["promotion_delete_requests"] = """
+SELECT id FROM {promotions} WHERE is_active = 0"""
+
 DEPENDS: dict[str, tuple[str, ...]] = {
     name: tuple(dep for dep in list(RAW) + list(VIEWS) if "{" + dep + "}" in text)
     for name, text in VIEWS.items()
