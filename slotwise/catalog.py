@@ -178,7 +178,7 @@ def _delete_promotions(s, d):
 
 def _payouts(s, d):
     t = T(s, d)
-    return CH.post_payouts(t, R.pending_payouts(t, AS_OF), AS_OF)
+    return CH.post_payouts(t, R.pending_payouts(t, AS_OF, exact=True), AS_OF)
 
 
 def _targets(s, d):

@@ -230,7 +230,7 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
 def cancel_bookings(t: Tables, requests: DataFrame, as_of, lead_hours: int = CANCEL_LEAD_HOURS) -> Outcome:
     """requests(request_id, booking_id, user_id): own booking starting at least ``lead_hours`` after as_of."""
     b = t.bookings.select(F.col("id").alias("booking_id"), "user_id", "booking_date", "start_time")
-    seconds = F.unix_timestamp(slot_ts("booking_date", "start_time")) - F.unix_timestamp(as_of_ts(as_of))
+    seconds = F.timestamp_diff("SECOND", as_of_ts(as_of), slot_ts("booking_date", "start_time"))
     too_late = F.coalesce(seconds < lead_hours * 3600, F.lit(False))
     j = requests.join(b, ["booking_id", "user_id"])
     not_found = requests.join(b.select("booking_id", "user_id"), ["booking_id", "user_id"], "left_anti")

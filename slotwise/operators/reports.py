@@ -132,13 +132,19 @@ def unpaid_bookings_since_payout(t: Tables) -> DataFrame:
     return joined.filter(keep).select("owner_id", *[F.col(c) for c in t.bookings.columns])
 
 
-def pending_payouts(t: Tables, as_of, share: float = OWNER_SHARE, hold_days: int = PAYOUT_HOLD_DAYS) -> DataFrame:
+def pending_payouts(t: Tables, as_of, share: float = OWNER_SHARE, hold_days: int = PAYOUT_HOLD_DAYS,
+                    exact: bool = False) -> DataFrame:
+    """Per owner: share of paid bookings dated before as_of − hold_days with no later payout.
+
+    ``exact`` keeps the amount as an exact decimal (what a payout job should post).
+    """
     cutoff = F.date_sub(as_of_date(as_of), hold_days)
     unpaid = unpaid_bookings_since_payout(t).filter(F.col("booking_date") < cutoff)
     sums = unpaid.groupBy("owner_id").agg(F.sum("total_amount").alias("_amt"))
     owners = t.court_owners.select(F.col("id").alias("owner_id"), "business_name")
+    amount = share_of(F.col("_amt"), share)
     return owners.join(sums, "owner_id").select(
-        "owner_id", "business_name", _dbl(share_of(F.col("_amt"), share)).alias("pending_amount"))
+        "owner_id", "business_name", (amount if exact else _dbl(amount)).alias("pending_amount"))
 
 
 # ---------------------------------------------------------------- owner earnings

@@ -11,6 +11,11 @@ rankings we instead:
    (at most one row per partition per group);
 4. position = local number + offset, and the group size comes along.
 
+Range split points come from sampling, and two evaluations of the same plan
+sample independently, so the locally numbered pieces are materialised once
+with a reliable checkpoint (``plans.lineage.cut``) before counting — the same
+two-pass scheme as ``zipWithIndex``, and it also cuts lineage for recovery.
+
 For bounded top-k (k ≤ ``spark.sql.optimizer.windowGroupLimitThreshold``)
 ``row_number() <= k`` is enough: Spark inserts a partial WindowGroupLimit
 before the shuffle, so each task forwards at most k rows per group.
@@ -23,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.plans.lineage import cut
+
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
@@ -38,9 +45,9 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartitionByRange(n, *_cols(by), *order).withColumn("_piece", F.spark_partition_id())
-    local = keyed.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_piece", *by).orderBy(*order)))
-    pieces = keyed.groupBy("_piece", *by).agg(F.count(F.lit(1)).alias("_n"))
+    local = cut(keyed.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_piece", *by).orderBy(*order))))
+    pieces = local.groupBy("_piece", *by).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if size_name:
