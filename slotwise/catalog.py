@@ -230,3 +230,88 @@ QUERIES.update({
     "admit_registrations_owners": lambda s, d: _register(s, d).court_owners,
     "admit_registrations_rejected": lambda s, d: _register(s, d).rejected,
 })
+
+# ---- audits -----------------------------------------------------------------
+from slotwise.operators import quality as Q  # noqa: E402
+
+QUERIES.update({
+    "audit_unique": lambda s, d: Q.audit_unique(T(s, d)),
+    "audit_not_null": lambda s, d: Q.audit_not_null(T(s, d)),
+    "audit_check": lambda s, d: Q.audit_check(T(s, d)),
+    "audit_foreign_keys": lambda s, d: Q.audit_foreign_keys(T(s, d)),
+})
+
+# ---- sources and sinks ------------------------------------------------------
+import uuid  # noqa: E402
+
+from slotwise.session import checkpoint_dir  # noqa: E402
+from slotwise.sources import fixtures as FX  # noqa: E402
+from slotwise.sources import tables as TB  # noqa: E402
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder under the session's shared checkpoint location."""
+    import tempfile
+    base = checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="slotwise-ckpt-"))
+    return f"{base.rstrip('/')}/tables/{what}-{uuid.uuid4().hex}"
+
+
+def _load_tables(s, d):
+    path = _scratch(s, "load")
+    FX.materialize(s, d, path)
+    t = TB.load_tables(s, path)
+    return FX.union_counts(t)
+
+
+def _write_table(s, d):
+    path = _scratch(s, "bookings")
+    TB.write_table(T(s, d).bookings, path, partition_by=["booking_date"])
+    return s.read.parquet(path)
+
+
+def _registration_users(s, d):
+    r = V(s, d, "registration_requests")
+    return r.select((F.col("request_id") + F.lit(2000000000)).alias("id"), "username", "email",
+                    F.coalesce(F.when(F.col("role") != "", F.col("role")), F.lit("user")).alias("role"),
+                    "first_name", "last_name", F.lit(None).cast("string").alias("phone"),
+                    F.col("requested_at").alias("created_at"))
+
+
+QUERIES.update({
+    "load_tables": _load_tables,
+    "write_table": _write_table,
+    "ensure_columns": lambda s, d: TB.ensure_columns(T(s, d).bookings, {
+        "notes": ("string", None), "payment_intent_id": ("string", None), "voucher_code": ("string", None),
+        "discount_amount": ("decimal(12,2)", 0)}),
+    "insert_or_ignore": lambda s, d: TB.insert_or_ignore(
+        T(s, d).users.filter(F.col("created_at") < F.lit("1999-01-01").cast("timestamp_ntz")),
+        _registration_users(s, d), unique=[["username"]]),
+    "insert_or_ignore_two_keys": lambda s, d: TB.insert_or_ignore(
+        T(s, d).users, _registration_users(s, d), unique=[["username"], ["email"]]),
+})
+
+
+def _incoming(s, d):
+    """Tables as they would look if requests were written without the admission rules:
+    raw registrations appended to users, raw review requests appended to reviews,
+    and inactive promotions deleted without removing their targets."""
+    t = T(s, d)
+    r = V(s, d, "registration_requests")
+    users = t.users.unionByName(r.select(
+        (F.col("request_id") + F.lit(2000000000)).alias("id"), "username", "email", "role", "first_name",
+        "last_name", F.lit(None).cast("string").alias("phone"), F.col("requested_at").alias("created_at")))
+    rr = V(s, d, "review_requests")
+    b = t.bookings.select(F.col("id").alias("booking_id"), "court_id")
+    reviews = t.reviews.unionByName(rr.join(b, "booking_id").select(
+        (F.col("request_id") + F.lit(3000000000)).alias("id"), "court_id", "user_id", "booking_id", "rating",
+        F.col("requested_at").alias("created_at")))
+    gone = V(s, d, "promotion_delete_requests")
+    return t.replace(users=users, reviews=reviews, promotions=t.promotions.join(gone, "id", "left_anti"))
+
+
+QUERIES.update({
+    "audit_unique_incoming": lambda s, d: Q.audit_unique(_incoming(s, d)),
+    "audit_not_null_incoming": lambda s, d: Q.audit_not_null(_incoming(s, d)),
+    "audit_check_incoming": lambda s, d: Q.audit_check(_incoming(s, d)),
+    "audit_foreign_keys_incoming": lambda s, d: Q.audit_foreign_keys(_incoming(s, d)),
+})

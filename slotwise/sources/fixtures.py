@@ -310,3 +310,15 @@ def materialize(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
         if name == "bookings":
             writer = writer.partitionBy("booking_date")
         writer.parquet(f"{out_dir}/{name}")
+
+
+def union_counts(t: Tables) -> DataFrame:
+    """(table_name, row_count) for the twelve tables of a bundle."""
+    from pyspark.sql import functions as F
+
+    frames = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+              for name, df in t.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
