@@ -258,12 +258,20 @@ def with_views(sql: str, names) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+_MATERIALIZED: set[str] = set()
+
+
 class Fixture:
-    """Lazily built fixture frames over one ``sf_dir``."""
+    """Lazily built fixture frames over one ``sf_dir``.
+
+    If ``sf_dir`` was written by ``materialize`` the views are read back as
+    parquet (with scan pushdown and pruning) instead of being recomputed.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialized = self.sf_dir in _MATERIALIZED
         self._frames: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
@@ -275,8 +283,11 @@ class Fixture:
         if name in RAW:
             return self.raw(name)
         if name not in self._frames:
-            args = {dep: self.view(dep) for dep in DEPENDS[name]}
-            self._frames[name] = self.spark.sql(spark_text(name), **args)
+            if self.materialized:
+                self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}")
+            else:
+                args = {dep: self.view(dep) for dep in DEPENDS[name]}
+                self._frames[name] = self.spark.sql(spark_text(name), **args)
         return self._frames[name]
 
     def tables(self, conform_schema: bool = False) -> Tables:
@@ -301,15 +312,21 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return _fixture(spark, sf_dir.rstrip("/"))
 
 
-def materialize(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
-    """Write the domain tables as parquet (bookings partitioned by booking_date)."""
+def materialize(spark: SparkSession, sf_dir: str, out_dir: str, names=DOMAIN) -> None:
+    """Write fixture views as parquet (bookings partitioned by booking_date).
+
+    Afterwards ``fixture(spark, out_dir)`` reads them back instead of recomputing.
+    """
     fx = Fixture(spark, sf_dir)
-    for name in DOMAIN:
+    for name in names:
         df = fx.view(name)
         writer = df.write.mode("overwrite")
         if name == "bookings":
             writer = writer.partitionBy("booking_date")
         writer.parquet(f"{out_dir}/{name}")
+    if set(names) >= set(VIEWS):
+        _MATERIALIZED.add(out_dir.rstrip("/"))
+        _fixture.cache_clear()
 
 
 def union_counts(t: Tables) -> DataFrame:
