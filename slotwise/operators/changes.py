@@ -23,7 +23,7 @@ from slotwise.operators.intervals import blocking_pairs
 from slotwise.operators.search import validate_requests
 from slotwise.plans.greedy import first_wins
 from slotwise.plans.ids import assign_ids
-from slotwise.sources.tables import Tables
+from slotwise.sources.tables import Tables, ensure_columns
 
 # Messages and constants of the reference's write routes.
 MSG_NO_COURT = "Court not found or not available"
@@ -42,6 +42,8 @@ MSG_NO_OWNER = "Owner profile not found"
 MSG_USER_EXISTS = "Username or email already exists"
 CANCEL_LEAD_HOURS = 2
 NOTES_MAX = 255
+OPTIONAL_BOOKING_FIELDS = {"voucher_code": ("string", None), "discount_amount": ("decimal(12,2)", None),
+                           "notes": ("string", None)}
 
 
 class Outcome(NamedTuple):
@@ -171,6 +173,7 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
        whatever the data size).
     """
     key = "request_id"
+    requests = ensure_columns(requests, OPTIONAL_BOOKING_FIELDS)
     v = validate_requests(requests, "booking")
     bad_fields = v.filter(~F.col("valid"))
     ok = v.filter("valid").drop("valid", "reason")
@@ -207,7 +210,7 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
     total = F.col("hourly_rate").cast("double") * F.col("total_hours").cast("double") - F.when(
         has_voucher, F.col("discount_amount").cast("double")).otherwise(0.0)
     created = F.col("requested_at").cast("timestamp_ntz") if "requested_at" in requests.columns else as_of_ts(as_of)
-    notes = F.substring(F.col("notes").cast("string"), 1, NOTES_MAX) if "notes" in requests.columns else F.lit(None)
+    notes = F.substring(F.col("notes").cast("string"), 1, NOTES_MAX)
     rows = accepted.select(
         key, "court_id", "user_id", F.col("booking_date").cast("date").alias("booking_date"),
         "start_time", "end_time", F.col("total_hours").cast("int").alias("total_hours"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.calendar import as_of_date
 from slotwise.functions.money import final_after_discount, js_number_text, voucher_discount as discount_expr
 from slotwise.functions.text import blank
-from slotwise.sources.tables import Tables
+from slotwise.sources.tables import Tables, ensure_columns
 
 # The reference's voucher messages, in rule order.
 MSG_BLANK = "Please enter a voucher code"
@@ -106,15 +106,14 @@ def _month_buckets(promos: DataFrame, requests: DataFrame, day_col: str) -> Data
     """Promotions expanded to the months they span, clipped to the months requests fall in.
 
     Turns ``start_date <= day <= end_date`` into an equi join on month; the
-    clip (one-row bounds, joined on a constant key) keeps open-ended
-    promotions from expanding beyond the data.
+    clip (two scalar subqueries over the requests) keeps open-ended promotions
+    from expanding beyond the data.
     """
-    bounds = requests.agg(F.min(F.trunc(day_col, "MM")).alias("_lo"), F.max(F.trunc(day_col, "MM")).alias("_hi"))
-    lo = F.greatest(F.trunc("start_date", "MM"), F.col("_lo"))
-    hi = F.least(F.trunc("end_date", "MM"), F.col("_hi"))
-    clipped = promos.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
-    return clipped.withColumn("_month", F.explode(F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH"))))) \
-        .drop("_k", "_lo", "_hi")
+    lo_req = requests.agg(F.min(F.trunc(day_col, "MM"))).scalar()
+    hi_req = requests.agg(F.max(F.trunc(day_col, "MM"))).scalar()
+    lo = F.greatest(F.trunc("start_date", "MM"), lo_req)
+    hi = F.least(F.trunc("end_date", "MM"), hi_req)
+    return promos.withColumn("_month", F.explode(F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")))))
 
 
 def eligible_vouchers(t: Tables, requests: DataFrame, as_of=None) -> DataFrame:
@@ -145,6 +144,7 @@ def eligible_vouchers(t: Tables, requests: DataFrame, as_of=None) -> DataFrame:
 def price_bookings(t: Tables, requests: DataFrame) -> DataFrame:
     """original = rate × hours; discount applies only when a code AND an amount are given; no floor."""
     courts = t.courts.select(F.col("id").alias("court_id"), "hourly_rate")
+    requests = ensure_columns(requests, {"voucher_code": ("string", None), "discount_amount": ("decimal(12,2)", None)})
     j = requests.join(courts, "court_id")
     original = F.col("hourly_rate").cast("double") * F.col("total_hours").cast("double")
     has_voucher = ~blank("voucher_code") & ~blank("discount_amount", numeric=True)

@@ -2,7 +2,7 @@
 
 The position comes from ``ranking.positions`` with no group, i.e. a range
 partitioned global numbering (like zipWithIndex) — never a window over one
-partition. The max is a one-row aggregate joined on a constant key.
+partition. The max is a scalar subquery (computed once, no join).
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from slotwise.plans.ranking import positions
 
 def assign_ids(rows: DataFrame, existing: DataFrame, order: list[Column], name: str = "id",
                key: str = "id") -> DataFrame:
-    base = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("_base")).withColumn("_k", F.lit(1))
+    base = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
     numbered = positions(rows, [], order, name="_pos")
-    return (numbered.withColumn("_k", F.lit(1)).join(F.broadcast(base), "_k")
-            .withColumn(name, F.col("_base") + F.col("_pos")).drop("_k", "_base", "_pos"))
+    return numbered.withColumn(name, base + F.col("_pos")).drop("_pos")
