@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 from slotwise.functions.calendar import as_of_ts
 from slotwise.functions.clock import slot_ts
 from slotwise.functions.text import blank
-from slotwise.operators.intervals import blocking_pairs
+from slotwise.operators.intervals import blocked_rows
 from slotwise.operators.search import validate_requests
 from slotwise.plans.greedy import first_wins
 from slotwise.plans.ids import assign_ids
+from slotwise.plans.lineage import cut
 from slotwise.sources.tables import Tables, ensure_columns
 
 # Messages and constants of the reference's write routes.
@@ -158,11 +159,13 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
     Rules: required fields → court active and approved → no conflict with an
     existing confirmed booking or an earlier ADMITTED request → price.
 
-    Everything that can be decided set-based is:
+    Everything that can be decided set-based is, in one decision frame
+    (request_id → reason) that is checkpointed twice so no stage is ever
+    evaluated again for another output:
 
     1. validation and court visibility are joins;
     2. a request blocked by an existing confirmed booking is rejected (hour
-       bucket equi join, see ``intervals.blocking_pairs``);
+       bucket semi join, see ``intervals.blocked_rows``);
     3. among requests with the same (court, date, start, end) and start < end
        only the first can be admitted — a later twin meets the first or
        whatever blocked it — settled with a min aggregate;
@@ -174,37 +177,33 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
     """
     key = "request_id"
     requests = ensure_columns(requests, OPTIONAL_BOOKING_FIELDS)
-    v = validate_requests(requests, "booking")
-    bad_fields = v.filter(~F.col("valid"))
-    ok = v.filter("valid").drop("valid", "reason")
+    # one decision frame: every request with the reason it fails (NULL = still in the running)
     visible = t.courts.filter((F.col("is_active") == 1) & (F.col("is_approved") == 1)).select(
         F.col("id").alias("court_id"), "hourly_rate")
-    no_court = ok.join(visible, "court_id", "left_anti")
-    cand = ok.join(visible, "court_id")
-    iv = cand.select(key, "court_id", "booking_date", "start_time", "end_time")
-
+    d = (validate_requests(requests, "booking").drop("valid")
+         .join(visible, "court_id", "left")
+         .withColumn("reason", F.coalesce("reason", F.when(F.col("hourly_rate").isNull(), F.lit(MSG_NO_COURT)))))
+    iv = d.filter(F.col("reason").isNull()).select(key, "court_id", "booking_date", "start_time", "end_time")
     existing = t.bookings.filter(F.col("booking_status") == "confirmed")
-    by_existing = blocking_pairs(existing, iv, strict, later_id=key).select(F.col("b_id").alias(key)).distinct()
-    alive = iv.join(by_existing, key, "left_anti")
+    taken = blocked_rows(iv, existing, strict, later_id=key).withColumn("_taken", F.lit(True))
+    d = cut(d.join(taken, key, "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_taken"), F.lit(MSG_TAKEN)))).drop("_taken"))
+
+    alive = d.filter(F.col("reason").isNull()).select(key, "court_id", "booking_date", "start_time", "end_time")
     proper = alive.filter(F.col("start_time") < F.col("end_time"))
     firsts, twins = _first_per(proper, ["court_id", "booking_date", "start_time", "end_time"])
     alive = firsts.unionByName(alive.filter(~(F.col("start_time") < F.col("end_time"))))
-
-    pairs = blocking_pairs(alive, alive, strict, ordered=True, earlier_id=key, later_id=key)
-    contested = pairs.select(F.col("b_id").alias(key)).distinct()
-    free = alive.join(contested, key, "left_anti").select(key)
+    contested = blocked_rows(alive, alive, strict, ordered=True, later_id=key, earlier_id=key)
     hot_days = alive.join(contested, key, "left_semi").select("court_id", "booking_date").distinct()
     decided = (alive.join(hot_days, ["court_id", "booking_date"], "left_semi")
                .groupBy("court_id", "booking_date").applyInPandas(_greedy_admission(strict), _GREEDY_SCHEMA))
-    admitted_ids = free.unionByName(decided.filter("admitted").select(key))
-    blocked_ids = decided.filter(~F.col("admitted")).select(key)
-
-    accepted = cand.join(admitted_ids, key, "left_semi")
-    rejected = (_rejected(bad_fields, F.col("reason"))
-                .unionByName(_rejected(no_court, MSG_NO_COURT))
-                .unionByName(_rejected(by_existing, MSG_TAKEN))
-                .unionByName(_rejected(twins, MSG_TAKEN))
-                .unionByName(_rejected(blocked_ids, MSG_TAKEN)))
+    lost = twins.select(key).unionByName(decided.filter(~F.col("admitted")).select(key)).withColumn(
+        "_lost", F.lit(True))
+    d = cut(d.join(lost, key, "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_lost"), F.lit(MSG_TAKEN)))).drop("_lost"))
+
+    accepted = d.filter(F.col("reason").isNull())
+    rejected = d.filter(F.col("reason").isNotNull()).select(key, "reason")
 
     has_voucher = ~blank("voucher_code") & ~blank("discount_amount", numeric=True)
     total = F.col("hourly_rate").cast("double") * F.col("total_hours").cast("double") - F.when(

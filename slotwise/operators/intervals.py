@@ -108,6 +108,24 @@ def blocking_pairs(earlier: DataFrame, later: DataFrame, strict: bool = False, o
         "court_id", "booking_date", "a_id", "b_id")
 
 
+def blocked_rows(later: DataFrame, earlier: DataFrame, strict: bool = False, ordered: bool = False,
+                 later_id: str = "id", earlier_id: str = "id") -> DataFrame:
+    """Ids of ``later`` rows that some row of ``earlier`` blocks — an existence test.
+
+    A conditional LEFT SEMI join on (court, date, hour bucket): for each later
+    row the join stops at the first blocking match, so no pair list is ever
+    built, even when one court-hour is very busy.
+    """
+    b = spans(later, "b_", later_id)
+    a = spans(earlier, "a_", earlier_id).withColumnRenamed("bucket", "a_bucket") \
+        .withColumnRenamed("court_id", "a_court").withColumnRenamed("booking_date", "a_date")
+    cond = [b["court_id"] == a["a_court"], b["booking_date"] == a["a_date"], b["bucket"] == a["a_bucket"],
+            conflict_test(a["a_s"], a["a_e"], b["b_s"], b["b_e"], strict)]
+    if ordered:
+        cond.append(a["a_id"] < b["b_id"])
+    return b.join(a, cond, "left_semi").select(F.col("b_id").alias(later_id)).distinct()
+
+
 def booking_conflicts(t: Tables, strict: bool = False) -> DataFrame:
     """Pairs (first_id < later_id) of confirmed bookings on the same court and date that conflict
     (the earlier one blocks the later one under the reference's test, or overlaps it when ``strict``)."""

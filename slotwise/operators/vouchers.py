@@ -130,10 +130,12 @@ def eligible_vouchers(t: Tables, requests: DataFrame, as_of=None) -> DataFrame:
     pt = t.promotion_targets.select(F.col("promotion_id").alias("id"), F.col("user_id").alias("_tu"))
     cond = ((F.col("start_date") <= F.col("_day")) & (F.col("end_date") >= F.col("_day"))
             & (F.col("min_booking_amount").isNull() | (F.col("min_booking_amount") <= F.col("_amount"))))
-    # 'all' promotions: range on day via month buckets, then the target-row multiplicity
-    every = _month_buckets(p.filter(F.col("target_type") == "all"), req, "_day")
+    # 'all' promotions: the LEFT JOIN multiplicity (one row per target row, else one) is applied to the
+    # small promotion side first, then the day range becomes an equi join on month buckets
+    every = p.filter(F.col("target_type") == "all").join(pt, "id", "left").drop("_tu")
+    every = _month_buckets(every, req, "_day")
     every = (req.withColumn("_month", F.trunc("_day", "MM")).join(every, "_month").filter(cond)
-             .join(pt, "id", "left").select("request_id", "user_id", *pcols))
+             .select("request_id", "user_id", *pcols))
     # 'specific' promotions: equi join on the targeted user first
     spec = p.filter(F.col("target_type") == "specific").join(pt, "id")
     spec = (req.join(spec, req["user_id"] == spec["_tu"]).filter(cond)

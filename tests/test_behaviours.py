@@ -166,3 +166,19 @@ def test_audits_find_violations(spark):
     assert rows(Q.audit_check(t), "rule", "id") == [("rating_between_1_and_5", 1)]
     assert rows(Q.audit_foreign_keys(t), "child", "column", "missing_key") == [("reviews", "court_id", 9)]
     assert F is not None
+
+
+def test_eligible_vouchers_multiplicity_and_minimum(spark):
+    base = dict(title="t", discount_type="fixed", discount_value=H.m(5), start_date=H.d("2001-01-01"),
+                end_date=H.d("2001-12-31"), is_active=1, usage_limit=-1, used_count=0)
+    promos = [H.row("promotions", id=1, code="ALL", target_type="all", **base),
+              H.row("promotions", id=2, code="SPEC", target_type="specific", **base),
+              H.row("promotions", id=3, code="MIN", target_type="all", min_booking_amount=H.m(500), **base)]
+    targets = [H.row("promotion_targets", id=i, promotion_id=p, user_id=u) for i, p, u in
+               ((1, 1, 8), (2, 1, 9), (3, 2, 7))]
+    t = H.tables(spark, promotions=promos, promotion_targets=targets)
+    req = spark.createDataFrame([(1, 7, H.d("2001-06-01"), H.m(100)), (2, 8, H.d("2002-06-01"), H.m(900)),
+                                 (3, 9, H.d("2001-02-01"), H.m(600))],
+                                "request_id long, user_id long, booking_date date, booking_amount decimal(12,2)")
+    got = rows(VO.eligible_vouchers(t, req), "request_id", "id")
+    assert got == [(1, 1), (1, 1), (1, 2), (3, 1), (3, 1), (3, 3)]
