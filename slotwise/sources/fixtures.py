@@ -254,7 +254,10 @@ def with_views(sql: str, names) -> str:
     ctes = ",\n".join(f"{n} AS ({duck_text(n)}\n)" for n in views)
     body = sql.strip()
     if body[:4].upper() == "WITH":
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
+        rest = body[4:].lstrip()
+        if rest[:9].upper() == "RECURSIVE":
+            return f"WITH RECURSIVE {ctes},\n{rest[9:].lstrip()}"
+        return f"WITH {ctes},\n{rest}"
     return f"WITH {ctes}\n{body}"
 
 
