@@ -315,3 +315,19 @@ QUERIES.update({
     "audit_check_incoming": lambda s, d: Q.audit_check(_incoming(s, d)),
     "audit_foreign_keys_incoming": lambda s, d: Q.audit_foreign_keys(_incoming(s, d)),
 })
+
+
+def _profile_update(s, d):
+    t = T(s, d)
+    users = TB.ensure_columns(t.users, {"address": ("string", None)})
+    return CH.merge_updates(users, V(s, d, "profile_requests"), "id", ["first_name", "last_name", "phone", "address"])
+
+
+QUERIES.update({
+    "validate_requests_booking": lambda s, d: S.validate_requests(V(s, d, "booking_requests"), "booking"),
+    "validate_requests_review": lambda s, d: S.validate_requests(V(s, d, "review_requests"), "review"),
+    "validate_requests_promotion": lambda s, d: S.validate_requests(V(s, d, "promotion_requests"), "promotion"),
+    "validate_requests_court": lambda s, d: S.validate_requests(V(s, d, "court_requests"), "court"),
+    "update_profiles": _profile_update,
+    "court_search_with_images": lambda s, d: S.court_search(T(s, d), location="europe", with_images=True),
+})

@@ -211,6 +211,12 @@ SELECT p_partkey AS request_id, p_partkey - p_partkey % 20 AS id FROM {part} WHE
 VIEWS["promotion_delete_requests"] = """
 SELECT id FROM {promotions} WHERE is_active = 0"""
 
+VIEWS["profile_requests"] = """
+SELECT CAST(c_custkey AS BIGINT) AS id, upper(split_part(c_name, '#', 1)) AS first_name,
+ CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE split_part(c_name, '#', 2) END AS last_name,
+ '+60-' || CAST(1000 + c_custkey AS STRING) AS phone, n_name AS address
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_acctbal < 0"""
+
 DEPENDS: dict[str, tuple[str, ...]] = {
     name: tuple(dep for dep in list(RAW) + list(VIEWS) if "{" + dep + "}" in text)
     for name, text in VIEWS.items()
