@@ -1,8 +1,7 @@
 """Exact "first one wins" over several unique keys, as sequential inserts decide it.
 
 A row is kept iff no EARLIER KEPT row shares any key with it. That is a greedy
-pass in row order; we evaluate it in set-based rounds over one state frame
-(status 0 = undecided, 1 = kept, 2 = ignored):
+pass in row order; we evaluate it in set-based rounds over the undecided rows:
 
 * an undecided row whose order is the minimum of every key group it belongs
   to (among undecided rows) is certainly kept — nothing before it can block it;
@@ -11,8 +10,9 @@ pass in row order; we evaluate it in set-based rounds over one state frame
   real batches settle in a few rounds.
 
 Each round is grouped aggregates (partial aggregation, so a hot key never
-lands whole in one task) and joins; the state is checkpointed every round so
-the plan does not grow with the number of rounds.
+lands whole in one task) and joins over the still-undecided rows only; each
+round's decisions are checkpointed once, so neither the plan nor the written
+volume grows with the number of rounds beyond the shrinking undecided set.
 """
 
 from __future__ import annotations
@@ -40,14 +40,15 @@ def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> t
         keep = F.col("_first").isNull() | (F.col(ORDER) == F.col("_first"))
         return (flagged.filter(keep).drop("_first", ORDER),
                 flagged.filter(~keep).drop("_first", ORDER))
-    state = cut(rows.withColumn(STATUS, F.lit(0)))
+    undecided = cut(rows)
+    kept_parts: list[DataFrame] = []
+    ignored_parts: list[DataFrame] = []
     while True:
-        und = state.filter(F.col(STATUS) == 0)
-        flagged = und
+        flagged = undecided
         safe = F.lit(True)
         for i, key in enumerate(keys):
             key = list(key)
-            mins = und.groupBy(*key).agg(F.min(ORDER).alias(f"_min{i}"))
+            mins = undecided.groupBy(*key).agg(F.min(ORDER).alias(f"_min{i}"))
             flagged = flagged.join(mins, on=key, how="left")
             safe = safe & (F.col(f"_min{i}").isNull() | (F.col(f"_min{i}") == F.col(ORDER)))
         flagged = flagged.withColumn("_safe", safe).drop(*[f"_min{i}" for i in range(len(keys))])
@@ -59,12 +60,16 @@ def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> t
                                                      how="left_semi").select(ORDER)
             hit = h if hit is None else hit.unionByName(h)
         hit = hit.distinct().withColumn("_hit", F.lit(True))
-        updated = (flagged.join(hit, ORDER, "left")
-                   .withColumn(STATUS, F.when(F.col("_safe"), 1).when(F.col("_hit"), 2).otherwise(0))
-                   .drop("_safe", "_hit"))
-        state = cut(state.filter(F.col(STATUS) != 0).unionByName(updated))
-        if state.filter(F.col(STATUS) == 0).isEmpty():
+        # only this round's rows are written; decided rows are never rewritten in later rounds
+        state = cut(flagged.join(hit, ORDER, "left")
+                    .withColumn(STATUS, F.when(F.col("_safe"), 1).when(F.col("_hit"), 2).otherwise(0))
+                    .drop("_safe", "_hit"))
+        kept_parts.append(state.filter(F.col(STATUS) == 1))
+        ignored_parts.append(state.filter(F.col(STATUS) == 2))
+        undecided = state.filter(F.col(STATUS) == 0).drop(STATUS)
+        if undecided.isEmpty():
             break
-    kept = state.filter(F.col(STATUS) == 1).drop(STATUS, ORDER)
-    ignored = state.filter(F.col(STATUS) == 2).drop(STATUS, ORDER)
-    return kept, ignored
+    kept, ignored = kept_parts[0], ignored_parts[0]
+    for k, i in zip(kept_parts[1:], ignored_parts[1:]):
+        kept, ignored = kept.unionByName(k), ignored.unionByName(i)
+    return kept.drop(STATUS, ORDER), ignored.drop(STATUS, ORDER)
