@@ -40,13 +40,16 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "sl
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is ``fallback`` installed.
+    Read from the session; only when the session has none (local tests) is
+    ``fallback`` installed as the SparkContext checkpoint folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
     if fallback is None:
         raise RuntimeError("spark.checkpoint.dir is not set; pass a shared fallback folder")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
+    sc.setCheckpointDir(fallback)
     return fallback
