@@ -58,6 +58,28 @@ def _rejected(df: DataFrame, reason: Column | str) -> DataFrame:
     return df.select("request_id", r.alias("reason"))
 
 
+def _fail(d: DataFrame, cond: Column, message: str | Column) -> DataFrame:
+    """Record ``message`` as the reason of rows that still have none and meet ``cond``."""
+    m = F.lit(message) if isinstance(message, str) else message
+    return d.withColumn("reason", F.coalesce(F.col("reason"), F.when(cond, m)))
+
+
+def _first_wins_rule(d: DataFrame, key: list[str], message: str) -> DataFrame:
+    """Among rows still in the running, a row sharing ``key`` with an earlier one (by request_id) fails.
+
+    One partial min aggregate and a join — a hot key never gathers in one task.
+    """
+    firsts = d.filter(F.col("reason").isNull()).groupBy(*key).agg(F.min("request_id").alias("_first"))
+    d = d.join(firsts, key, "left")
+    return _fail(d, F.col("_first").isNotNull() & (F.col("request_id") != F.col("_first")), message).drop("_first")
+
+
+def _split(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected (request_id, reason)) of a decision frame."""
+    return d.filter(F.col("reason").isNull()).drop("reason"), d.filter(F.col("reason").isNotNull()).select(
+        "request_id", "reason")
+
+
 def _first_per(df: DataFrame, key: list[str], order: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """Split rows into (first per key by ``order``, the later ones) with a min aggregate + join."""
     kept, later = first_wins(df, [key], order)
@@ -231,15 +253,14 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
 
 def cancel_bookings(t: Tables, requests: DataFrame, as_of, lead_hours: int = CANCEL_LEAD_HOURS) -> Outcome:
     """requests(request_id, booking_id, user_id): own booking starting at least ``lead_hours`` after as_of."""
-    b = t.bookings.select(F.col("id").alias("booking_id"), "user_id", "booking_date", "start_time")
+    b = t.bookings.select(F.col("id").alias("booking_id"), "user_id", "booking_date", "start_time",
+                          F.lit(True).alias("_found"))
     seconds = F.timestamp_diff("SECOND", as_of_ts(as_of), slot_ts("booking_date", "start_time"))
-    too_late = F.coalesce(seconds < lead_hours * 3600, F.lit(False))
-    j = requests.join(b, ["booking_id", "user_id"])
-    not_found = requests.join(b.select("booking_id", "user_id"), ["booking_id", "user_id"], "left_anti")
-    late = j.filter(too_late)
-    ok = j.filter(~too_late).select(F.col("booking_id").alias("id")).distinct().withColumn(
-        "booking_status", F.lit("cancelled"))
-    rejected = _rejected(not_found, MSG_BOOKING_NOT_FOUND).unionByName(_rejected(late, MSG_TOO_LATE))
+    d = requests.withColumn("reason", F.lit(None).cast("string")).join(b, ["booking_id", "user_id"], "left")
+    d = _fail(d, F.col("_found").isNull(), MSG_BOOKING_NOT_FOUND)
+    d = _fail(d, F.coalesce(seconds < lead_hours * 3600, F.lit(False)), MSG_TOO_LATE)
+    ok, rejected = _split(d)
+    ok = ok.select(F.col("booking_id").alias("id")).distinct().withColumn("booking_status", F.lit("cancelled"))
     return Outcome(merge_updates(t.bookings, ok, "id", ["booking_status"]), rejected)
 
 
@@ -247,26 +268,22 @@ def admit_reviews(t: Tables, requests: DataFrame, as_of=None) -> Outcome:
     """requests(request_id, booking_id, user_id, rating, comment) → new review rows.
 
     Rating 1..5 → booking owned and 'completed' → no review of that booking yet
-    (nor an earlier accepted request for it in this batch).
+    (nor an earlier accepted request for it in this batch). One decision
+    frame: each rule fills ``reason`` through a left join.
     """
-    v = validate_requests(requests, "review")
-    bad = v.filter(~F.col("valid"))
-    ok = v.filter("valid").drop("valid", "reason")
+    d = validate_requests(requests, "review").drop("valid")
     done = t.bookings.filter(F.col("booking_status") == "completed").select(
-        F.col("id").alias("booking_id"), "user_id", "court_id")
-    not_done = ok.join(done, ["booking_id", "user_id"], "left_anti")
-    cand = ok.join(done, ["booking_id", "user_id"])
-    reviewed = t.reviews.select("booking_id").dropna().distinct()
-    dup = cand.join(reviewed, "booking_id", "left_semi")
-    fresh = cand.join(reviewed, "booking_id", "left_anti")
-    first, again = _first_per(fresh, ["booking_id"])
+        F.col("id").alias("booking_id"), "user_id", "court_id", F.lit(True).alias("_done"))
+    d = _fail(d.join(done, ["booking_id", "user_id"], "left"), F.col("_done").isNull(), MSG_REVIEW_BOOKING)
+    reviewed = t.reviews.select("booking_id").dropna().distinct().withColumn("_reviewed", F.lit(True))
+    d = _fail(d.join(reviewed, "booking_id", "left"), F.col("_reviewed").isNotNull(), MSG_REVIEW_EXISTS)
+    d = _first_wins_rule(d, ["booking_id"], MSG_REVIEW_EXISTS)
+    first, rejected = _split(d)
     created = F.col("requested_at").cast("timestamp_ntz") if "requested_at" in requests.columns else as_of_ts(as_of)
     rows = first.select("request_id", "court_id", "user_id", "booking_id", F.col("rating").cast("int").alias("rating"),
                         F.col("comment").cast("string").alias("comment") if "comment" in first.columns
                         else F.lit(None).cast("string").alias("comment"), created.alias("created_at"))
     rows = assign_ids(rows, t.reviews, [F.col("request_id")]).drop("request_id")
-    rejected = (_rejected(bad, F.col("reason")).unionByName(_rejected(not_done, MSG_REVIEW_BOOKING))
-                .unionByName(_rejected(dup, MSG_REVIEW_EXISTS)).unionByName(_rejected(again, MSG_REVIEW_EXISTS)))
     return Outcome(t.reviews.unionByName(rows.select(*t.reviews.columns), allowMissingColumns=True), rejected, rows)
 
 
@@ -279,16 +296,16 @@ class Settlement(NamedTuple):
 def settle_payments(t: Tables, requests: DataFrame, as_of) -> Settlement:
     """requests(request_id, booking_id, user_id): own booking with payment 'pending' → 'paid' + a payment row."""
     pend = t.bookings.filter(F.col("payment_status") == "pending").select(
-        F.col("id").alias("booking_id"), "user_id", "total_amount")
-    cand = requests.join(pend, ["booking_id", "user_id"])
-    missing = requests.join(pend, ["booking_id", "user_id"], "left_anti")
-    first, again = _first_per(cand, ["booking_id"])
+        F.col("id").alias("booking_id"), "user_id", "total_amount", F.lit(True).alias("_pending"))
+    d = requests.withColumn("reason", F.lit(None).cast("string")).join(pend, ["booking_id", "user_id"], "left")
+    d = _fail(d, F.col("_pending").isNull(), MSG_NOT_PAYABLE)
+    d = _first_wins_rule(d, ["booking_id"], MSG_NOT_PAYABLE)
+    first, rejected = _split(d)
     paid = first.select(F.col("booking_id").alias("id"), F.lit("paid").alias("payment_status"))
     pay = first.select("request_id", "booking_id", F.col("total_amount").cast("decimal(12,2)").alias("amount"),
                        F.lit("online").alias("payment_method"), F.lit(None).cast("string").alias("transaction_id"),
                        F.lit("completed").alias("status"), as_of_ts(as_of).alias("created_at"))
     pay = assign_ids(pay, t.payments, [F.col("request_id")]).drop("request_id")
-    rejected = _rejected(missing, MSG_NOT_PAYABLE).unionByName(_rejected(again, MSG_NOT_PAYABLE))
     return Settlement(merge_updates(t.bookings, paid, "id", ["payment_status"]),
                       t.payments.unionByName(pay.select(*t.payments.columns)), rejected)
 
@@ -317,22 +334,21 @@ class PromotionUpsert(NamedTuple):
 def upsert_promotions(t: Tables, requests: DataFrame, as_of=None) -> PromotionUpsert:
     """Create (id NULL) or edit (id given) promotions from requests.
 
-    Required fields → code unique (upper-cased; an edit may keep its own code;
-    inside the batch the first request wins a code) → defaults: min 0, max
-    NULL when blank or 0, usage_limit −1, target 'all'. Edits of unknown ids
-    are rejected.
+    Required fields → edits of unknown ids rejected → code unique (upper-cased;
+    an edit may keep its own code; inside the batch the first request wins a
+    code) → defaults: min 0, max NULL when blank or 0, usage_limit −1, target
+    'all'. Rules fill one decision frame through left joins.
     """
-    v = validate_requests(requests, "promotion")
-    bad = v.filter(~F.col("valid"))
-    ok = v.filter("valid").drop("valid", "reason").withColumn("_ucode", F.upper("code"))
-    is_edit = F.col("id").isNotNull()
-    unknown = ok.filter(is_edit).join(t.promotions.select("id"), "id", "left_anti")
-    ok = ok.join(unknown.select("request_id"), "request_id", "left_anti")
-    taken = t.promotions.select(F.upper("code").alias("_ucode"), F.col("id").alias("_owner"))
-    clash = (ok.join(taken, "_ucode").filter(F.col("id").isNull() | (F.col("_owner") != F.col("id")))
-             .select("request_id").distinct())
-    ok = ok.join(clash, "request_id", "left_anti")
-    ok, dup = _first_per(ok, ["_ucode"])
+    d = validate_requests(requests, "promotion").drop("valid").withColumn("_ucode", F.upper("code"))
+    known = t.promotions.select("id", F.lit(True).alias("_known"))
+    d = _fail(d.join(known, "id", "left"), F.col("id").isNotNull() & F.col("_known").isNull(), MSG_PROMO_NOT_FOUND)
+    taken = t.promotions.groupBy(F.upper("code").alias("_ucode")).agg(
+        F.count(F.lit(1)).alias("_holders"), F.min("id").alias("_holder"))
+    d = d.join(taken, "_ucode", "left")
+    clash = F.col("_holders").isNotNull() & (F.col("id").isNull() | (F.col("_holders") > 1)
+                                             | (F.col("_holder") != F.col("id")))
+    d = _first_wins_rule(_fail(d, clash, MSG_CODE_EXISTS), ["_ucode"], MSG_CODE_EXISTS)
+    ok, rejected = _split(d)
     vals = {
         "code": F.col("_ucode"),
         "min_booking_amount": F.when(blank("min_booking_amount", True), F.lit(0)).otherwise(
@@ -342,23 +358,20 @@ def upsert_promotions(t: Tables, requests: DataFrame, as_of=None) -> PromotionUp
         "usage_limit": F.when(blank("usage_limit", True), F.lit(-1)).otherwise(F.col("usage_limit")).cast("int"),
         "target_type": F.when(blank("target_type"), F.lit("all")).otherwise(F.col("target_type")),
     }
-    shaped = ok.select("request_id", "id", "created_by",
+    created_at = F.col("requested_at").cast("timestamp_ntz") if "requested_at" in requests.columns \
+        else as_of_ts(as_of)
+    shaped = ok.select("request_id", "id", "created_by", created_at.alias("created_at"),
                        *[vals.get(c, F.col(c) if c in ok.columns else F.lit(None)).alias(c) for c in PROMO_FIELDS])
     edits = shaped.filter(F.col("id").isNotNull())
     promotions = merge_updates(t.promotions, edits, "id", list(PROMO_FIELDS), order="request_id")
-    created_at = F.col("requested_at").cast("timestamp_ntz") if "requested_at" in requests.columns \
-        else as_of_ts(as_of)
-    creates = shaped.filter(F.col("id").isNull()).join(requests.select("request_id", created_at.alias("created_at")),
-                                                       "request_id")
-    creates = assign_ids(creates.drop("id"), t.promotions, [F.col("request_id")])
-    new_rows = creates.select(*[(F.col(c) if c in creates.columns else F.lit(None)).cast(dict(t.promotions.dtypes)[c])
-                                .alias(c) for c in t.promotions.columns if c not in ("is_active", "used_count")],
+    creates = assign_ids(shaped.filter(F.col("id").isNull()).drop("id"), t.promotions, [F.col("request_id")])
+    types = dict(t.promotions.dtypes)
+    new_rows = creates.select(*[(F.col(c) if c in creates.columns else F.lit(None)).cast(types[c]).alias(c)
+                                for c in t.promotions.columns if c not in ("is_active", "used_count")],
                               F.lit(1).alias("is_active"), F.lit(0).alias("used_count"))
     promotions = promotions.unionByName(new_rows.select(*t.promotions.columns))
     accepted = edits.select("request_id", F.col("id").alias("promotion_id"), "target_type").unionByName(
         creates.select("request_id", F.col("id").alias("promotion_id"), "target_type"))
-    rejected = (_rejected(bad, F.col("reason")).unionByName(_rejected(unknown, MSG_PROMO_NOT_FOUND))
-                .unionByName(_rejected(clash, MSG_CODE_EXISTS)).unionByName(_rejected(dup, MSG_CODE_EXISTS)))
     return PromotionUpsert(promotions, accepted, rejected)
 
 
@@ -394,23 +407,23 @@ class CourtChange(NamedTuple):
     rejected: DataFrame
 
 
-def _owned(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split (request_id, court_id, user_id) requests into owned / not owned."""
-    own = t.courts.select(F.col("id").alias("court_id"), "owner_id").join(
-        t.court_owners.select(F.col("id").alias("owner_id"), F.col("user_id")), "owner_id")
-    return (requests.join(own, ["court_id", "user_id"], "left_semi"),
-            requests.join(own, ["court_id", "user_id"], "left_anti"))
+def _ownership(t: Tables) -> DataFrame:
+    """(court_id, user_id, _owned): each court with the user id of its owner."""
+    return t.courts.select(F.col("id").alias("court_id"), "owner_id").join(
+        t.court_owners.select(F.col("id").alias("owner_id"), F.col("user_id")), "owner_id").select(
+        "court_id", "user_id", F.lit(True).alias("_owned"))
 
 
 def delete_courts(t: Tables, requests: DataFrame) -> CourtChange:
     """requests(request_id, court_id, user_id): owned courts without bookings are removed with their images."""
-    owned, not_owned = _owned(t, requests)
-    booked = t.bookings.select("court_id").distinct()
-    busy = owned.join(booked, "court_id", "left_semi")
-    gone = owned.join(booked, "court_id", "left_anti").select("court_id").distinct()
+    d = requests.withColumn("reason", F.lit(None).cast("string")).join(_ownership(t), ["court_id", "user_id"], "left")
+    d = _fail(d, F.col("_owned").isNull(), MSG_COURT_NOT_OWNED)
+    booked = t.bookings.select("court_id").distinct().withColumn("_booked", F.lit(True))
+    d = _fail(d.join(booked, "court_id", "left"), F.col("_booked").isNotNull(), MSG_HAS_BOOKINGS)
+    ok, rejected = _split(d)
+    gone = ok.select("court_id").distinct()
     courts = t.courts.join(gone.withColumnRenamed("court_id", "id"), "id", "left_anti")
     images = t.court_images.join(gone, "court_id", "left_anti")
-    rejected = _rejected(not_owned, MSG_COURT_NOT_OWNED).unionByName(_rejected(busy, MSG_HAS_BOOKINGS))
     return CourtChange(courts, images, rejected)
 
 
@@ -449,44 +462,43 @@ def upsert_courts(t: Tables, requests: DataFrame, new_images: DataFrame | None =
     start active and unapproved. Edits need ownership and overwrite the 15 form
     fields (defaults: synthetic, indoor, 06:00, 22:00; flags to 0/1; blank
     coordinates to NULL). New images get is_primary 0; removals only touch
-    images of the edited court.
+    images of the edited court. One decision frame covers both kinds.
     """
     vals = _court_values(requests)
     created_at = F.col("requested_at").cast("timestamp_ntz") if "requested_at" in requests.columns \
         else as_of_ts(as_of)
+    is_add = F.col("id").isNull()
+    d = (validate_requests(requests, "court").drop("valid")
+         .withColumn("reason", F.when(is_add, F.col("reason")))
+         .withColumn("court_id", F.col("id"))
+         .join(_ownership(t), ["court_id", "user_id"], "left")
+         .join(t.court_owners.groupBy("user_id").agg(F.min("id").alias("_owner_id")), "user_id", "left"))
+    d = _fail(d, ~is_add & F.col("_owned").isNull(), MSG_COURT_NOT_FOUND)
+    d = _fail(d, is_add & F.col("_owner_id").isNull(), MSG_NO_OWNER)
+    ok, rejected = _split(d)
+    ok = ok.select("request_id", "id", F.col("_owner_id").alias("owner_id"),
+                   *[vals[c].alias(c) for c in COURT_EDIT_FIELDS], created_at.alias("created_at"))
     # edits
-    edits = requests.filter(F.col("id").isNotNull()).withColumn("court_id", F.col("id"))
-    owned, not_owned = _owned(t, edits)
-    edit_rows = owned.select("request_id", "id", *[vals[c].alias(c) for c in COURT_EDIT_FIELDS])
+    edit_rows = ok.filter(F.col("id").isNotNull())
     courts = merge_updates(t.courts, edit_rows, "id", list(COURT_EDIT_FIELDS), order="request_id")
     # adds
-    adds = validate_requests(requests.filter(F.col("id").isNull()), "court")
-    bad = adds.filter(~F.col("valid"))
-    owners = t.court_owners.select(F.col("id").alias("owner_id"), "user_id")
-    adds_ok = adds.filter("valid").join(owners, "user_id", "left")
-    no_owner = adds_ok.filter(F.col("owner_id").isNull())
-    add_rows = adds_ok.filter(F.col("owner_id").isNotNull()).select(
-        "request_id", "owner_id", *[vals[c].alias(c) for c in COURT_EDIT_FIELDS],
-        F.lit(1).alias("is_active"), F.lit(0).alias("is_approved"), created_at.alias("created_at"))
-    add_rows = assign_ids(add_rows, t.courts, [F.col("request_id")])
+    add_rows = assign_ids(ok.filter(F.col("id").isNull()).drop("id").withColumn("is_active", F.lit(1))
+                          .withColumn("is_approved", F.lit(0)), t.courts, [F.col("request_id")])
     types = dict(t.courts.dtypes)
     courts = courts.unionByName(add_rows.select(*[(F.col(c) if c in add_rows.columns else F.lit(None))
                                                   .cast(types[c]).alias(c) for c in t.courts.columns]))
     # images: resolve each request's court id (edit target or new id)
-    target = owned.select("request_id", F.col("id").alias("court_id")).unionByName(
-        add_rows.select("request_id", F.col("id").alias("court_id")))
-    stamp = requests.select("request_id", created_at.alias("_stamp"))
+    target = edit_rows.select("request_id", F.col("id").alias("court_id"), "created_at").unionByName(
+        add_rows.select("request_id", F.col("id").alias("court_id"), "created_at"))
     images = t.court_images
     if removed_images is not None:
         rm = removed_images.join(target, "request_id").select(F.col("image_id").alias("id"), "court_id")
         images = images.join(rm, ["id", "court_id"], "left_anti")
     if new_images is not None:
-        new = new_images.join(target, "request_id").join(stamp, "request_id").select(
-            "request_id", "court_id", "image_path", F.lit(0).alias("is_primary"), F.col("_stamp").alias("created_at"))
+        new = new_images.join(target, "request_id").select(
+            "request_id", "court_id", "image_path", F.lit(0).alias("is_primary"), "created_at")
         new = assign_ids(new, t.court_images, [F.col("request_id"), F.col("image_path")]).drop("request_id")
         images = images.unionByName(new.select(*[c for c in images.columns]), allowMissingColumns=True)
-    rejected = (_rejected(not_owned, MSG_COURT_NOT_FOUND).unionByName(_rejected(bad, F.col("reason")))
-                .unionByName(_rejected(no_owner, MSG_NO_OWNER)))
     return CourtChange(courts, images, rejected)
 
 

@@ -56,14 +56,22 @@ def audit_check(t: Tables) -> DataFrame:
 
 
 def audit_foreign_keys(t: Tables) -> DataFrame:
-    """Orphans: (child, column, id, missing_key) where a non-NULL key has no parent row."""
-    frames = []
+    """Orphans: (child, column, id, missing_key) where a non-NULL key has no parent row.
+
+    All references to the same parent table are unioned first (a narrow
+    operation), so each parent needs one anti join — one shuffle of its key
+    set — however many foreign keys point at it.
+    """
+    by_parent: dict[str, list[DataFrame]] = {}
     for child, col, parent in FOREIGN_KEYS:
-        c, p = getattr(t, child), getattr(t, parent)
+        c = getattr(t, child)
         if col not in c.columns:
             continue
-        keys = p.select(F.col("id").alias(col)).distinct()
-        frames.append(c.filter(F.col(col).isNotNull()).join(keys, col, "left_anti").select(
+        by_parent.setdefault(parent, []).append(c.filter(F.col(col).isNotNull()).select(
             F.lit(child).alias("child"), F.lit(col).alias("column"), F.col("id"),
             F.col(col).cast("bigint").alias("missing_key")))
-    return _union(frames)
+    frames = []
+    for parent, refs in by_parent.items():
+        keys = getattr(t, parent).select(F.col("id").cast("bigint").alias("missing_key")).distinct()
+        frames.append(_union(refs).join(keys, "missing_key", "left_anti"))
+    return _union(frames).select("child", "column", "id", "missing_key")
