@@ -331,3 +331,10 @@ QUERIES.update({
     "update_profiles": _profile_update,
     "court_search_with_images": lambda s, d: S.court_search(T(s, d), location="europe", with_images=True),
 })
+
+# ---- the sales dashboard from one shared aggregate ---------------------------
+from slotwise.operators import dashboard as DB  # noqa: E402
+
+for _part in ("monthly", "today", "yearly", "daily", "weekday"):
+    QUERIES[f"sales_dashboard_{_part}"] = (
+        lambda p: lambda s, d: getattr(DB.sales_dashboard(T(s, d), AS_OF, cache=False), p))(_part)
