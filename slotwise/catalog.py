@@ -79,6 +79,7 @@ SLOT_DAY = "2001-06-15"
 
 QUERIES.update({
     "recent_bookings": lambda s, d: L.recent_bookings(T(s, d)),
+    "recent_bookings_fk_checked": lambda s, d: L.recent_bookings(T(s, d), fk_checked=True),
     "pending_courts": lambda s, d: L.pending_courts(T(s, d)),
     "admin_courts": lambda s, d: L.admin_courts(T(s, d)),
     "admin_bookings": lambda s, d: L.admin_bookings(T(s, d)),

@@ -22,11 +22,20 @@ def _court_cols(t: Tables, *cols) -> DataFrame:
     return t.courts.select(F.col("id").alias("court_id"), *cols)
 
 
-def recent_bookings(t: Tables, n: int = 10) -> DataFrame:
-    """Newest ``n`` bookings platform-wide with court name and booker's names."""
-    out = (t.bookings.join(_court_cols(t, F.col("name").alias("court_name")), "court_id")
+def recent_bookings(t: Tables, n: int = 10, fk_checked: bool = False) -> DataFrame:
+    """Newest ``n`` bookings platform-wide with court name and booker's names.
+
+    The inner joins drop bookings whose court or user is missing, so by
+    default the top ``n`` is taken after the joins. With ``fk_checked=True``
+    (foreign keys audited clean, see ``quality.audit_foreign_keys``) no booking
+    can be dropped, so the top ``n`` is taken first — a per-partition top-k
+    with no shuffle of bookings — and only ``n`` rows are joined.
+    """
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    b = t.bookings.orderBy(*order).limit(n) if fk_checked else t.bookings
+    out = (b.join(_court_cols(t, F.col("name").alias("court_name")), "court_id")
            .join(_users(t, "user_id", "first_name", "last_name"), "user_id"))
-    return (out.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()).limit(n)
+    return (out.orderBy(*order).limit(n)
             .select(*t.bookings.columns, "court_name", "first_name", "last_name"))
 
 
