@@ -19,7 +19,11 @@ def hhmm(hour: str | Column, minute: str = "00") -> Column:
 
 
 def slot_ts(date_col: str | Column, time_col: str | Column) -> Column:
-    """booking_date + 'HH:MM' -> TIMESTAMP_NTZ (for lead-time tests)."""
+    """booking_date + 'HH:MM' -> TIMESTAMP_NTZ, built from its parts (independent of the session
+    time zone); NULL when the time is not a valid 'HH:MM'."""
     d = F.col(date_col) if isinstance(date_col, str) else date_col
     t = F.col(time_col) if isinstance(time_col, str) else time_col
-    return F.try_to_timestamp(F.concat(d.cast("string"), F.lit(" "), t), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+    hh = F.split_part(t, F.lit(":"), F.lit(1)).try_cast("int")
+    mm = F.split_part(t, F.lit(":"), F.lit(2)).try_cast("int")
+    ok = (F.length(t) == 5) & hh.between(0, 23) & mm.between(0, 59)
+    return F.when(ok, F.try_make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), hh, mm, F.lit(0)))
