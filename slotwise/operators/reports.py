@@ -209,27 +209,26 @@ def owner_sales_headline(t: Tables, as_of, calendar: bool = False, share: float
     """Per owner: 'annual' = Σ over all months, 'current month' = latest month with data, today.
 
     ``calendar=True`` restricts annual to as_of's year and current month to as_of's month.
+    All three come from one per-(owner, created day) aggregate of confirmed bookings, so
+    bookings are scanned once. Sums stay exact decimals and are rounded like toFixed(2).
     """
-    m = owner_monthly_earnings(t, share=share)
+    daily = per_owner(t, F.col("booking_status") == CONFIRMED, {"_day": F.to_date("created_at")})
+    monthly = daily.groupBy("owner_id", month("_day").alias("month")).agg(
+        F.sum(share_of(F.col("amount"), share)).alias("_m"))
     if calendar:
-        m = m.filter(F.substring("month", 1, 4) == year_text(as_of_ts(as_of)))
-        cur = m.filter(F.col("month") == month(as_of_ts(as_of))).groupBy("owner_id").agg(
-            F.sum("earnings").alias("_cur"))
-        annual = m.groupBy("owner_id").agg(F.sum("earnings").alias("_annual"))
-        heads = annual.join(cur, "owner_id", "full")
+        ts = as_of_ts(as_of)
+        heads = monthly.filter(F.substring("month", 1, 4) == year_text(ts)).groupBy("owner_id").agg(
+            F.sum("_m").alias("_annual"), F.sum(F.when(F.col("month") == month(ts), F.col("_m"))).alias("_cur"))
     else:
-        # exact decimal sums, rounded like toFixed(2)
-        agg = per_owner(t, F.col("booking_status") == CONFIRMED, {"month": month("created_at")})
-        heads = agg.groupBy("owner_id").agg(
-            F.sum(share_of(F.col("amount"), share)).alias("_annual"),
-            F.max_by(share_of(F.col("amount"), share), F.col("month")).alias("_cur"))
-    today = owner_today_sales(t, as_of, share=share)
+        heads = monthly.groupBy("owner_id").agg(F.sum("_m").alias("_annual"),
+                                                F.max_by("_m", "month").alias("_cur"))
+    today = daily.filter(F.col("_day") == as_of_date(as_of)).groupBy("owner_id").agg(
+        F.sum(share_of(F.col("amount"), share)).alias("_today"))
     owners = t.court_owners.select(F.col("id").alias("owner_id"))
     out = owners.join(heads, "owner_id", "left").join(today, "owner_id", "left")
     r2 = lambda c: _dbl(F.round(F.coalesce(F.col(c).cast("decimal(38,3)"), F.lit(0)), 2))
-    return out.select("owner_id", r2("_annual").alias("annual_sales"),
-                      r2("_cur").alias("current_month_sales"),
-                      _dbl(F.round(F.col("today_sales"), 2)).alias("today_sales"))
+    return out.select("owner_id", r2("_annual").alias("annual_sales"), r2("_cur").alias("current_month_sales"),
+                      r2("_today").alias("today_sales"))
 
 
 def sales_chart_series(t: Tables, as_of, period: str = "yearly", share: float = OWNER_SHARE) -> DataFrame:
