@@ -95,3 +95,19 @@ def test_new_rows_are_priced_and_numbered(spark):
     assert row["id"] == 42 and float(row["total_amount"]) == 35.0 and len(row["notes"]) == 255
     assert row["booking_status"] == "confirmed" and row["payment_status"] == "pending"
     assert res.usage.count() == 1
+
+
+def test_slot_selection_flows_into_admission(spark, small_dir):
+    """Lifecycle C: chosen slots → booking requests → admission, against the sequential rule."""
+    from pyspark.sql import functions as F
+
+    fx = Fixture(spark, small_dir)
+    t = fx.tables()
+    collapsed = CH.slots_to_booking(fx.view("slot_requests"), t.courts)
+    req = collapsed.select("request_id", "court_id", "booking_date", "start_time", "end_time", "total_hours",
+                           F.lit(7).cast("long").alias("user_id"))
+    want = sequential([r.asDict() for r in t.bookings.collect()], [r.asDict() for r in t.courts.collect()],
+                      [r.asDict() for r in req.collect()], False)
+    got, n_acc = run(spark, t, req, False)
+    assert got == {k: v for k, v in want.items() if v is not None}
+    assert n_acc == sum(v is None for v in want.values()) > 0
