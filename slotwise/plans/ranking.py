@@ -35,6 +35,28 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
+def global_positions(df: DataFrame, order: Sequence[Column], name: str = "position",
+                     partitions: int | None = None) -> DataFrame:
+    """1-based row number of every row under ``order`` (a total order), like ``zipWithIndex``.
+
+    Range-partition and sort within partitions (one shuffle); inside a
+    partition ``monotonically_increasing_id`` counts rows consecutively, so a
+    row's index is its id minus the partition's first id. The materialised
+    pieces give a per-partition count table of at most ``partitions`` rows —
+    a proven bound, so it is broadcast for the offsets.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                .withColumn("_piece", F.spark_partition_id()).withColumn("_idx", F.monotonically_increasing_id()))
+    pieces = keyed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("_piece", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    out = keyed.join(F.broadcast(offsets), "_piece")
+    return out.withColumn(name, F.col("_idx") - F.col("_first") + 1 + F.col("_offset")).drop(
+        "_piece", "_idx", "_first", "_offset")
+
+
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "position",
               size_name: str | None = None, partitions: int | None = None) -> DataFrame:
     """Add 1-based ``name`` = row number of each row within its ``by`` group under ``order``.
@@ -42,6 +64,8 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
     ``order`` must be a total order inside a group (end it with a unique key).
     ``size_name`` (optional) adds the group's row count.
     """
+    if not by and not size_name:
+        return global_positions(df, order, name, partitions)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartitionByRange(n, *_cols(by), *order).withColumn("_piece", F.spark_partition_id())
