@@ -4,10 +4,12 @@
 rankings we instead:
 
 1. range-partition by (g, order…) — sampling puts the cut points inside a hot
-   group, so its rows spread over several partitions;
-2. number rows locally within (partition, g) — those pieces are balanced;
-3. count rows per (partition, g) — a tiny table (≤ groups + partitions rows) —
-   and turn it into per-piece offsets with a window over g ordered by partition
+   group, so its rows spread over several partitions — and sort within
+   partitions;
+2. number rows locally within each (partition, g) piece from a per-partition
+   running id — no second shuffle;
+3. count rows per piece — a tiny table (≤ groups + partitions rows) — and
+   turn it into per-piece offsets with a window over g ordered by partition
    (at most one row per partition per group);
 4. position = local number + offset, and the group size comes along.
 
@@ -35,56 +37,44 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def global_positions(df: DataFrame, order: Sequence[Column], name: str = "position",
-                     partitions: int | None = None) -> DataFrame:
-    """1-based row number of every row under ``order`` (a total order), like ``zipWithIndex``.
-
-    Range-partition and sort within partitions (one shuffle); inside a
-    partition ``monotonically_increasing_id`` counts rows consecutively, so a
-    row's index is its id minus the partition's first id. The materialised
-    pieces give a per-partition count table of at most ``partitions`` rows —
-    a proven bound, so it is broadcast for the offsets.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("_piece", F.spark_partition_id()).withColumn("_idx", F.monotonically_increasing_id()))
-    pieces = keyed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
-    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select("_piece", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    out = keyed.join(F.broadcast(offsets), "_piece")
-    return out.withColumn(name, F.col("_idx") - F.col("_first") + 1 + F.col("_offset")).drop(
-        "_piece", "_idx", "_first", "_offset")
-
-
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "position",
               size_name: str | None = None, partitions: int | None = None) -> DataFrame:
     """Add 1-based ``name`` = row number of each row within its ``by`` group under ``order``.
 
-    ``order`` must be a total order inside a group (end it with a unique key).
-    ``size_name`` (optional) adds the group's row count.
+    ``order`` must be a total order inside a group (end it with a unique key);
+    ``by=[]`` numbers the whole frame (like ``zipWithIndex``). ``size_name``
+    (optional) adds the group's row count.
+
+    Range-partition by (by, order) and sort within partitions — one shuffle.
+    Inside a partition ``monotonically_increasing_id`` counts rows
+    consecutively, so a row's local number is its id minus the first id of its
+    (partition, group) piece. The piece table (count and first id per piece)
+    has at most groups + partitions rows; a window over it gives each piece
+    the rows of its group in earlier partitions. Without groups it has at
+    most ``partitions`` rows — a proven bound — and is broadcast.
     """
-    if not by and not size_name:
-        return global_positions(df, order, name, partitions)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.repartitionByRange(n, *_cols(by), *order).withColumn("_piece", F.spark_partition_id())
-    local = cut(keyed.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_piece", *by).orderBy(*order))))
-    pieces = local.groupBy("_piece", *by).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [*_cols(by), *order]
+    keyed = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                .withColumn("_piece", F.spark_partition_id()).withColumn("_idx", F.monotonically_increasing_id()))
+    pieces = keyed.groupBy("_piece", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if size_name:
         pieces = pieces.withColumn(size_name, F.sum("_n").over(Window.partitionBy(*by)))
     extra = [size_name] if size_name else []
     # renamed copy: both sides descend from `keyed`, so avoid ambiguous self-join references
-    p = pieces.select(F.col("_piece").alias("_p_piece"),
-                      *[F.col(c).alias(f"_p_by{i}") for i, c in enumerate(by)], "_offset", *extra)
+    p = pieces.select(F.col("_piece").alias("_p_piece"), *[F.col(c).alias(f"_p_by{i}") for i, c in enumerate(by)],
+                      "_first", "_offset", *extra)
+    if not by:
+        p = F.broadcast(p)
     # null-safe equality so a NULL group is a group, like PARTITION BY
     cond = [F.col("_piece") == F.col("_p_piece")] + [F.col(c).eqNullSafe(F.col(f"_p_by{i}"))
                                                       for i, c in enumerate(by)]
-    out = local.join(p, on=cond).drop("_p_piece", *[f"_p_by{i}" for i in range(len(by))])
-    return out.withColumn(name, F.col("_local") + F.col("_offset")).drop("_piece", "_local", "_offset")
+    out = keyed.join(p, on=cond).drop("_p_piece", *[f"_p_by{i}" for i in range(len(by))])
+    return out.withColumn(name, F.col("_idx") - F.col("_first") + 1 + F.col("_offset")).drop(
+        "_piece", "_idx", "_first", "_offset")
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rn",
