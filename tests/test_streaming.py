@@ -31,3 +31,16 @@ def test_later_batches_see_earlier_admissions(spark):
                       False)
     assert got == {k: v for k, v in want.items() if v is not None}
     assert spark.read.parquet(f"{out}/bookings").count() == sum(v is None for v in want.values())
+
+
+def test_restart_from_checkpoint_does_not_duplicate(spark):
+    t = H.tables(spark, courts=[H.court(1)])
+    src = tempfile.mkdtemp(prefix="req-")
+    rows = [(1, 1, "10:00", "11:00"), (2, 1, "10:30", "11:30"), (3, 1, "12:00", "13:00")]
+    spark.createDataFrame([(r, c, H.d("2001-06-15"), s, e, 1, 7) for r, c, s, e in rows], SCHEMA) \
+        .coalesce(1).write.parquet(f"{src}/part0")
+    out, ckpt = tempfile.mkdtemp(prefix="out-"), tempfile.mkdtemp(prefix="ckpt-")
+    for _ in range(2):      # the second start finds nothing new in the checkpoint and writes nothing
+        admit_stream(spark, t, f"{src}/*", SCHEMA, out, ckpt).awaitTermination(120)
+    assert spark.read.parquet(f"{out}/bookings").count() == 2
+    assert [r["request_id"] for r in spark.read.parquet(f"{out}/rejected").collect()] == [2]
