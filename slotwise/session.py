@@ -16,6 +16,12 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # shuffle partitions coalesce towards 128 MB; a partition 5x the median and over 256 MB counts as skewed
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+    # scan splits of 256 MB of parquet: a few hundred MB of rows per task, well inside executor memory
+    "spark.sql.files.maxPartitionBytes": "256MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.sources.fileCompressionFactor": "3.0",
