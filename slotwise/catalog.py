@@ -331,6 +331,8 @@ QUERIES.update({
     "validate_requests_court": lambda s, d: S.validate_requests(V(s, d, "court_requests"), "court"),
     "update_profiles": _profile_update,
     "court_search_with_images": lambda s, d: S.court_search(T(s, d), location="europe", with_images=True),
+    "owner_court_search_with_images": lambda s, d: S.owner_court_search(T(s, d), indoor_outdoor="outdoor",
+                                                                        with_images=True),
 })
 
 # ---- the sales dashboard from one shared aggregate ---------------------------

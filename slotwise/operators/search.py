@@ -76,7 +76,7 @@ def court_search(t: Tables, location: str | None = None, court_type: str | None
 
 def owner_court_search(t: Tables, location: str | None = None, court_type: str | None = None,
                        indoor_outdoor: str | None = None, has_ac: bool = False, has_parking: bool = False,
-                       has_food: bool = False, owner_id=None) -> DataFrame:
+                       has_food: bool = False, owner_id=None, with_images: bool = False) -> DataFrame:
     """An owner's courts (all owners at once) matching the filters; location matches address or name."""
     courts = t.courts.filter(F.col("owner_id").isNotNull())
     if owner_id is not None:
@@ -87,8 +87,12 @@ def owner_court_search(t: Tables, location: str | None = None, court_type: str |
     courts = courts.filter(_all(preds))
     nb = t.bookings.groupBy(F.col("court_id").alias("id")).agg(F.count(F.lit(1)).alias("booking_count"))
     nr = t.reviews.groupBy(F.col("court_id").alias("id")).agg(F.avg("rating").alias("avg_rating"))
-    return courts.join(nb, "id", "left").join(nr, "id", "left").select(
+    out = courts.join(nb, "id", "left").join(nr, "id", "left").select(
         *t.courts.columns, F.coalesce("booking_count", F.lit(0)).cast("bigint").alias("booking_count"), "avg_rating")
+    if with_images:
+        from slotwise.operators.listings import court_images_nested
+        out = out.join(court_images_nested(t).withColumnRenamed("court_id", "id"), "id", "left")
+    return out
 
 
 def users_by_role(t: Tables, role: str = "user") -> DataFrame:
