@@ -53,10 +53,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Read from the session; only when the session has none (local tests) is
-    ``fallback`` installed as the SparkContext checkpoint folder.
+    ``fallback`` installed as the SparkContext checkpoint folder. A Spark
+    Connect session has no SparkContext here; its server-side setting is used.
     """
-    sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no driver-side SparkContext
+        if current or fallback:
+            return current or fallback
+        raise RuntimeError("spark.checkpoint.dir is not set") from None
+    current = current or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
