@@ -7,7 +7,9 @@ pass in row order; we evaluate it in set-based rounds over the undecided rows:
   to (among undecided rows) is certainly kept — nothing before it can block it;
 * undecided rows sharing a key with a row kept this round are ignored;
 * repeat. The global minimum is always kept, so every round makes progress;
-  real batches settle in a few rounds.
+* once at most ``FINISH_ROWS`` rows are undecided they are settled by one
+  sequential pass in a single task — a fixed bound, and exact, because those
+  rows can only conflict among themselves.
 
 Each round is grouped aggregates (partial aggregation, so a hot key never
 lands whole in one task) and joins over the still-undecided rows only; each
@@ -19,12 +21,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.plans.lineage import cut
 
 ORDER, STATUS = "_greedy_order", "_greedy_status"
+# Undecided rows at or below this count are settled by one sequential pass in a single task.
+FINISH_ROWS = 100_000
+
+
+def _sequential(keys: Sequence[Sequence[str]]):
+    """Grouped-map body: the greedy itself, in order, over a bounded set of rows."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = [set() for _ in keys]
+        status = []
+        for row in pdf.sort_values(ORDER).to_dict("records"):
+            vals = [tuple(row[c] for c in key) for key in keys]
+            live = [not any(pd.isna(x) for x in v) for v in vals]
+            hit = any(ok and v in s for ok, v, s in zip(live, vals, seen))
+            if not hit:
+                for ok, v, s in zip(live, vals, seen):
+                    if ok:
+                        s.add(v)
+            status.append((row[ORDER], 2 if hit else 1))
+        return pd.DataFrame(status, columns=[ORDER, STATUS])
+    return run
 
 
 def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +90,17 @@ def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> t
         kept_parts.append(state.filter(F.col(STATUS) == 1))
         ignored_parts.append(state.filter(F.col(STATUS) == 2))
         undecided = state.filter(F.col(STATUS) == 0).drop(STATUS)
-        if undecided.isEmpty():
+        left = undecided.count()
+        if left == 0:
+            break
+        if left <= FINISH_ROWS:
+            # the rest only conflict among themselves (earlier kept rows already blocked theirs)
+            cols = sorted({c for key in keys for c in key})
+            done = (undecided.select(ORDER, *cols).groupBy(F.lit(0).alias("_all"))
+                    .applyInPandas(_sequential(keys), f"{ORDER} long, {STATUS} int"))
+            last = cut(undecided.join(done, ORDER))
+            kept_parts.append(last.filter(F.col(STATUS) == 1))
+            ignored_parts.append(last.filter(F.col(STATUS) == 2))
             break
     kept, ignored = kept_parts[0], ignored_parts[0]
     for k, i in zip(kept_parts[1:], ignored_parts[1:]):

@@ -24,8 +24,11 @@ def sequential(rows, keys):
     return set(kept)
 
 
+@pytest.mark.parametrize("finish", [0, 100_000])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_first_wins_matches_sequential(spark, seed):
+def test_first_wins_matches_sequential(spark, seed, finish, monkeypatch):
+    import slotwise.plans.greedy as G
+    monkeypatch.setattr(G, "FINISH_ROWS", finish)        # 0: rounds only; else: rounds + sequential finish
     rnd = random.Random(seed)
     rows = [{"o": i, "a": rnd.randrange(15), "b": rnd.choice([None] + list(range(12)))} for i in range(200)]
     rnd.shuffle(rows)
@@ -35,10 +38,14 @@ def test_first_wins_matches_sequential(spark, seed):
     assert kept.count() + ignored.count() == len(rows)
 
 
-def test_chain_blocked_only_by_ignored_row_is_kept(spark):
-    df = spark.createDataFrame([(1, "u1", "e1"), (2, "u2", "e1"), (3, "u2", "e2")], "o long, u string, e string")
+@pytest.mark.parametrize("finish", [0, 100_000])
+def test_chain_blocked_only_by_ignored_row_is_kept(spark, finish, monkeypatch):
+    import slotwise.plans.greedy as G
+    monkeypatch.setattr(G, "FINISH_ROWS", finish)
+    df = spark.createDataFrame([(1, "u1", "e1"), (2, "u2", "e1"), (3, "u2", "e2"), (4, "u3", "e2"), (5, "u3", "e3")],
+                               "o long, u string, e string")
     kept, _ = first_wins(df, [["u"], ["e"]], "o")
-    assert sorted(r["o"] for r in kept.collect()) == [1, 3]
+    assert sorted(r["o"] for r in kept.collect()) == [1, 3, 5]
 
 
 def test_registrations_match_sequential(spark, small_dir):
