@@ -433,12 +433,15 @@ COURT_EDIT_FIELDS = ("name", "description", "address", "latitude", "longitude",
 
 
 def _court_values(df: DataFrame) -> dict[str, Column]:
+    types = dict(df.dtypes)
+
     def col(c):
         return F.col(c) if c in df.columns else F.lit(None)
 
     def flag(c):
-        # a form checkbox is truthy when present and not '' / 0
-        return F.when(~blank(col(c).cast("string")) & (col(c).cast("string") != "0"), 1).otherwise(0)
+        # `x ? 1 : 0` in JavaScript: text is true unless empty, numbers unless 0, NULL is false
+        numeric = c in types and not types[c].startswith(("string", "varchar", "char"))
+        return F.when(~blank(col(c), numeric), 1).otherwise(0)
 
     return {
         "name": col("name"), "description": col("description"), "address": col("address"),

@@ -182,3 +182,17 @@ def test_eligible_vouchers_multiplicity_and_minimum(spark):
                                 "request_id long, user_id long, booking_date date, booking_amount decimal(12,2)")
     got = rows(VO.eligible_vouchers(t, req), "request_id", "id")
     assert got == [(1, 1), (1, 1), (1, 2), (3, 1), (3, 1), (3, 3)]
+
+
+def test_court_form_flags_follow_js_truthiness(spark):
+    t = H.tables(spark, courts=[H.court(1)], court_owners=[H.owner(1, 10)], users=[H.user(10, role="owner")])
+    req = spark.createDataFrame(
+        [(1, None, 10, "A", "addr", H.m(20), "on", "0", "", None)],
+        "request_id long, id long, user_id long, name string, address string, hourly_rate decimal(12,2), "
+        "has_ac string, has_food string, has_parking string, court_type string")
+    out = CH.upsert_courts(t, req)
+    row = out.courts.filter("name = 'A'").collect()[0]
+    assert (row["has_ac"], row["has_food"], row["has_parking"]) == (1, 1, 0)
+    assert (row["court_type"], row["indoor_outdoor"], row["open_time"], row["close_time"]) == \
+        ("synthetic", "indoor", "06:00", "22:00")
+    assert (row["is_active"], row["is_approved"], row["owner_id"], row["id"]) == (1, 0, 1, 2)
