@@ -60,9 +60,14 @@ def admin_courts(t: Tables) -> DataFrame:
 
 
 def admin_bookings(t: Tables) -> DataFrame:
-    """Every booking with court, owner business and booker details."""
-    courts = _court_cols(t, F.col("name").alias("court_name"), "owner_id")
-    return (t.bookings.join(courts, "court_id").join(_owners(t, "business_name"), "owner_id")
+    """Every booking with court, owner business and booker details.
+
+    The court → owner chain is joined first (court-sized), so bookings take
+    part in one join per key instead of being reshuffled by owner_id.
+    """
+    courts = _court_cols(t, F.col("name").alias("court_name"), "owner_id").join(
+        _owners(t, "business_name"), "owner_id").drop("owner_id")
+    return (t.bookings.join(courts, "court_id")
             .join(_users(t, "user_id", "first_name", "last_name", "email"), "user_id")
             .select(*t.bookings.columns, "court_name", "business_name", "first_name", "last_name", "email"))
 
@@ -76,8 +81,9 @@ def payout_list(t: Tables) -> DataFrame:
 def user_bookings(t: Tables, user_id=None, detail: bool = False) -> DataFrame:
     """Bookings with court and owner contact; ``detail`` adds the booker's names."""
     b = t.bookings if user_id is None else t.bookings.filter(F.col("user_id") == F.lit(user_id))
-    courts = _court_cols(t, F.col("name").alias("court_name"), F.col("address").alias("court_address"), "owner_id")
-    out = b.join(courts, "court_id").join(_owners(t, "business_name", "business_phone"), "owner_id")
+    courts = _court_cols(t, F.col("name").alias("court_name"), F.col("address").alias("court_address"),
+                         "owner_id").join(_owners(t, "business_name", "business_phone"), "owner_id").drop("owner_id")
+    out = b.join(courts, "court_id")
     cols = [*t.bookings.columns, "court_name", "court_address", "business_name", "business_phone"]
     if detail:
         out = out.join(_users(t, "user_id", "first_name", "last_name"), "user_id")
