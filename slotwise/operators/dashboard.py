@@ -4,7 +4,8 @@ The reference's page runs seven queries one after another, each rescanning
 bookings ⋈ courts. Here confirmed bookings are reduced once to a per-court
 daily aggregate — (court, created date, booking weekday, inside the trend
 window) → amount, count — which is tiny next to bookings (courts × days × 7).
-Monthly, yearly, daily, today's and weekday reports are all roll-ups of it.
+Monthly, yearly, daily, today's and weekday reports, court demand and the
+demand bands are all roll-ups of it; only the recent-bookings list reads rows.
 That shared frame is cached because several reports read it in the same job
 (the one place caching pays off); on executor loss it is recomputed from
 lineage like any other stage.
@@ -18,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import as_of_date, as_of_ts, day_text, month, weekday_text, year_text
-from slotwise.operators.reports import CONFIRMED, OWNER_SHARE, TREND_DAYS, court_demand, demand_split, \
-    owner_recent_bookings
+from slotwise.operators.reports import CONFIRMED, OWNER_SHARE, TREND_DAYS, demand_split, owner_recent_bookings
 from slotwise.plans.rollup import court_owner, share_of
 from slotwise.sources.tables import Tables
 
@@ -64,5 +64,10 @@ def sales_dashboard(t: Tables, as_of, share: float = OWNER_SHARE, days: int = TR
                .groupBy("owner_id", day_text("_day").alias("day")).agg(amount().alias("sales")))
     weekday = (daily.filter(F.col("_recent")).groupBy("owner_id", F.col("_dow").alias("day_of_week"))
                .agg(F.sum("_n").alias("bookings")))
-    return Dashboard(monthly, today, yearly, per_day, weekday, court_demand(t, share=share),
-                     demand_split(t), owner_recent_bookings(t, confirmed_only=True))
+    per_court = daily.groupBy("court_id").agg(F.sum("_n").alias("_cn"), F.sum("_amt").alias("_ca"))
+    owned = t.courts.filter(F.col("owner_id").isNotNull()).select("owner_id", F.col("id").alias("court_id"), "name")
+    demand = owned.join(per_court, "court_id", "left").select(
+        "owner_id", "court_id", "name", F.coalesce("_cn", F.lit(0)).cast("bigint").alias("bookings"),
+        _dbl(F.coalesce(share_of(F.col("_ca"), share), F.lit(0))).alias("revenue"))
+    return Dashboard(monthly, today, yearly, per_day, weekday, demand, demand_split(t, demand=demand),
+                     owner_recent_bookings(t, confirmed_only=True))

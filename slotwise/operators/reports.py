@@ -286,7 +286,8 @@ def court_demand(t: Tables, owner_id=None, share: float = OWNER_SHARE) -> DataFr
         _dbl(F.coalesce(share_of(F.col("_amt"), share), F.lit(0))).alias("revenue"))
 
 
-def demand_split(t: Tables, high: float = HIGH_DEMAND, low: float = LOW_DEMAND, owner_id=None) -> DataFrame:
+def demand_split(t: Tables, high: float = HIGH_DEMAND, low: float = LOW_DEMAND, owner_id=None,
+                 demand: DataFrame | None = None) -> DataFrame:
     """Per owner, courts ranked by bookings (desc, court id): 'high' = first ceil(n·high),
     'low' = last ceil(n·low) listed from the bottom up. A court can be in both bands.
 
@@ -294,7 +295,7 @@ def demand_split(t: Tables, high: float = HIGH_DEMAND, low: float = LOW_DEMAND,
     slightly above 3, so its ceiling is 4). Ranking uses the skew-safe
     ``positions`` (an owner with a third of all courts is spread over tasks).
     """
-    d = court_demand(t, owner_id)
+    d = court_demand(t, owner_id) if demand is None else demand
     ranked = positions(d, ["owner_id"], [F.col("bookings").desc(), F.col("court_id").asc()],
                        name="_rank", size_name="_n")
     n = F.col("_n").cast("double")
