@@ -338,6 +338,7 @@ QUERIES.update({
 # ---- the sales dashboard from one shared aggregate ---------------------------
 from slotwise.operators import dashboard as DB  # noqa: E402
 
-for _part in ("monthly", "today", "yearly", "daily", "weekday", "demand", "demand_bands", "recent"):
+for _part in ("monthly", "today", "yearly", "daily", "weekday", "demand", "demand_bands", "recent", "chart_yearly",
+              "chart_monthly"):
     QUERIES[f"sales_dashboard_{_part}"] = (
         lambda p: lambda s, d: getattr(DB.sales_dashboard(T(s, d), AS_OF, cache=False), p))(_part)

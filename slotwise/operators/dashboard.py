@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import as_of_date, as_of_ts, day_text, month, weekday_text, year_text
-from slotwise.operators.reports import CONFIRMED, OWNER_SHARE, TREND_DAYS, demand_split, owner_recent_bookings
+from slotwise.operators.reports import CONFIRMED, OWNER_SHARE, TREND_DAYS, chart_arrays, demand_split, \
+    owner_recent_bookings
 from slotwise.plans.rollup import court_owner, share_of
 from slotwise.sources.tables import Tables
 
@@ -33,6 +34,8 @@ class Dashboard(NamedTuple):
     demand: DataFrame         # court_demand
     demand_bands: DataFrame   # demand_split
     recent: DataFrame         # owner_recent_bookings(confirmed_only=True)
+    chart_yearly: DataFrame   # sales_chart_series(period='yearly')
+    chart_monthly: DataFrame  # sales_chart_series(period='monthly')
 
 
 def _dbl(c):
@@ -69,5 +72,7 @@ def sales_dashboard(t: Tables, as_of, share: float = OWNER_SHARE, days: int = TR
     demand = owned.join(per_court, "court_id", "left").select(
         "owner_id", "court_id", "name", F.coalesce("_cn", F.lit(0)).cast("bigint").alias("bookings"),
         _dbl(F.coalesce(share_of(F.col("_ca"), share), F.lit(0))).alias("revenue"))
+    charts = [chart_arrays(yearly.select("owner_id", F.col("month").alias("label"), "sales")),
+              chart_arrays(per_day.select("owner_id", F.col("day").alias("label"), "sales"))]
     return Dashboard(monthly, today, yearly, per_day, weekday, demand, demand_split(t, demand=demand),
-                     owner_recent_bookings(t, confirmed_only=True))
+                     owner_recent_bookings(t, confirmed_only=True), *charts)

@@ -230,6 +230,18 @@ def owner_sales_headline(t: Tables, as_of, calendar: bool = False, share: float
                       r2("_today").alias("today_sales"))
 
 
+def chart_arrays(series: DataFrame) -> DataFrame:
+    """(owner_id, label, sales) rows -> owner_id, labels[], data[] in label order, and the same as JSON.
+
+    One small row per (owner, month) or (owner, day) — at most 31 entries per owner.
+    """
+    grouped = series.groupBy("owner_id").agg(F.sort_array(F.collect_list(F.struct("label", "sales"))).alias("_s"))
+    labels = F.transform("_s", lambda x: x["label"])
+    data = F.transform("_s", lambda x: x["sales"])
+    return grouped.select("owner_id", labels.alias("labels"), data.alias("data")).withColumn(
+        "json", F.to_json(F.struct("labels", "data")))
+
+
 def sales_chart_series(t: Tables, as_of, period: str = "yearly", share: float = OWNER_SHARE) -> DataFrame:
     """Chart arrays per owner: labels[] and data[] in label order, also as one JSON text."""
     if period == "yearly":
@@ -238,12 +250,7 @@ def sales_chart_series(t: Tables, as_of, period: str = "yearly", share: float =
         src = owner_daily_sales(t, as_of, share=share).select("owner_id", F.col("day").alias("label"), "sales")
     else:
         raise ValueError("period must be 'yearly' or 'monthly'")
-    # one small row per (owner, month/day): at most 31 entries per owner
-    series = src.groupBy("owner_id").agg(F.sort_array(F.collect_list(F.struct("label", "sales"))).alias("_s"))
-    labels = F.transform("_s", lambda x: x["label"])
-    data = F.transform("_s", lambda x: x["sales"])
-    return series.select("owner_id", labels.alias("labels"), data.alias("data")).withColumn(
-        "json", F.to_json(F.struct("labels", "data")))
+    return chart_arrays(src)
 
 
 def owner_history_counts(t: Tables, page_size: int = PAGE_SIZE) -> DataFrame:
