@@ -1,18 +1,30 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
 Each query builds the domain tables from the test parquet (``sources.fixtures``)
-and runs one operator over the WHOLE tables. ``oracles.ORACLES`` holds the
-equivalent DuckDB SQL for the same name.
+— or reads them back when that folder was written by ``fixtures.materialize`` —
+and runs one operator over the WHOLE tables. ``oracles.oracle_sql()`` holds the
+equivalent DuckDB SQL under the same name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.operators import changes as CH
+from slotwise.operators import dashboard as DB
+from slotwise.operators import intervals as I
+from slotwise.operators import listings as L
+from slotwise.operators import quality as Q
 from slotwise.operators import reports as R
+from slotwise.operators import search as S
+from slotwise.operators import vouchers as VO
+from slotwise.session import checkpoint_dir
+from slotwise.sources import fixtures as FX
+from slotwise.sources import tables as TB
 from slotwise.sources.fixtures import fixture
 
 # The reference points used by the registered queries.
@@ -22,13 +34,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str):
-    def deco(fn: Callable) -> Callable:
-        QUERIES[name] = fn
-        return fn
-    return deco
-
-
 def T(spark: SparkSession, sf_dir: str):
     return fixture(spark, sf_dir).tables()
 
@@ -71,9 +76,6 @@ QUERIES.update({
 })
 
 # ---- listings, search, intervals ------------------------------------------
-from slotwise.operators import intervals as I  # noqa: E402
-from slotwise.operators import listings as L  # noqa: E402
-from slotwise.operators import search as S  # noqa: E402
 
 SLOT_DAY = "2001-06-15"
 
@@ -111,7 +113,6 @@ QUERIES.update({
 })
 
 # ---- vouchers -------------------------------------------------------------
-from slotwise.operators import vouchers as VO  # noqa: E402
 
 VOUCHER_DAY = "1998-06-01"
 
@@ -145,7 +146,6 @@ QUERIES.update({
 })
 
 # ---- change jobs ------------------------------------------------------------
-from slotwise.operators import changes as CH  # noqa: E402
 
 
 def _promo_upsert(s, d):
@@ -233,7 +233,6 @@ QUERIES.update({
 })
 
 # ---- audits -----------------------------------------------------------------
-from slotwise.operators import quality as Q  # noqa: E402
 
 QUERIES.update({
     "audit_unique": lambda s, d: Q.audit_unique(T(s, d)),
@@ -243,11 +242,6 @@ QUERIES.update({
 })
 
 # ---- sources and sinks ------------------------------------------------------
-import uuid  # noqa: E402
-
-from slotwise.session import checkpoint_dir  # noqa: E402
-from slotwise.sources import fixtures as FX  # noqa: E402
-from slotwise.sources import tables as TB  # noqa: E402
 
 
 def _scratch(spark: SparkSession, what: str) -> str:
@@ -336,7 +330,6 @@ QUERIES.update({
 })
 
 # ---- the sales dashboard from one shared aggregate ---------------------------
-from slotwise.operators import dashboard as DB  # noqa: E402
 
 for _part in ("monthly", "today", "yearly", "daily", "weekday", "demand", "demand_bands", "recent", "chart_yearly",
               "chart_monthly"):
