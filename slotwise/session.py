@@ -35,13 +35,21 @@ SCALE_CONF = {
 }
 
 
-def build_session(master: str | None = None, partitions: int = 8, app: str = "slotwise") -> SparkSession:
-    """Local/test session. On a cluster, the submitter's session is used instead."""
+def build_session(master: str | None = None, partitions: int | None = None, app: str = "slotwise") -> SparkSession:
+    """A session with ``SCALE_CONF``.
+
+    Under spark-submit (no ``master``) the cluster's own shuffle partitions and
+    memory settings are kept; local runs get ``partitions`` (default 8) and a
+    driver memory setting.
+    """
     builder = SparkSession.builder.appName(app)
+    local = bool(master) and master.startswith("local")
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("SLOTWISE_DRIVER_MEMORY", "8g"))
+    if partitions or local:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions or 8))
+    if local:
+        builder = builder.config("spark.driver.memory", os.environ.get("SLOTWISE_DRIVER_MEMORY", "8g"))
     for key, value in SCALE_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
