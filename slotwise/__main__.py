@@ -1,8 +1,8 @@
 """Run any operator over stored tables (for spark-submit).
 
-    spark-submit -m slotwise run owner_sales_headline --tables s3://lake/booking --out s3://lake/reports/headline \\
+    spark-submit --py-files slotwise.zip slotwise/__main__.py run owner_sales_headline --tables s3://lake/booking --out s3://lake/reports/headline \\
         --as-of "2001-06-15 12:00:00"
-    spark-submit -m slotwise run admit_bookings --tables DIR --requests DIR/requests --out DIR/admission
+    spark-submit --py-files slotwise.zip slotwise/__main__.py run admit_bookings --tables DIR --requests DIR/requests --out DIR/admission
     python -m slotwise list
 
 ``--tables`` holds one parquet folder per table (see ``sources.tables.load_tables``).
