@@ -52,4 +52,21 @@ WITH sizes AS (
 SELECT doc_id, size, source_size, target, (size * (floor(each * n + draw) - floor(each * (n - 1) + draw)))::BIGINT AS taken FROM placed
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op10_mixing": _MIX}
+_LINES = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(length(string_split(coalesce(text, ''), chr(10))))) AS n
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM cut
+), counts AS (
+  SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), judged AS (
+  SELECT k.*, c.owner IS NOT NULL AND c.owner <> k.doc_id AS gone FROM keyed k LEFT JOIN counts c ON k.key = c.key
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op5_line_dedup": _LINES, "op10_mixing": _MIX}
