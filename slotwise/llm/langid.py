@@ -90,7 +90,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
 
     The chosen ids, ``per_language`` times the number of languages, are broadcast, so that texts are not shuffled.
     """
-    learnt = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    learnt = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = learnt.select("doc_id", "lang", F.xxhash64("doc_id").alias("_draw"))
     first = ids.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))).filter(
         F.col("_nth") <= per_language).select(F.col("doc_id").alias("_doc_id"), F.col("lang").alias("_lang")).distinct()
@@ -158,6 +158,13 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
+def accepted(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``; ``und`` is rejected."""
+    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
+    judged = predict(whole, fit(docs), keep=("row",))
+    return judged.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every row of ``docs(doc_id, text, lang)``, learnt from those same rows."""
     return predict(docs, fit(docs)).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score")

@@ -270,17 +270,22 @@ def delete(state: State, doc_ids: DataFrame) -> State:
 
 
 def apply(docs: DataFrame, state: State) -> DataFrame:
-    """``docs`` with ``text`` reduced to the lines it keeps, plus ``n_lines`` (before) and ``n_dropped``."""
+    """``docs`` with ``text`` reduced to the lines it keeps, plus ``n_lines`` (before) and ``n_dropped``.
+
+    Columns of ``docs`` that are named like the two new ones are replaced.
+    """
     shared = state.counts.filter("n_docs >= 2").select("key", "owner")
     drops = state.postings.join(shared, "key").filter("NOT (doc_id <=> owner)")
     drops = drops.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drops"))
-    met = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_drop_id")), "left")
-    keep = F.filter(lines(F.col("text")), lambda x: (F.length(line_key(x)) < MIN_KEY)
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*rest).alias("_rest"))
+    met = rows.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")), "left")
+    keep = F.filter(lines(F.col("_text")), lambda x: (F.length(line_key(x)) < MIN_KEY)
                     | ~F.array_contains("_drops", F.unhex(F.md5(line_key(x).cast("binary")))))
-    met = met.withColumn("_keep", F.when(F.col("_drops").isNotNull(), keep)).withColumn("_n", F.size(lines(F.col("text"))).cast("long"))
-    kept = F.when(F.col("_keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_keep", "\n"))
-    return met.select(*[F.col(c) if c != "text" else kept.alias("text") for c in docs.columns], F.col("_n").alias("n_lines"),
-                      F.coalesce(F.col("_n") - F.size("_keep"), F.lit(0)).cast("long").alias("n_dropped"))
+    met = met.withColumn("_keep", F.when(F.col("_drops").isNotNull(), keep)).withColumn("_n", F.size(lines(F.col("_text"))).cast("long"))
+    kept = F.when(F.col("_keep").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join("_keep", "\n"))
+    return met.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else kept.alias(c) for c in docs.columns if c in rest or c == "text"],
+                      F.col("_n").alias("n_lines"), F.coalesce(F.col("_n") - F.size("_keep"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def build(docs: DataFrame, parts: int = 2) -> State:

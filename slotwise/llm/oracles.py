@@ -69,4 +69,33 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM judged GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op5_line_dedup": _LINES, "op10_mixing": _MIX}
+_WARC = r"""
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM hashed)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM firsts
+"""
+
+_VECTORS = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), sound AS (
+  SELECT vec_id, label, e FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND length(e) > 0
+    AND length(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND length(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND length(a.e) = length(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN least ON v.vec_id = least.x
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op2_warc": _WARC, "op3_embedding_near_dedup": _VECTORS,
+                           "op5_line_dedup": _LINES, "op10_mixing": _MIX}

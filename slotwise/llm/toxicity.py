@@ -144,7 +144,7 @@ def features(word: str) -> list[str]:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``(text, toxic)`` of the training sample described above."""
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
-    usable = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    usable = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     ids = usable.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("_id"))
     least = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("_nth", F.row_number().over(least)).filter(F.col("_nth") <= per_class).select("_id", "toxic")
