@@ -75,6 +75,7 @@ def main(argv: list[str]) -> int:
     run.add_argument("--tables", required=True)
     run.add_argument("--out", required=True)
     run.add_argument("--requests")
+    run.add_argument("--optional", action="append", default=[], help="a table that may be missing (repeat the option)")
     run.add_argument("--as-of")
     run.add_argument("--param", action="append", default=[])
     args = parser.parse_args(argv)
@@ -85,7 +86,7 @@ def main(argv: list[str]) -> int:
         return 0
     fn = ops[args.operator]
     spark = build_session()
-    t = load_tables(spark, args.tables)
+    t = load_tables(spark, args.tables, args.optional)
     kwargs = dict(p.split("=", 1) for p in args.param)
     kwargs = {k: _value(v) for k, v in kwargs.items()}
     params = inspect.signature(fn).parameters

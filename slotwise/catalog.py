@@ -22,7 +22,7 @@ from slotwise.operators import quality as Q
 from slotwise.operators import reports as R
 from slotwise.operators import search as S
 from slotwise.operators import vouchers as VO
-from slotwise.session import checkpoint_dir
+from slotwise.session import shared_dir
 from slotwise.sources import fixtures as FX
 from slotwise.sources import tables as TB
 from slotwise.sources.fixtures import fixture
@@ -246,16 +246,13 @@ QUERIES.update({
 
 def _scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder under the session's shared checkpoint location."""
-    import tempfile
-    base = checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="slotwise-ckpt-"))
-    return f"{base.rstrip('/')}/tables/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/tables/{what}-{uuid.uuid4().hex}"
 
 
 def _load_tables(s, d):
     path = _scratch(s, "load")
     FX.materialize(s, d, path)
-    t = TB.load_tables(s, path)
-    return FX.union_counts(t)
+    return FX.column_profile(TB.load_tables(s, path, optional=("court_availability", "payments", "voucher_usage")))
 
 
 def _write_table(s, d):
@@ -279,8 +276,7 @@ QUERIES.update({
         "notes": ("string", None), "payment_intent_id": ("string", None), "voucher_code": ("string", None),
         "discount_amount": ("decimal(12,2)", 0)}),
     "insert_or_ignore": lambda s, d: TB.insert_or_ignore(
-        T(s, d).users.filter(F.col("created_at") < F.lit("1999-01-01").cast("timestamp_ntz")),
-        _registration_users(s, d), unique=[["username"]]),
+        T(s, d).users, _registration_users(s, d), unique=[["username"]]),
     "insert_or_ignore_two_keys": lambda s, d: TB.insert_or_ignore(
         T(s, d).users, _registration_users(s, d), unique=[["username"], ["email"]]),
 })

@@ -89,25 +89,6 @@ def conflict_test(e_s: Column, e_e: Column, n_s: Column, n_e: Column, strict: bo
     return ((e_s <= n_s) & (e_e > n_s)) | ((e_s < n_e) & (e_e >= n_e))
 
 
-def blocking_pairs(earlier: DataFrame, later: DataFrame, strict: bool = False, ordered: bool = False,
-                   earlier_id: str = "id", later_id: str = "id") -> DataFrame:
-    """(a_id, b_id): booking a of ``earlier`` blocks booking b of ``later`` (same court and date).
-
-    Any blocking pair has intersecting time spans, so both meet in at least
-    one shared hour bucket; the pair is emitted only in the first shared
-    bucket (the larger of the two lowest buckets), so no deduplication is
-    needed. ``ordered`` keeps only a_id < b_id.
-    """
-    a = spans(earlier, "a_", earlier_id)
-    b = spans(later, "b_", later_id)
-    keep = ((F.col("bucket") == F.greatest("a_lo", "b_lo"))
-            & conflict_test(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e"), strict))
-    if ordered:
-        keep = keep & (F.col("a_id") < F.col("b_id"))
-    return a.join(b, ["court_id", "booking_date", "bucket"]).filter(keep).select(
-        "court_id", "booking_date", "a_id", "b_id")
-
-
 def blocked_rows(later: DataFrame, earlier: DataFrame, strict: bool = False, ordered: bool = False,
                  later_id: str = "id", earlier_id: str = "id") -> DataFrame:
     """Ids of ``later`` rows that some row of ``earlier`` blocks — an existence test.
@@ -127,8 +108,20 @@ def blocked_rows(later: DataFrame, earlier: DataFrame, strict: bool = False, ord
 
 
 def booking_conflicts(t: Tables, strict: bool = False) -> DataFrame:
-    """Pairs (first_id < later_id) of confirmed bookings on the same court and date that conflict
-    (the earlier one blocks the later one under the reference's test, or overlaps it when ``strict``)."""
+    """(court_id, booking_date, first_id, later_id): each confirmed booking that an earlier confirmed one of its court
+    and date blocks (under the reference's test, or overlaps when ``strict``), with the first such booking.
+
+    The intervals of a court-day are first reduced to distinct (start, end) with their smallest id, a number bounded
+    by the 'HH:MM' grid; blockers are looked up among those, so a busy hour costs no pairs of bookings.
+    """
     conf = t.bookings.filter(F.col("booking_status") == CONFIRMED)
-    return blocking_pairs(conf, conf, strict, ordered=True).select(
-        "court_id", "booking_date", F.col("a_id").alias("first_id"), F.col("b_id").alias("later_id"))
+    interval = ["court_id", "booking_date", "start_time", "end_time"]
+    distinct = conf.groupBy(*interval).agg(F.min("id").alias("id"))
+    a = spans(distinct, "a_")
+    b = distinct.withColumn("lo", hour_of(F.least("start_time", "end_time"))).withColumn(
+        "bucket", F.explode(_hours(F.col("lo"), hour_of(F.greatest("start_time", "end_time")))))
+    found = a.join(b, ["court_id", "booking_date", "bucket"]).filter(
+        conflict_test(F.col("a_s"), F.col("a_e"), F.col("start_time"), F.col("end_time"), strict))
+    first = found.groupBy(*interval).agg(F.min("a_id").alias("first_id"))
+    return (conf.select(*interval, F.col("id").alias("later_id")).join(first, interval)
+            .filter(F.col("first_id") < F.col("later_id")).select("court_id", "booking_date", "first_id", "later_id"))

@@ -102,44 +102,34 @@ def available_vouchers(t: Tables, day, user_id=None, distinct: bool = False) ->
     return out.dropDuplicates(["user_id", "id"]) if distinct else out
 
 
-def _month_buckets(promos: DataFrame, requests: DataFrame, day_col: str) -> DataFrame:
-    """Promotions expanded to the months they span, clipped to the months requests fall in.
-
-    Turns ``start_date <= day <= end_date`` into an equi join on month; the
-    clip (two scalar subqueries over the requests) keeps open-ended promotions
-    from expanding beyond the data.
-    """
-    lo_req = requests.agg(F.min(F.trunc(day_col, "MM"))).scalar()
-    hi_req = requests.agg(F.max(F.trunc(day_col, "MM"))).scalar()
-    lo = F.greatest(F.trunc("start_date", "MM"), lo_req)
-    hi = F.least(F.trunc("end_date", "MM"), hi_req)
-    return promos.withColumn("_month", F.explode(F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")))))
-
-
 def eligible_vouchers(t: Tables, requests: DataFrame, as_of=None) -> DataFrame:
-    """For each request (request_id, user_id, booking_date, booking_amount): request_id, user_id, p.*.
+    """Vouchers for requests (request_id, user_id, booking_date, booking_amount), without repeating shared rows.
+
+    * 'all' promotions: one row per (day on which there are requests, promotion valid that day), with request_id and
+      user_id NULL: every request of that day whose amount reaches ``min_booking_amount`` (NULL: any) may use it;
+    * 'specific' promotions: one row per targeted request that may use it.
 
-    Day defaults to as_of's date, amount to 0; same LEFT JOIN multiplicity as
-    ``available_vouchers`` plus ``min_booking_amount IS NULL OR <= amount``.
+    ``copies`` is the multiplicity of the LEFT JOIN to the targets, as in ``available_vouchers``. Day defaults to
+    as_of's date, amount to 0. The output grows with promotions and with targeted requests, not with their product.
     """
     day = F.coalesce(F.col("booking_date"), as_of_date(as_of)) if as_of is not None else F.col("booking_date")
-    req = requests.select("request_id", "user_id", day.alias("_day"),
-                          F.coalesce(F.col("booking_amount"), F.lit(0)).alias("_amount"))
+    req = requests.select("request_id", "user_id", day.alias("day"), F.coalesce(F.col("booking_amount"), F.lit(0)).alias("_amount"))
     p = t.promotions.filter(F.col("is_active") == 1)
     pcols = t.promotions.columns
-    pt = t.promotion_targets.select(F.col("promotion_id").alias("id"), F.col("user_id").alias("_tu"))
-    cond = ((F.col("start_date") <= F.col("_day")) & (F.col("end_date") >= F.col("_day"))
-            & (F.col("min_booking_amount").isNull() | (F.col("min_booking_amount") <= F.col("_amount"))))
-    # 'all' promotions: the LEFT JOIN multiplicity (one row per target row, else one) is applied to the
-    # small promotion side first, then the day range becomes an equi join on month buckets
-    every = p.filter(F.col("target_type") == "all").join(pt, "id", "left").drop("_tu")
-    every = _month_buckets(every, req, "_day")
-    every = (req.withColumn("_month", F.trunc("_day", "MM")).join(every, "_month").filter(cond)
-             .select("request_id", "user_id", *pcols))
-    # 'specific' promotions: equi join on the targeted user first
-    spec = p.filter(F.col("target_type") == "specific").join(pt, "id")
-    spec = (req.join(spec, req["user_id"] == spec["_tu"]).filter(cond)
-            .select("request_id", "user_id", *pcols))
+    targets = t.promotion_targets.select(F.col("promotion_id").alias("id"), F.col("user_id").alias("_tu"))
+    rows = targets.groupBy("id").agg(F.count(F.lit(1)).alias("_rows"))
+    every = p.filter(F.col("target_type") == "all").join(rows, "id", "left").withColumn("copies", F.coalesce("_rows", F.lit(1)))
+    days = req.select("day").dropna().distinct()
+    # days of the requests, clipped to each promotion's span: an equi join on the day
+    lo = F.greatest("start_date", days.agg(F.min("day")).scalar())
+    hi = F.least("end_date", days.agg(F.max("day")).scalar())
+    every = every.withColumn("day", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).join(days, "day")
+    every = every.select(F.lit(None).cast("long").alias("request_id"), F.lit(None).cast("long").alias("user_id"), "day", "copies", *pcols)
+    spec = p.filter(F.col("target_type") == "specific").join(targets.groupBy("id", "_tu").agg(F.count(F.lit(1)).alias("copies")), "id")
+    may = ((F.col("start_date") <= F.col("day")) & (F.col("end_date") >= F.col("day"))
+           & (F.col("min_booking_amount").isNull() | (F.col("min_booking_amount") <= F.col("_amount"))))
+    spec = req.join(spec, req["user_id"] == spec["_tu"]).filter(may).select(
+        F.col("request_id").cast("long").alias("request_id"), F.col("user_id").cast("long").alias("user_id"), "day", "copies", *pcols)
     return every.unionByName(spec)
 
 

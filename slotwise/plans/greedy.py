@@ -6,48 +6,25 @@ pass in row order; we evaluate it in set-based rounds over the undecided rows:
 * an undecided row whose order is the minimum of every key group it belongs
   to (among undecided rows) is certainly kept — nothing before it can block it;
 * undecided rows sharing a key with a row kept this round are ignored;
-* repeat. The global minimum is always kept, so every round makes progress;
-* once at most ``FINISH_ROWS`` rows are undecided they are settled by one
-  sequential pass in a single task — a fixed bound, and exact, because those
-  rows can only conflict among themselves.
+* repeat until every row is decided. The global minimum is always kept, so every round makes progress.
 
-Each round is grouped aggregates (partial aggregation, so a hot key never
-lands whole in one task) and joins over the still-undecided rows only; each
-round's decisions are checkpointed once, so neither the plan nor the written
-volume grows with the number of rounds beyond the shrinking undecided set.
+Only the order and the keys go through the rounds; the other columns are joined to the decisions once at the end. Each
+round is grouped aggregates (partial aggregation, so a hot key never lands whole in one task) and joins over the
+still-undecided rows only; each round's decisions are checkpointed once, so neither the plan nor the written volume
+grows with the number of rounds beyond the shrinking undecided set. A chain of rows in which each shares a key with the
+next needs a number of rounds in proportion to its length: the rule itself is sequential there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.plans.lineage import cut
 
 ORDER, STATUS = "_greedy_order", "_greedy_status"
-# Undecided rows at or below this count are settled by one sequential pass in a single task.
-FINISH_ROWS = 100_000
-
-
-def _sequential(keys: Sequence[Sequence[str]]):
-    """Grouped-map body: the greedy itself, in order, over a bounded set of rows."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = [set() for _ in keys]
-        status = []
-        for row in pdf.sort_values(ORDER).to_dict("records"):
-            vals = [tuple(row[c] for c in key) for key in keys]
-            live = [not any(pd.isna(x) for x in v) for v in vals]
-            hit = any(ok and v in s for ok, v, s in zip(live, vals, seen))
-            if not hit:
-                for ok, v, s in zip(live, vals, seen):
-                    if ok:
-                        s.add(v)
-            status.append((row[ORDER], 2 if hit else 1))
-        return pd.DataFrame(status, columns=[ORDER, STATUS])
-    return run
 
 
 def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> tuple[DataFrame, DataFrame]:
@@ -63,10 +40,9 @@ def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> t
         keep = F.col("_first").isNull() | (F.col(ORDER) == F.col("_first"))
         return (flagged.filter(keep).drop("_first", ORDER),
                 flagged.filter(~keep).drop("_first", ORDER))
-    undecided = cut(rows)
-    kept_parts: list[DataFrame] = []
-    ignored_parts: list[DataFrame] = []
-    while True:
+    undecided = cut(rows.select(ORDER, *sorted({c for key in keys for c in key})))
+    decided = None
+    while not undecided.isEmpty():
         flagged = undecided
         safe = F.lit(True)
         for i, key in enumerate(keys):
@@ -76,33 +52,20 @@ def first_wins(batch: DataFrame, keys: Sequence[Sequence[str]], order: str) -> t
             safe = safe & (F.col(f"_min{i}").isNull() | (F.col(f"_min{i}") == F.col(ORDER)))
         flagged = flagged.withColumn("_safe", safe).drop(*[f"_min{i}" for i in range(len(keys))])
         kept_now = flagged.filter("_safe")
-        hit = None
-        for key in keys:
+        state = flagged
+        hit = F.lit(False)
+        for i, key in enumerate(keys):
             key = list(key)
-            h = flagged.filter(~F.col("_safe")).join(kept_now.select(*key).dropna().distinct(), on=key,
-                                                     how="left_semi").select(ORDER)
-            hit = h if hit is None else hit.unionByName(h)
-        hit = hit.distinct().withColumn("_hit", F.lit(True))
-        # only this round's rows are written; decided rows are never rewritten in later rounds
-        state = cut(flagged.join(hit, ORDER, "left")
-                    .withColumn(STATUS, F.when(F.col("_safe"), 1).when(F.col("_hit"), 2).otherwise(0))
-                    .drop("_safe", "_hit"))
-        kept_parts.append(state.filter(F.col(STATUS) == 1))
-        ignored_parts.append(state.filter(F.col(STATUS) == 2))
+            # a kept row is the only one of its keys that is kept: at most one match
+            state = state.join(kept_now.select(*key, F.lit(True).alias(f"_hit{i}")).dropna(), on=key, how="left")
+            hit = hit | F.coalesce(F.col(f"_hit{i}"), F.lit(False))
+        state = cut(state.withColumn(STATUS, F.when(F.col("_safe"), 1).when(hit, 2).otherwise(0))
+                    .drop("_safe", *[f"_hit{i}" for i in range(len(keys))]))
+        now = state.filter(F.col(STATUS) > 0).select(ORDER, STATUS)
+        decided = now if decided is None else decided.unionByName(now)
         undecided = state.filter(F.col(STATUS) == 0).drop(STATUS)
-        left = undecided.count()
-        if left == 0:
-            break
-        if left <= FINISH_ROWS:
-            # the rest only conflict among themselves (earlier kept rows already blocked theirs)
-            cols = sorted({c for key in keys for c in key})
-            done = (undecided.select(ORDER, *cols).groupBy(F.lit(0).alias("_all"))
-                    .applyInPandas(_sequential(keys), f"{ORDER} long, {STATUS} int"))
-            last = cut(undecided.join(done, ORDER))
-            kept_parts.append(last.filter(F.col(STATUS) == 1))
-            ignored_parts.append(last.filter(F.col(STATUS) == 2))
-            break
-    kept, ignored = kept_parts[0], ignored_parts[0]
-    for k, i in zip(kept_parts[1:], ignored_parts[1:]):
-        kept, ignored = kept.unionByName(k), ignored.unionByName(i)
-    return kept.drop(STATUS, ORDER), ignored.drop(STATUS, ORDER)
+    if decided is None:
+        return batch, batch.limit(0)
+    kept = rows.join(decided.filter(F.col(STATUS) == 1), ORDER).drop(STATUS, ORDER)
+    ignored = rows.join(decided.filter(F.col(STATUS) == 2), ORDER).drop(STATUS, ORDER)
+    return kept.select(*batch.columns), ignored.select(*batch.columns)

@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from slotwise.session import checkpoint_dir
+from slotwise.session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared ``spark.checkpoint.dir`` and truncate its plan.
 
-    The folder comes from the session (on a cluster it names shared storage);
-    only a session without one, i.e. a local test, gets a fresh scratch folder.
     The frame is persisted while the checkpoint is written, so the plan runs
     once instead of once for the count and again for the write.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="slotwise-ckpt-"))
+    shared_dir(df.sparkSession)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return held.checkpoint(eager=True)

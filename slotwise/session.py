@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -80,3 +81,14 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; pass a shared fallback folder")
     sc.setCheckpointDir(fallback)
     return fallback
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``checkpoint_dir``; a session that names no folder gets a scratch one only on a local master (tests), else an error."""
+    try:
+        return checkpoint_dir(spark)
+    except RuntimeError:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise
+        return checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="slotwise-ckpt-"))

@@ -99,9 +99,9 @@ SELECT p_partkey AS id, 'PROMO' || CAST(p_partkey AS STRING) AS code, p_name AS
  CAST(DATE '1995-01-01' + CAST((p_partkey * 7) % 1200 AS INT) AS TIMESTAMP) AS created_at
 FROM {part} WHERE p_partkey % 20 = 0""",
     "promotion_targets": """
-SELECT p.id * 100000 + c_custkey AS id, p.id AS promotion_id, CAST(c_custkey AS BIGINT) AS user_id
-FROM {promotions} p JOIN {customer} ON c_custkey % 10 = CAST(p.id / 20 AS BIGINT) % 10
-WHERE p.target_type = 'specific'""",
+SELECT MIN(l_orderkey * 8 + l_linenumber) AS id, p.id AS promotion_id, CAST(o_custkey AS BIGINT) AS user_id
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {promotions} p ON p.id = l_partkey - l_partkey % 20
+WHERE l_linenumber = 1 AND (p.target_type = 'specific' OR l_orderkey % 9 = 0) GROUP BY p.id, o_custkey""",
     # request tables (one row per incoming request)
     "voucher_requests": """
 SELECT o_orderkey AS request_id, o_custkey AS user_id, 'promo' || CAST(20 * (o_orderkey % 110) AS STRING) AS code,
@@ -167,8 +167,9 @@ SELECT p_partkey AS request_id, CASE WHEN p_partkey % 40 = 0 THEN p_partkey END
 FROM {part}"""
 
 VIEWS["promotion_target_requests"] = """
-SELECT p_partkey AS request_id, CAST(c_custkey AS BIGINT) AS user_id
-FROM {part} JOIN {customer} ON c_custkey % 50 = p_partkey % 50 WHERE p_size % 6 = 0"""
+SELECT DISTINCT l_partkey AS request_id, CAST(o_custkey AS BIGINT) AS user_id
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON p_partkey = l_partkey
+WHERE l_linenumber = 2 AND p_size % 6 < 2"""
 
 VIEWS["court_requests"] = """
 SELECT p_partkey AS request_id, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS id,
@@ -328,7 +329,7 @@ def materialize(spark: SparkSession, sf_dir: str, out_dir: str, names=DOMAIN) ->
     """
     fx = Fixture(spark, sf_dir)
     for name in names:
-        df = fx.view(name)
+        df = conform(fx.view(name), name) if name in DOMAIN else fx.view(name)
         writer = df.write.mode("overwrite")
         if name == "bookings":
             writer = writer.partitionBy("booking_date")
@@ -338,13 +339,20 @@ def materialize(spark: SparkSession, sf_dir: str, out_dir: str, names=DOMAIN) ->
         _fixture.cache_clear()
 
 
-def union_counts(t: Tables) -> DataFrame:
-    """(table_name, row_count) for the twelve tables of a bundle."""
+def column_profile(t: Tables) -> DataFrame:
+    """(table_name, column_name, row_count, non_null, least, greatest) of every declared column; bounds in text order."""
     from pyspark.sql import functions as F
 
-    frames = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-              for name, df in t.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    from slotwise.sources.schema import SCHEMAS
+
+    out = None
+    for name, df in t.items():
+        cols = SCHEMAS[name].fieldNames()
+        text = {c: F.col(c).cast("string") for c in cols}
+        one = df.agg(F.count(F.lit(1)).alias("row_count"), *[
+            F.struct(F.lit(c).alias("column_name"), F.count(c).alias("non_null"), F.min(text[c]).alias("least"),
+                     F.max(text[c]).alias("greatest")).alias(c) for c in cols])
+        rows = one.select(F.lit(name).alias("table_name"), "row_count", F.explode(F.array(*cols)).alias("c")).select(
+            "table_name", "c.column_name", "row_count", "c.non_null", "c.least", "c.greatest")
+        out = rows if out is None else out.unionByName(rows)
     return out

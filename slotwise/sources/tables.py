@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from slotwise.sources.schema import SCHEMAS, TABLES
 
@@ -54,19 +54,30 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def load_tables(spark: SparkSession, path: str, conform_schema: bool = True) -> Tables:
-    """Read ``{path}/{table}`` parquet for each of the twelve tables.
+def read_if_present(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The parquet folder ``path``, or None when there is no such folder; every other failure is raised."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-    A missing table becomes an empty frame with the declared schema, so every
-    operator can run on a partial export (payments and usage start empty).
+
+def load_tables(spark: SparkSession, path: str, optional: Collection[str] = ()) -> Tables:
+    """Read ``{path}/{table}`` parquet for each of the twelve tables, with the declared schema.
+
+    A table whose folder does not exist is an error, unless ``optional`` names
+    it: then it is empty (a new deployment has no payments or usage yet).
     """
     frames = {}
     for name in TABLES:
-        try:
-            df = spark.read.parquet(f"{path}/{name}")
-        except AnalysisException:
+        df = read_if_present(spark, f"{path}/{name}", SCHEMAS[name])
+        if df is None:
+            if name not in optional:
+                raise FileNotFoundError(f"table {name}: {path}/{name} does not exist")
             df = empty_table(spark, name)
-        frames[name] = conform(df, name) if conform_schema else df
+        frames[name] = df.select(*SCHEMAS[name].fieldNames())
     return Tables(**frames)
 
 
@@ -96,8 +107,13 @@ def insert_or_ignore(df: DataFrame, new: DataFrame, unique: Sequence[Sequence[st
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
                 partition_by: Sequence[str] | None = None) -> None:
-    """Persist a result as parquet (bookings are best partitioned by booking_date)."""
-    writer = df.write.mode(mode)
+    """Persist a result as parquet (bookings are best partitioned by booking_date).
+
+    A partitioned write first brings the rows of one partition value together
+    with a rebalance: Spark splits large values over several tasks and merges
+    small ones, so a value gets few files however many tasks made the rows.
+    """
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)

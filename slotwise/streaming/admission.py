@@ -17,18 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from slotwise.operators.changes import admit_bookings
-from slotwise.sources.tables import Tables, conform
+from slotwise.sources.tables import Tables, conform, read_if_present
 
 
 def _admitted_before(spark: SparkSession, out_dir: str, epoch: int) -> DataFrame | None:
-    try:
-        prior = spark.read.parquet(f"{out_dir}/bookings")
-    except AnalysisException:
-        return None
-    return prior.filter(F.col("batch") < epoch).drop("batch")
+    prior = read_if_present(spark, f"{out_dir}/bookings")
+    return None if prior is None else prior.filter(F.col("batch") < epoch).drop("batch")
 
 
 def admit_stream(spark: SparkSession, t: Tables, requests_dir: str, request_schema, out_dir: str,

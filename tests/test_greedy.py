@@ -24,11 +24,8 @@ def sequential(rows, keys):
     return set(kept)
 
 
-@pytest.mark.parametrize("finish", [0, 100_000])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_first_wins_matches_sequential(spark, seed, finish, monkeypatch):
-    import slotwise.plans.greedy as G
-    monkeypatch.setattr(G, "FINISH_ROWS", finish)        # 0: rounds only; else: rounds + sequential finish
+def test_first_wins_matches_sequential(spark, seed):
     rnd = random.Random(seed)
     rows = [{"o": i, "a": rnd.randrange(15), "b": rnd.choice([None] + list(range(12)))} for i in range(200)]
     rnd.shuffle(rows)
@@ -38,10 +35,19 @@ def test_first_wins_matches_sequential(spark, seed, finish, monkeypatch):
     assert kept.count() + ignored.count() == len(rows)
 
 
-@pytest.mark.parametrize("finish", [0, 100_000])
-def test_chain_blocked_only_by_ignored_row_is_kept(spark, finish, monkeypatch):
-    import slotwise.plans.greedy as G
-    monkeypatch.setattr(G, "FINISH_ROWS", finish)
+def test_long_chain_of_shared_keys(spark):
+    rows = [{"o": i, "a": i // 2, "b": (i + 1) // 2} for i in range(25)]   # each row shares a key with the next
+    kept, ignored = first_wins(spark.createDataFrame(rows, "o long, a long, b long"), [["a"], ["b"]], "o")
+    assert {r["o"] for r in kept.collect()} == sequential(rows, [["a"], ["b"]]) == set(range(0, 25, 2))
+    assert ignored.count() == 12
+
+
+def test_no_rows(spark):
+    kept, ignored = first_wins(spark.createDataFrame([], "o long, a long, b long"), [["a"], ["b"]], "o")
+    assert kept.count() == ignored.count() == 0
+
+
+def test_chain_blocked_only_by_ignored_row_is_kept(spark):
     df = spark.createDataFrame([(1, "u1", "e1"), (2, "u2", "e1"), (3, "u2", "e2"), (4, "u3", "e2"), (5, "u3", "e3")],
                                "o long, u string, e string")
     kept, _ = first_wins(df, [["u"], ["e"]], "o")
