@@ -39,6 +39,7 @@ from slotwise.llm.common import SPACES, lower_ascii, store
 MIN_KEY = 10
 SHARD_KEYS = 20_000
 MAX_KICKS = 200
+FULL = 0.9  # share of a table's cells that is filled before the next table begins
 
 
 class Cuckoo:
@@ -80,10 +81,12 @@ class Cuckoo:
         return found
 
     def add(self, keys: np.ndarray) -> None:
-        left = self._fill(keys, self.tables[-1])
-        while len(left):
-            self.tables.append(self.blank(max(len(left), 2 * 4 * len(self.tables[-1]))))
-            left = self._fill(left, self.tables[-1])
+        while len(keys):
+            last = self.tables[-1]
+            room = max(0, int(last.size * FULL) - int(np.count_nonzero(last)))
+            keys = np.concatenate((self._fill(keys[:room], last), keys[room:]))
+            if len(keys):  # moving fingerprints about in a nearly full table is slow and mostly fails
+                self.tables.append(self.blank(max(len(keys), 2 * last.size)))
 
     def _fill(self, keys: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Insert what fits; the keys that do not."""
