@@ -120,8 +120,7 @@ VOUCHER_DAY = "1998-06-01"
 def _voucher_rollup(s, d):
     t = T(s, d)
     req = V(s, d, "voucher_requests")
-    usage = VO.usage_from_validations(VO.validate_vouchers(t, req), req)
-    return VO.voucher_usage_rollup(t.replace(voucher_usage=usage))
+    return VO.voucher_usage_rollup(t, VO.usage_from_validations(VO.validate_vouchers(t, req), req))
 
 
 def _discount(s, d):
@@ -204,6 +203,7 @@ QUERIES.update({
     "slots_to_booking": lambda s, d: CH.slots_to_booking(V(s, d, "slot_requests"), T(s, d).courts),
     "approve_courts": lambda s, d: CH.approve_courts(T(s, d), V(s, d, "approval_requests")),
     "toggle_promotions": lambda s, d: CH.toggle_promotions(T(s, d), V(s, d, "toggle_requests")).table,
+    "toggle_promotions_rejected": lambda s, d: CH.toggle_promotions(T(s, d), V(s, d, "toggle_requests")).rejected,
     "cancel_bookings": lambda s, d: _cancel(s, d).table,
     "cancel_bookings_rejected": lambda s, d: _cancel(s, d).rejected,
     "admit_reviews": lambda s, d: _reviews(s, d).table,
@@ -213,9 +213,11 @@ QUERIES.update({
     "settle_payments_rejected": lambda s, d: _settle(s, d).rejected,
     "post_payouts": _payouts,
     "upsert_promotions": lambda s, d: _promo_upsert(s, d).promotions,
+    "upsert_promotions_accepted": lambda s, d: _promo_upsert(s, d).accepted,
     "upsert_promotions_rejected": lambda s, d: _promo_upsert(s, d).rejected,
     "replace_promotion_targets": _targets,
     "delete_promotions": lambda s, d: _delete_promotions(s, d).promotions,
+    "delete_promotions_usage": lambda s, d: _delete_promotions(s, d).voucher_usage,
     "delete_promotions_targets": lambda s, d: _delete_promotions(s, d).promotion_targets,
     "delete_courts": lambda s, d: _delete_courts(s, d).courts,
     "delete_courts_images": lambda s, d: _delete_courts(s, d).court_images,
@@ -225,6 +227,7 @@ QUERIES.update({
     "upsert_courts_rejected": lambda s, d: _court_upsert(s, d).rejected,
     "admit_bookings": lambda s, d: _admit(s, d).bookings,
     "admit_bookings_rejected": lambda s, d: _admit(s, d).rejected,
+    "admit_bookings_promotions": lambda s, d: _admit(s, d).promotions,
     "admit_bookings_usage": lambda s, d: _admit(s, d).usage,
     "admit_bookings_strict": lambda s, d: _admit_strict(s, d).bookings,
     "admit_registrations": lambda s, d: _register(s, d).users,
@@ -251,8 +254,8 @@ def _scratch(spark: SparkSession, what: str) -> str:
 
 def _load_tables(s, d):
     path = _scratch(s, "load")
-    FX.materialize(s, d, path)
-    return FX.column_profile(TB.load_tables(s, path, optional=("court_availability", "payments", "voucher_usage")))
+    FX.materialize(s, d, path, declared=True)
+    return FX.column_profile(TB.load_tables(s, path, optional=("court_availability",)))
 
 
 def _write_table(s, d):
@@ -330,4 +333,4 @@ QUERIES.update({
 for _part in ("monthly", "today", "yearly", "daily", "weekday", "demand", "demand_bands", "recent", "chart_yearly",
               "chart_monthly"):
     QUERIES[f"sales_dashboard_{_part}"] = (
-        lambda p: lambda s, d: getattr(DB.sales_dashboard(T(s, d), AS_OF, cache=False), p))(_part)
+        lambda p: lambda s, d: getattr(DB.sales_dashboard(T(s, d), AS_OF, cache=False, bands=p == "demand_bands"), p))(_part)

@@ -25,6 +25,14 @@ def as_of_date(as_of) -> Column:
     return F.to_date(as_of_ts(as_of))
 
 
+def in_period(col: str | Column, as_of, unit: str) -> Column:
+    """``col`` lies in as_of's 'year' or 'month': two bounds on the stored column, which reach the scan."""
+    start = F.trunc(as_of_date(as_of), unit)
+    end = F.add_months(start, 12 if unit == "year" else 1)
+    c = F.col(col) if isinstance(col, str) else col
+    return (c >= start.cast("timestamp_ntz")) & (c < end.cast("timestamp_ntz"))
+
+
 def month(col: str | Column) -> Column:
     """'YYYY-MM' of a timestamp (strftime('%Y-%m'))."""
     return F.date_format(col, "yyyy-MM")

@@ -93,13 +93,18 @@ def merge_updates(df: DataFrame, changes: DataFrame, key: str | list[str], colum
     """Keyed column update: matched rows take the new values (NULL included), others keep theirs.
 
     Several changes for one key: the one with the largest ``order`` wins
-    (the last update applied), chosen with a partial max-by aggregate.
+    (the last update applied), chosen with a partial max-by aggregate. Without
+    ``order`` a key with two different changes is an error when the plan runs.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ch = changes.select(*keys, *columns, *([order] if order else []))
     if order:
         ch = ch.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("_v")).select(
             *keys, *[F.col("_v")[c].alias(c) for c in columns])
+    else:
+        one = F.when(F.count_distinct(F.struct(*columns)) > 1, F.raise_error(F.lit("several changes for one key need an order"))
+                     ).otherwise(F.first(F.struct(*columns)))
+        ch = ch.groupBy(*keys).agg(one.alias("_v")).select(*keys, *[F.col("_v")[c].alias(c) for c in columns])
     ch = ch.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_matched"))
     j = df.join(ch, keys, "left")
     out = []
@@ -173,6 +178,7 @@ class Admission(NamedTuple):
     bookings: DataFrame   # the new booking rows
     rejected: DataFrame   # request_id, reason
     usage: DataFrame      # voucher_usage rows of the new bookings
+    promotions: DataFrame  # id, used_count of the promotions that the new bookings used
 
 
 def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = False) -> Admission:
@@ -195,7 +201,14 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
     5. only court-days that still hold undecided requests go through one
        grouped-map greedy pass, and only with their surviving requests (after
        3. these are distinct intervals, a number bounded by the 'HH:MM' grid
-       whatever the data size).
+       whatever the data size). A later twin of an empty or inverted interval
+       blocks and is blocked by the same requests as the first of its kind, so
+       it stays out of the pass and fails iff an earlier admitted request
+       blocks it.
+
+    The stored side is cut to the requests' dates and court-days and to distinct
+    intervals before it is expanded to hours. Every voucher booking raises the
+    ``used_count`` of its promotion; the changed rows are returned.
     """
     key = "request_id"
     requests = ensure_columns(requests, OPTIONAL_BOOKING_FIELDS)
@@ -206,20 +219,25 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
          .join(visible, "court_id", "left")
          .withColumn("reason", F.coalesce("reason", F.when(F.col("hourly_rate").isNull(), F.lit(MSG_NO_COURT)))))
     iv = d.filter(F.col("reason").isNull()).select(key, "court_id", "booking_date", "start_time", "end_time")
-    existing = t.bookings.filter(F.col("booking_status") == "confirmed")
+    first_day, last_day = iv.agg(F.min("booking_date")).scalar(), iv.agg(F.max("booking_date")).scalar()
+    existing = (t.bookings.filter((F.col("booking_status") == "confirmed") & F.col("booking_date").between(first_day, last_day))
+                .join(iv.select("court_id", "booking_date").distinct(), ["court_id", "booking_date"], "left_semi")
+                .select("court_id", "booking_date", "start_time", "end_time").distinct().withColumn("id", F.lit(0)))
     taken = blocked_rows(iv, existing, strict, later_id=key).withColumn("_taken", F.lit(True))
     d = cut(d.join(taken, key, "left").withColumn(
         "reason", F.coalesce("reason", F.when(F.col("_taken"), F.lit(MSG_TAKEN)))).drop("_taken"))
 
     alive = d.filter(F.col("reason").isNull()).select(key, "court_id", "booking_date", "start_time", "end_time")
-    proper = alive.filter(F.col("start_time") < F.col("end_time"))
-    firsts, twins = _first_per(proper, ["court_id", "booking_date", "start_time", "end_time"])
-    alive = firsts.unionByName(alive.filter(~(F.col("start_time") < F.col("end_time"))))
+    alive, twins = _first_per(alive, ["court_id", "booking_date", "start_time", "end_time"])
+    proper = F.col("start_time") < F.col("end_time")
     contested = blocked_rows(alive, alive, strict, ordered=True, later_id=key, earlier_id=key)
     hot_days = alive.join(contested, key, "left_semi").select("court_id", "booking_date").distinct()
     decided = (alive.join(hot_days, ["court_id", "booking_date"], "left_semi")
                .groupBy("court_id", "booking_date").applyInPandas(_greedy_admission(strict), _GREEDY_SCHEMA))
-    lost = twins.select(key).unionByName(decided.filter(~F.col("admitted")).select(key)).withColumn(
+    refused = cut(decided.filter(~F.col("admitted")).select(key))
+    admitted = alive.join(refused, key, "left_anti")
+    odd_twins = blocked_rows(twins.filter(~proper), admitted, strict, ordered=True, later_id=key, earlier_id=key)
+    lost = twins.filter(proper).select(key).unionByName(refused).unionByName(odd_twins).withColumn(
         "_lost", F.lit(True))
     d = cut(d.join(lost, key, "left").withColumn(
         "reason", F.coalesce("reason", F.when(F.col("_lost"), F.lit(MSG_TAKEN)))).drop("_lost"))
@@ -248,7 +266,10 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
                      "discount_amount", F.col("created_at").alias("used_at")))
     usage = assign_ids(usage, t.voucher_usage, [F.col(key)]).drop(key)
     cols = [c for c in t.bookings.columns if c in rows.columns]
-    return Admission(rows.select(*cols), rejected, usage)
+    used = usage.groupBy(F.col("promotion_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    raised = t.promotions.select("id", "used_count").join(used, "id").select(
+        "id", (F.coalesce("used_count", F.lit(0)) + F.col("_n")).cast("int").alias("used_count"))
+    return Admission(rows.select(*cols), rejected, usage, raised)
 
 
 def cancel_bookings(t: Tables, requests: DataFrame, as_of, lead_hours: int = CANCEL_LEAD_HOURS) -> Outcome:
@@ -378,9 +399,11 @@ def upsert_promotions(t: Tables, requests: DataFrame, as_of=None) -> PromotionUp
 def replace_promotion_targets(t: Tables, accepted: DataFrame, target_users: DataFrame, as_of=None) -> DataFrame:
     """Drop the targets of every accepted promotion; re-insert the listed users where target_type is 'specific'.
 
-    ``target_users`` is (request_id, user_id) — the exploded form of the
-    request's user list.
+    ``target_users`` is (request_id, user_ids array), the request's user list,
+    or its exploded form (request_id, user_id).
     """
+    if "user_ids" in target_users.columns:
+        target_users = target_users.select("request_id", F.explode("user_ids").alias("user_id"))
     kept = t.promotion_targets.join(accepted.select(F.col("promotion_id")).distinct(), "promotion_id", "left_anti")
     spec = accepted.filter(F.col("target_type") == "specific").select("request_id", "promotion_id")
     new = spec.join(target_users.select("request_id", "user_id"), "request_id").select(

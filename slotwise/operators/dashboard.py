@@ -32,10 +32,11 @@ class Dashboard(NamedTuple):
     daily: DataFrame          # owner_id, day, sales
     weekday: DataFrame        # owner_id, day_of_week, bookings
     demand: DataFrame         # court_demand
-    demand_bands: DataFrame   # demand_split
+    demand_bands: DataFrame | None   # demand_split; None unless asked for
     recent: DataFrame         # owner_recent_bookings(confirmed_only=True)
     chart_yearly: DataFrame   # sales_chart_series(period='yearly')
     chart_monthly: DataFrame  # sales_chart_series(period='monthly')
+    shared: DataFrame         # the daily aggregate that the parts read; unpersist() it when cached
 
 
 def _dbl(c):
@@ -43,7 +44,9 @@ def _dbl(c):
 
 
 def sales_dashboard(t: Tables, as_of, share: float = OWNER_SHARE, days: int = TREND_DAYS,
-                    cache: bool = True) -> Dashboard:
+                    cache: bool = True, bands: bool = True) -> Dashboard:
+    """All parts over one daily aggregate. Every part is lazy, except ``demand_bands``, whose ranking runs a job when
+    it is built: pass ``bands=False`` to leave it out. With ``cache`` the aggregate is kept until ``shared.unpersist()``."""
     since = as_of_ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     daily = (t.bookings.filter(F.col("booking_status") == CONFIRMED)
              .groupBy("court_id", F.to_date("created_at").alias("_day"), weekday_text("booking_date").alias("_dow"),
@@ -74,5 +77,6 @@ def sales_dashboard(t: Tables, as_of, share: float = OWNER_SHARE, days: int = TR
         _dbl(F.coalesce(share_of(F.col("_ca"), share), F.lit(0))).alias("revenue"))
     charts = [chart_arrays(yearly.select("owner_id", F.col("month").alias("label"), "sales")),
               chart_arrays(per_day.select("owner_id", F.col("day").alias("label"), "sales"))]
-    return Dashboard(monthly, today, yearly, per_day, weekday, demand, demand_split(t, demand=demand),
-                     owner_recent_bookings(t, confirmed_only=True), *charts)
+    return Dashboard(monthly, today, yearly, per_day, weekday, demand,
+                     demand_split(t, demand=demand) if bands else None,
+                     owner_recent_bookings(t, confirmed_only=True), *charts, daily)

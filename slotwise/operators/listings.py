@@ -22,6 +22,11 @@ def _court_cols(t: Tables, *cols) -> DataFrame:
     return t.courts.select(F.col("id").alias("court_id"), *cols)
 
 
+def _sorted(df: DataFrame, ordered: bool, *keys: str) -> DataFrame:
+    """The listing in the order of its page, newest first, ties by id; ``ordered=False`` leaves out the sort."""
+    return df.orderBy(*[F.col(k).desc_nulls_last() for k in keys], F.col("id").desc()) if ordered else df
+
+
 def recent_bookings(t: Tables, n: int = 10, fk_checked: bool = False) -> DataFrame:
     """Newest ``n`` bookings platform-wide with court name and booker's names.
 
@@ -39,27 +44,29 @@ def recent_bookings(t: Tables, n: int = 10, fk_checked: bool = False) -> DataFra
             .select(*t.bookings.columns, "court_name", "first_name", "last_name"))
 
 
-def pending_courts(t: Tables) -> DataFrame:
+def pending_courts(t: Tables, ordered: bool = True) -> DataFrame:
     """Courts awaiting approval, with owner business and owner user names."""
     owners = _owners(t, "business_name", F.col("user_id").alias("_owner_user"))
     users = _users(t, "_owner_user", "first_name", "last_name")
-    return (t.courts.filter(F.col("is_approved") == 0).join(owners, "owner_id").join(users, "_owner_user")
-            .select(*t.courts.columns, "business_name", "first_name", "last_name"))
+    out = (t.courts.filter(F.col("is_approved") == 0).join(owners, "owner_id").join(users, "_owner_user")
+           .select(*t.courts.columns, "business_name", "first_name", "last_name"))
+    return _sorted(out, ordered, "created_at")
 
 
-def admin_courts(t: Tables) -> DataFrame:
+def admin_courts(t: Tables, ordered: bool = True) -> DataFrame:
     """All courts with owner names, booking count (any status) and average rating."""
     owners = _owners(t, "business_name", F.col("user_id").alias("_owner_user"))
     users = _users(t, "_owner_user", "first_name", "last_name")
     nb = t.bookings.groupBy(F.col("court_id").alias("id")).agg(F.count(F.lit(1)).alias("booking_count"))
     nr = t.reviews.groupBy(F.col("court_id").alias("id")).agg(F.avg("rating").alias("avg_rating"))
-    return (t.courts.join(owners, "owner_id").join(users, "_owner_user")
-            .join(nb, "id", "left").join(nr, "id", "left")
-            .select(*t.courts.columns, "business_name", "first_name", "last_name",
-                    F.coalesce("booking_count", F.lit(0)).cast("bigint").alias("booking_count"), "avg_rating"))
+    out = (t.courts.join(owners, "owner_id").join(users, "_owner_user")
+           .join(nb, "id", "left").join(nr, "id", "left")
+           .select(*t.courts.columns, "business_name", "first_name", "last_name",
+                   F.coalesce("booking_count", F.lit(0)).cast("bigint").alias("booking_count"), "avg_rating"))
+    return _sorted(out, ordered, "created_at")
 
 
-def admin_bookings(t: Tables) -> DataFrame:
+def admin_bookings(t: Tables, ordered: bool = True) -> DataFrame:
     """Every booking with court, owner business and booker details.
 
     The court → owner chain is joined first (court-sized), so bookings take
@@ -67,18 +74,20 @@ def admin_bookings(t: Tables) -> DataFrame:
     """
     courts = _court_cols(t, F.col("name").alias("court_name"), "owner_id").join(
         _owners(t, "business_name"), "owner_id").drop("owner_id")
-    return (t.bookings.join(courts, "court_id")
-            .join(_users(t, "user_id", "first_name", "last_name", "email"), "user_id")
-            .select(*t.bookings.columns, "court_name", "business_name", "first_name", "last_name", "email"))
+    out = (t.bookings.join(courts, "court_id")
+           .join(_users(t, "user_id", "first_name", "last_name", "email"), "user_id")
+           .select(*t.bookings.columns, "court_name", "business_name", "first_name", "last_name", "email"))
+    return _sorted(out, ordered, "created_at")
 
 
-def payout_list(t: Tables) -> DataFrame:
+def payout_list(t: Tables, ordered: bool = True) -> DataFrame:
     owners = _owners(t, "business_name", F.col("user_id").alias("_owner_user"))
-    return (t.payouts.join(owners, "owner_id").join(_users(t, "_owner_user", "first_name", "last_name"), "_owner_user")
-            .select(*t.payouts.columns, "business_name", "first_name", "last_name"))
+    out = (t.payouts.join(owners, "owner_id").join(_users(t, "_owner_user", "first_name", "last_name"), "_owner_user")
+           .select(*t.payouts.columns, "business_name", "first_name", "last_name"))
+    return _sorted(out, ordered, "created_at")
 
 
-def user_bookings(t: Tables, user_id=None, detail: bool = False) -> DataFrame:
+def user_bookings(t: Tables, user_id=None, detail: bool = False, ordered: bool = True) -> DataFrame:
     """Bookings with court and owner contact; ``detail`` adds the booker's names."""
     b = t.bookings if user_id is None else t.bookings.filter(F.col("user_id") == F.lit(user_id))
     courts = _court_cols(t, F.col("name").alias("court_name"), F.col("address").alias("court_address"),
@@ -88,17 +97,18 @@ def user_bookings(t: Tables, user_id=None, detail: bool = False) -> DataFrame:
     if detail:
         out = out.join(_users(t, "user_id", "first_name", "last_name"), "user_id")
         cols += ["first_name", "last_name"]
-    return out.select(*cols)
+    return _sorted(out.select(*cols), ordered, "booking_date", "start_time")
 
 
-def owner_bookings(t: Tables, owner_id=None) -> DataFrame:
+def owner_bookings(t: Tables, owner_id=None, ordered: bool = True) -> DataFrame:
     """Bookings on each owner's courts with the booker's contact details."""
     courts = _court_cols(t, F.col("name").alias("court_name"), "owner_id").filter(F.col("owner_id").isNotNull())
     if owner_id is not None:
         courts = courts.filter(F.col("owner_id") == F.lit(owner_id))
-    return (t.bookings.join(courts, "court_id")
-            .join(_users(t, "user_id", "first_name", "last_name", "email", "phone"), "user_id")
-            .select("owner_id", *t.bookings.columns, "court_name", "first_name", "last_name", "email", "phone"))
+    out = (t.bookings.join(courts, "court_id")
+           .join(_users(t, "user_id", "first_name", "last_name", "email", "phone"), "user_id")
+           .select("owner_id", *t.bookings.columns, "court_name", "first_name", "last_name", "email", "phone"))
+    return _sorted(out, ordered, "booking_date", "start_time")
 
 
 def owned_courts(t: Tables, user_id=None) -> DataFrame:
@@ -109,15 +119,16 @@ def owned_courts(t: Tables, user_id=None) -> DataFrame:
     return t.courts.join(owners, "owner_id").select(*t.courts.columns, "user_id")
 
 
-def promotion_list(t: Tables) -> DataFrame:
+def promotion_list(t: Tables, ordered: bool = True) -> DataFrame:
     """Promotions with creator name (NULL if a name part is NULL) and number of targets."""
     counts = (t.promotion_targets.groupBy(F.col("promotion_id").alias("id"))
               .agg(F.count("user_id").alias("target_count")))
     creators = t.users.select(F.col("id").alias("created_by"),
                               full_name("first_name", "last_name").alias("created_by_name"))
-    return (t.promotions.join(creators, "created_by", "left").join(counts, "id", "left")
-            .select(*t.promotions.columns, "created_by_name",
-                    F.coalesce("target_count", F.lit(0)).cast("bigint").alias("target_count")))
+    out = (t.promotions.join(creators, "created_by", "left").join(counts, "id", "left")
+           .select(*t.promotions.columns, "created_by_name",
+                   F.coalesce("target_count", F.lit(0)).cast("bigint").alias("target_count")))
+    return _sorted(out, ordered, "created_at")
 
 
 def promotion_target_users(t: Tables, promotion_id=None) -> DataFrame:

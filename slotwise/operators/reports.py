@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.calendar import as_of_date, as_of_ts, day_text, month, month_num, weekday_text, year_text
+from slotwise.functions.calendar import as_of_date, as_of_ts, day_text, in_period, month, month_num, weekday_text, year_text
 from slotwise.functions.text import full_name
 from slotwise.plans.ranking import positions, top_k
 from slotwise.plans.rollup import court_owner, per_owner, share_of
@@ -181,7 +181,7 @@ def owner_today_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHAR
 
 def owner_yearly_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHARE) -> DataFrame:
     """Confirmed bookings created in as_of's year, by month."""
-    where = (F.col("booking_status") == CONFIRMED) & (year_text("created_at") == year_text(as_of_ts(as_of)))
+    where = (F.col("booking_status") == CONFIRMED) & in_period("created_at", as_of, "year")
     agg = per_owner(t, where, {"month": month("created_at")})
     return _owner_filter(agg, owner_id).select(
         "owner_id", F.substring("month", 6, 2).alias("month_num"), "month",
@@ -190,7 +190,7 @@ def owner_yearly_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHA
 
 def owner_daily_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHARE) -> DataFrame:
     """Confirmed bookings created in as_of's month, by day of month ('DD')."""
-    where = (F.col("booking_status") == CONFIRMED) & (month("created_at") == month(as_of_ts(as_of)))
+    where = (F.col("booking_status") == CONFIRMED) & in_period("created_at", as_of, "month")
     agg = per_owner(t, where, {"day": day_text("created_at")})
     return _owner_filter(agg, owner_id).select(
         "owner_id", "day", _dbl(F.coalesce(share_of(F.col("amount"), share), F.lit(0))).alias("sales"))
@@ -212,19 +212,21 @@ def owner_sales_headline(t: Tables, as_of, calendar: bool = False, share: float
     bookings are scanned once. Sums stay exact decimals and are rounded like toFixed(2).
     """
     daily = per_owner(t, F.col("booking_status") == CONFIRMED, {"_day": F.to_date("created_at")})
+    own = share_of(F.col("amount"), share)
     monthly = daily.groupBy("owner_id", month("_day").alias("month")).agg(
-        F.sum(share_of(F.col("amount"), share)).alias("_m"))
+        F.sum(own).alias("_m"), F.sum(F.when(F.col("_day") == as_of_date(as_of), own)).alias("_t"))
+    today = F.sum("_t").alias("_today")
     if calendar:
         ts = as_of_ts(as_of)
-        heads = monthly.filter(F.substring("month", 1, 4) == year_text(ts)).groupBy("owner_id").agg(
-            F.sum("_m").alias("_annual"), F.sum(F.when(F.col("month") == month(ts), F.col("_m"))).alias("_cur"))
+        this_year = F.substring("month", 1, 4) == year_text(ts)
+        heads = monthly.groupBy("owner_id").agg(
+            F.sum(F.when(this_year, F.col("_m"))).alias("_annual"),
+            F.sum(F.when(F.col("month") == month(ts), F.col("_m"))).alias("_cur"), today)
     else:
         heads = monthly.groupBy("owner_id").agg(F.sum("_m").alias("_annual"),
-                                                F.max_by("_m", "month").alias("_cur"))
-    today = daily.filter(F.col("_day") == as_of_date(as_of)).groupBy("owner_id").agg(
-        F.sum(share_of(F.col("amount"), share)).alias("_today"))
+                                                F.max_by("_m", "month").alias("_cur"), today)
     owners = t.court_owners.select(F.col("id").alias("owner_id"))
-    out = owners.join(heads, "owner_id", "left").join(today, "owner_id", "left")
+    out = owners.join(heads, "owner_id", "left")
     r2 = lambda c: _dbl(F.round(F.coalesce(F.col(c).cast("decimal(38,3)"), F.lit(0)), 2))
     return out.select("owner_id", r2("_annual").alias("annual_sales"), r2("_cur").alias("current_month_sales"),
                       r2("_today").alias("today_sales"))

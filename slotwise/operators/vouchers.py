@@ -45,7 +45,9 @@ def validate_vouchers(t: Tables, requests: DataFrame, now: str = "requested_at")
     promotions through an equi join on the upper-cased code, and targeting
     through an equi join on (promotion_id, user_id) — no per-request lookups.
     """
-    req = requests.withColumn("_code", F.upper(F.col("code")))
+    # the form trims the code before it is sent
+    req = requests.withColumn("code", F.regexp_replace("code", r"(?U)^[\s﻿]+|[\s﻿]+$", ""))
+    req = req.withColumn("_code", F.upper(F.col("code")))
     promos = _active_by_code(t)
     targets = t.promotion_targets.select("promotion_id", "user_id").dropna().distinct().withColumn(
         "_targeted", F.lit(True))
@@ -145,9 +147,12 @@ def price_bookings(t: Tables, requests: DataFrame) -> DataFrame:
                     (original - disc).alias("total_amount"))
 
 
-def voucher_usage_rollup(t: Tables) -> DataFrame:
-    """Per promotion: uses and total discount in voucher_usage, and used_count after applying them."""
-    usage = t.voucher_usage.groupBy(F.col("promotion_id").alias("id")).agg(
+def voucher_usage_rollup(t: Tables, new_usage: DataFrame) -> DataFrame:
+    """Per promotion: uses and discount of ``new_usage`` (voucher_usage rows not counted yet) and the raised used_count.
+
+    ``used_count`` already contains the rows of the voucher_usage table, so only the new rows are added.
+    """
+    usage = new_usage.groupBy(F.col("promotion_id").alias("id")).agg(
         F.count(F.lit(1)).alias("uses"), F.sum("discount_amount").alias("_disc"))
     return t.promotions.select("id", "used_count").join(usage, "id", "left").select(
         F.col("id").alias("promotion_id"), F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses"),

@@ -60,7 +60,8 @@ SELECT p_partkey AS id, p_partkey % (SELECT COUNT(*) FROM {supplier}) AS owner_i
  CAST(DATE '1995-01-01' + CAST((p_partkey * 13) % 2400 AS INT) AS TIMESTAMP) AS created_at
 FROM {part}""",
     "bookings": """
-SELECT l_orderkey * 8 + l_linenumber AS id, MIN(l_partkey) AS court_id, MIN(o_custkey) AS user_id,
+SELECT l_orderkey * 8 + l_linenumber AS id, MIN(CASE WHEN l_partkey % 40 = 3 THEN l_partkey - 1 ELSE l_partkey END) AS court_id,
+ MIN(o_custkey) AS user_id,
  DATE '2001-06-01' + CAST(MIN(EXTRACT(DAY FROM l_shipdate) + EXTRACT(MONTH FROM l_shipdate) * 31) % 28 AS INT) AS booking_date,
  lpad(CAST(6 + CAST(MIN(l_quantity) AS INT) % 14 AS STRING), 2, '0') || CASE WHEN MIN(l_linenumber) = 7 THEN ':30' ELSE ':00' END AS start_time,
  lpad(CAST(6 + CAST(MIN(l_quantity) AS INT) % 14 + 1 + MIN(l_linenumber) % 3 AS STRING), 2, '0') || CASE WHEN MIN(l_linenumber) = 7 THEN ':30' ELSE ':00' END AS end_time,
@@ -102,9 +103,21 @@ FROM {part} WHERE p_partkey % 20 = 0""",
 SELECT MIN(l_orderkey * 8 + l_linenumber) AS id, p.id AS promotion_id, CAST(o_custkey AS BIGINT) AS user_id
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {promotions} p ON p.id = l_partkey - l_partkey % 20
 WHERE l_linenumber = 1 AND (p.target_type = 'specific' OR l_orderkey % 9 = 0) GROUP BY p.id, o_custkey""",
+    "payments": """
+SELECT id, id AS booking_id, total_amount AS amount, 'online' AS payment_method, CAST(NULL AS STRING) AS transaction_id,
+ 'completed' AS status, created_at
+FROM {bookings} WHERE payment_status = 'paid' AND id % 4 = 0""",
+    "voucher_usage": """
+SELECT l_orderkey * 8 + l_linenumber AS id, MIN(p.id) AS promotion_id, l_orderkey * 8 + l_linenumber AS booking_id,
+ MIN(o_custkey) AS user_id, CAST(MIN(5 + l_orderkey % 20) AS DECIMAL(12,2)) AS discount_amount,
+ CAST(MIN(o_orderdate) AS TIMESTAMP) AS used_at
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {promotions} p ON p.id = l_partkey - l_partkey % 20
+WHERE l_linenumber = 4 AND l_orderkey % 5 = 0 GROUP BY l_orderkey, l_linenumber""",
     # request tables (one row per incoming request)
     "voucher_requests": """
-SELECT o_orderkey AS request_id, o_custkey AS user_id, 'promo' || CAST(20 * (o_orderkey % 110) AS STRING) AS code,
+SELECT o_orderkey AS request_id, o_custkey AS user_id,
+ CASE WHEN o_orderkey % 17 = 0 THEN '  promo' || CAST(20 * (o_orderkey % 110) AS STRING) || ' '
+      ELSE 'promo' || CAST(20 * (o_orderkey % 110) AS STRING) END AS code,
  CAST(100 + o_orderkey % 1500 AS DECIMAL(12,2)) AS booking_amount, CAST(o_orderdate AS TIMESTAMP) AS requested_at
 FROM {orders}""",
 }
@@ -113,7 +126,7 @@ VIEWS["booking_requests"] = """
 SELECT o_orderkey AS request_id, o_custkey AS user_id, o_orderkey % (SELECT COUNT(*) FROM {part}) AS court_id,
  DATE '2001-06-01' + CAST(o_orderkey % 28 AS INT) AS booking_date,
  lpad(CAST(6 + o_orderkey % 15 AS STRING), 2, '0') || CASE WHEN o_orderkey % 9 = 0 THEN ':30' ELSE ':00' END AS start_time,
- lpad(CAST(7 + o_orderkey % 15 + o_custkey % 3 AS STRING), 2, '0') || CASE WHEN o_orderkey % 9 = 0 THEN ':30' ELSE ':00' END
+ lpad(CAST(CASE WHEN o_orderkey % 23 = 0 THEN 6 + o_orderkey % 15 - o_custkey % 3 ELSE 7 + o_orderkey % 15 + o_custkey % 3 END AS STRING), 2, '0') || CASE WHEN o_orderkey % 9 = 0 THEN ':30' ELSE ':00' END
    AS end_time,
  CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN NULL ELSE CAST(1 + o_custkey % 3 AS INT) END AS total_hours,
  CASE WHEN o_orderpriority = '1-URGENT' THEN 'PROMO' || CAST(20 * (o_custkey % 100) AS STRING) END AS voucher_code,
@@ -207,7 +220,8 @@ VIEWS["approval_requests"] = """
 SELECT id, CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END AS approved FROM {courts} WHERE is_approved = 0"""
 
 VIEWS["toggle_requests"] = """
-SELECT p_partkey AS request_id, p_partkey - p_partkey % 20 AS id FROM {part} WHERE p_size % 10 = 0"""
+SELECT p_partkey AS request_id, p_partkey - p_partkey % 20 + CASE WHEN p_size = 20 THEN 1 ELSE 0 END AS id
+FROM {part} WHERE p_size % 10 = 0"""
 
 VIEWS["promotion_delete_requests"] = """
 SELECT id FROM {promotions} WHERE is_active = 0"""
@@ -224,7 +238,7 @@ DEPENDS: dict[str, tuple[str, ...]] = {
 }
 
 DOMAIN = ("users", "court_owners", "courts", "bookings", "reviews", "payouts", "court_images", "promotions",
-          "promotion_targets")
+          "promotion_targets", "payments", "voucher_usage")
 
 
 def spark_text(name: str) -> str:
@@ -322,14 +336,14 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return _fixture(spark, sf_dir.rstrip("/"))
 
 
-def materialize(spark: SparkSession, sf_dir: str, out_dir: str, names=DOMAIN) -> None:
-    """Write fixture views as parquet (bookings partitioned by booking_date).
+def materialize(spark: SparkSession, sf_dir: str, out_dir: str, names=DOMAIN, declared: bool = False) -> None:
+    """Write fixture views as parquet (bookings partitioned by booking_date), with ``declared`` in the declared schema.
 
     Afterwards ``fixture(spark, out_dir)`` reads them back instead of recomputing.
     """
     fx = Fixture(spark, sf_dir)
     for name in names:
-        df = conform(fx.view(name), name) if name in DOMAIN else fx.view(name)
+        df = conform(fx.view(name), name) if declared and name in DOMAIN else fx.view(name)
         writer = df.write.mode("overwrite")
         if name == "bookings":
             writer = writer.partitionBy("booking_date")

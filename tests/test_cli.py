@@ -15,11 +15,11 @@ def test_operator_listing_covers_the_jobs():
 
 def test_run_writes_outputs(spark, small_dir):
     base = tempfile.mkdtemp(prefix="cli-")
-    FX.materialize(spark, small_dir, f"{base}/tables")
+    FX.materialize(spark, small_dir, f"{base}/tables", declared=True)
     FX.Fixture(spark, small_dir).view("booking_requests").write.parquet(f"{base}/requests")
-    assert main(["run", "admit_bookings", "--optional", "court_availability", "--optional", "payments", "--optional", "voucher_usage", "--tables", f"{base}/tables", "--requests", f"{base}/requests",
+    assert main(["run", "admit_bookings", "--optional", "court_availability", "--tables", f"{base}/tables", "--requests", f"{base}/requests",
                  "--out", f"{base}/admission"]) == 0
-    assert sorted(os.listdir(f"{base}/admission")) == ["bookings", "rejected", "usage"]
-    assert main(["run", "available_slots", "--optional", "court_availability", "--optional", "payments", "--optional", "voucher_usage", "--tables", f"{base}/tables", "--out", f"{base}/slots",
+    assert sorted(os.listdir(f"{base}/admission")) == ["bookings", "promotions", "rejected", "usage"]
+    assert main(["run", "available_slots", "--optional", "court_availability", "--tables", f"{base}/tables", "--out", f"{base}/slots",
                  "--param", "date=2001-06-15"]) == 0
     assert spark.read.parquet(f"{base}/slots").count() > 0

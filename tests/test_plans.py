@@ -2,18 +2,18 @@
 
 import contextlib
 import io
+import re
 import tempfile
 
 import pytest
 
-import __spark_entry__ as entry
-from slotwise.catalog import T
+from slotwise.catalog import QUERIES, T
 from slotwise.operators import intervals as I
 from slotwise.operators import reports as R
 from slotwise.sources import fixtures as FX
 
 # queries whose plan builds a checkpoint eagerly (they run jobs while planning); checked separately
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 def plan(df) -> str:
@@ -32,7 +32,7 @@ def stored(spark, small_dir):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_cartesian_or_nested_loop_join(spark, stored, name):
-    text = plan(entry.queries()[name](spark, stored))
+    text = plan(QUERIES[name](spark, stored))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
 
@@ -56,7 +56,19 @@ def test_top_k_is_limited_before_the_shuffle(spark, stored):
 
 def test_owner_reports_aggregate_before_joining_courts(spark, stored):
     text = plan(R.owner_monthly_earnings(T(spark, stored)))
-    # a partial aggregate sits directly on the bookings scan side
-    first_agg = text.index("HashAggregate")
-    first_join = text.index("Join")
-    assert first_agg < first_join or "partial_sum" in text
+    # formatted plans number operators from the scans upwards: the partial sum comes before any join
+    details = text[text.index("partial_sum"):]
+    partial = min(int(n) for n, kind in re.findall(r"\((\d+)\) (HashAggregate|ObjectHashAggregate)", text))
+    joins = [int(n) for n, kind in re.findall(r"\((\d+)\) (\w*Join)\b", text)]
+    assert details and joins and partial < min(joins)
+
+
+def test_period_reports_push_both_bounds(spark, stored):
+    for df in (R.owner_yearly_sales(T(spark, stored), "2001-06-15 12:00:00"), R.owner_daily_sales(T(spark, stored), "2001-06-15 12:00:00")):
+        text = plan(df)
+        assert "GreaterThanOrEqual(created_at," in text and "LessThan(created_at," in text
+
+
+def test_sales_headline_scans_bookings_once(spark, stored):
+    text = plan(R.owner_sales_headline(T(spark, stored), "2001-06-15 12:00:00"))
+    assert len(re.findall(r"Location: InMemoryFileIndex \[[^]]*/bookings", text)) == 1

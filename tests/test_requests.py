@@ -1,0 +1,109 @@
+"""Order of the listings, padded codes, target arrays, court deletion, duplicate changes, twins of odd intervals, lazy parts."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from slotwise.catalog import AS_OF
+from slotwise.operators import changes as CH
+from slotwise.operators import listings as L
+from slotwise.operators import vouchers as VO
+from slotwise.operators.dashboard import sales_dashboard
+from slotwise.sources.fixtures import Fixture
+from tests import hand as H
+from tests.test_admission import sequential
+
+
+@pytest.mark.parametrize("listing, keys", [
+    (L.pending_courts, ["created_at"]), (L.admin_courts, ["created_at"]), (L.admin_bookings, ["created_at"]),
+    (L.payout_list, ["created_at"]), (L.promotion_list, ["created_at"]), (L.user_bookings, ["booking_date", "start_time"]),
+    (L.owner_bookings, ["booking_date", "start_time"])])
+def test_listings_come_newest_first(spark, small_dir, listing, keys):
+    t = Fixture(spark, small_dir).tables()
+    got = [tuple(r) for r in listing(t).select(*keys, "id").collect()]
+    assert len(got) > 1 and got == sorted(got, reverse=True)
+    assert sorted(tuple(r) for r in listing(t, ordered=False).select(*keys, "id").collect()) == sorted(got)
+
+
+def _promotion(**kw):
+    base = dict(title="t", discount_type="fixed", discount_value=H.m(5), start_date=H.d("2001-01-01"), end_date=H.d("2001-12-31"),
+                is_active=1, usage_limit=-1, used_count=4, target_type="all")
+    return H.row("promotions", **(base | kw))
+
+
+def test_padded_codes_are_trimmed(spark):
+    t = H.tables(spark, promotions=[_promotion(id=1, code="SAVE")])
+    req = spark.createDataFrame([(1, 7, "  save\t", H.m(10), H.ts("2001-06-01")), (2, 7, "   ", H.m(10), H.ts("2001-06-01")),
+                                 (3, 7, "sa ve", H.m(10), H.ts("2001-06-01"))],
+                                "request_id long, user_id long, code string, booking_amount decimal(12,2), requested_at timestamp_ntz")
+    got = {r.request_id: (r.valid, r.reason) for r in VO.validate_vouchers(t, req).collect()}
+    assert got == {1: (True, None), 2: (False, "Please enter a voucher code"), 3: (False, "Invalid voucher code")}
+
+
+def test_only_new_usage_raises_the_count(spark):
+    t = H.tables(spark, promotions=[_promotion(id=1, code="A"), _promotion(id=2, code="B")],
+                 voucher_usage=[H.row("voucher_usage", id=1, promotion_id=1, booking_id=1, user_id=1, discount_amount=H.m(5))])
+    new = t.voucher_usage.withColumn("id", F.lit(2))
+    got = {r.promotion_id: (r.uses, r.used_count) for r in VO.voucher_usage_rollup(t, new).collect()}
+    assert got == {1: (1, 5), 2: (0, 4)}
+
+
+def test_target_users_as_array(spark):
+    t = H.tables(spark, promotion_targets=[H.row("promotion_targets", id=3, promotion_id=1, user_id=9)])
+    accepted = spark.createDataFrame([(10, 1, "specific"), (11, 2, "all")], "request_id long, promotion_id long, target_type string")
+    lists = spark.createDataFrame([(10, [5, 6]), (11, [7])], "request_id long, user_ids array<long>")
+    got = CH.replace_promotion_targets(t, accepted, lists).select("promotion_id", "user_id").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 5), (1, 6)]
+
+
+def test_delete_courts(spark):
+    images = [H.row("court_images", id=i, court_id=c, image_path="x", is_primary=0) for i, c in ((1, 1), (2, 2), (3, 3))]
+    t = H.tables(spark, courts=[H.court(1), H.court(2), H.court(3, owner_id=2)], court_owners=[H.owner(1, 10), H.owner(2, 20)],
+                 bookings=[H.booking(1, court_id=2)], court_images=images)
+    req = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, 3, 10), (4, 1, 10)], "request_id long, court_id long, user_id long")
+    out = CH.delete_courts(t, req)
+    assert [r.id for r in out.courts.orderBy("id").collect()] == [2, 3]
+    assert [r.id for r in out.court_images.orderBy("id").collect()] == [2, 3]
+    assert sorted((r.request_id, r.reason) for r in out.rejected.collect()) == [(2, CH.MSG_HAS_BOOKINGS), (3, CH.MSG_COURT_NOT_OWNED)]
+
+
+def test_two_changes_of_one_key_need_an_order(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    changes = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "id long, v string, n long")
+    assert [r.v for r in CH.merge_updates(df, changes, "id", ["v"], order="n").orderBy("id").collect()] == ["y", "b"]
+    same = CH.merge_updates(df, changes.filter("n = 1").unionByName(changes.filter("n = 1")), "id", ["v"])
+    assert [r.v for r in same.orderBy("id").collect()] == ["x", "b"]
+    with pytest.raises(Exception, match="need an order"):
+        CH.merge_updates(df, changes, "id", ["v"]).collect()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_twins_of_empty_and_inverted_intervals(spark, strict):
+    """Many equal odd intervals, decided as a plain loop decides them."""
+    courts = [H.court(1)]
+    spans = [("10:00", "10:00"), ("11:00", "09:00"), ("09:30", "10:30"), ("10:00", "10:00"), ("11:00", "09:00"), ("08:00", "12:00"),
+             ("12:00", "12:00"), ("11:00", "09:00"), ("12:00", "13:00"), ("12:00", "12:00")] * 3
+    rows = [(i, 1, 1, H.d("2001-06-15"), s, e, 1) for i, (s, e) in enumerate(spans, 1)]
+    req = spark.createDataFrame(rows, "request_id long, user_id long, court_id long, booking_date date, start_time string, end_time string, "
+                                      "total_hours int")
+    t = H.tables(spark, courts=courts, bookings=[H.booking(1, date="2001-06-16")])
+    want = sequential([], courts, [r.asDict() for r in req.collect()], strict)
+    res = CH.admit_bookings(t, req, as_of=AS_OF, strict=strict)
+    assert {r.request_id: r.reason for r in res.rejected.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_admission_raises_used_counts(spark):
+    t = H.tables(spark, courts=[H.court(1)], bookings=[], promotions=[_promotion(id=1, code="SAVE"), _promotion(id=2, code="OTHER")])
+    req = spark.createDataFrame([(i, 1, 1, H.d("2001-06-15"), f"{9 + i:02d}:00", f"{10 + i:02d}:00", 1, "save", H.m(2)) for i in (1, 2)],
+                                "request_id long, user_id long, court_id long, booking_date date, start_time string, end_time string, "
+                                "total_hours int, voucher_code string, discount_amount decimal(12,2)")
+    assert [tuple(r) for r in CH.admit_bookings(t, req, as_of=AS_OF).promotions.collect()] == [(1, 6)]
+
+
+def test_dashboard_parts_start_no_job(spark, small_dir):
+    t = Fixture(spark, small_dir).tables()
+    spark.sparkContext.setJobGroup("lazy-dashboard", "building only")
+    try:
+        sales_dashboard(t, AS_OF, cache=False, bands=False)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-dashboard")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
