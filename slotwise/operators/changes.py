@@ -352,24 +352,58 @@ class PromotionUpsert(NamedTuple):
     rejected: DataFrame
 
 
+def _code_decisions(requests: DataFrame, promotions: DataFrame) -> DataFrame:
+    """(request_id, clash) for ``requests(request_id, id, _ucode)`` taken one at a time in request_id order.
+
+    A request clashes when another promotion holds its code at its turn; an
+    accepted edit gives up its old code and an accepted request holds its new
+    one. Rounds: a request is decided once no undecided earlier request
+    touches its code, its promotion, or the promotion that holds its code; it
+    clashes at once when no earlier edit of that holder is left to free the
+    code, so a code with many requests takes two rounds. Decided rows leave,
+    and each round's rows are checkpointed.
+    """
+    key = "request_id"
+    pending = cut(requests.select(key, "id", "_ucode"))
+    state = cut(promotions.select(F.upper("code").alias("_code"), F.col("id").alias("_holder")))
+    decided = None
+    while not pending.isEmpty():
+        held = state.groupBy("_code").agg(F.min("_holder").alias("_holder"), F.max("_holder").alias("_last"))
+        p = pending.join(held, F.col("_ucode") == F.col("_code"), "left").drop("_code")
+        touched = p.select(key, F.concat(F.lit("c"), F.col("_ucode")).alias("_what"))
+        for c in ("id", "_holder", "_last"):
+            touched = touched.unionByName(p.filter(F.col(c).isNotNull()).select(key, F.concat(F.lit("p"), F.col(c)).alias("_what")))
+        first = touched.groupBy("_what").agg(F.min(key).alias("_first"))
+        waits = touched.join(first, "_what").filter(F.col("_first") < F.col(key)).select(key).distinct().withColumn("_waits", F.lit(True))
+        edits = pending.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("_holder")).agg(F.min(key).alias("_edited"))
+        clash = F.col("_holder").isNotNull() & ((F.col("_holder") != F.col("_last")) | ~F.col("_holder").eqNullSafe(F.col("id")))
+        stuck = clash & (F.col("_holder") == F.col("_last")) & (F.coalesce("_edited", F.col(key)) >= F.col(key))
+        p = p.join(waits, key, "left").join(edits, "_holder", "left").withColumn("clash", clash).withColumn(
+            "_done", F.col("_waits").isNull() | stuck)
+        p = cut(p.select(key, "id", "_ucode", "clash", "_done"))
+        done = p.filter("_done").select(key, "clash")
+        decided = done if decided is None else decided.unionByName(done)
+        taken = p.filter("_done AND NOT clash")
+        state = cut(state.join(taken.select(F.col("id").alias("_holder")).dropna(), "_holder", "left_anti").select("_code", "_holder")
+                    .unionByName(taken.select(F.col("_ucode").alias("_code"), F.coalesce("id", -F.col(key)).alias("_holder"))))
+        pending = p.filter("NOT _done").select(key, "id", "_ucode")
+    return requests.select(key, F.lit(False).alias("clash")).limit(0) if decided is None else decided
+
+
 def upsert_promotions(t: Tables, requests: DataFrame, as_of=None) -> PromotionUpsert:
     """Create (id NULL) or edit (id given) promotions from requests.
 
-    Required fields → edits of unknown ids rejected → code unique (upper-cased;
-    an edit may keep its own code; inside the batch the first request wins a
-    code) → defaults: min 0, max NULL when blank or 0, usage_limit −1, target
-    'all'. Rules fill one decision frame through left joins.
+    Required fields → edits of unknown ids rejected → code unique (upper-cased)
+    among the promotions as they are at the request's turn: an edit may keep
+    its own code, and a code that an earlier edit gave up is free again →
+    defaults: min 0, max NULL when blank or 0, usage_limit −1, target 'all'.
     """
     d = validate_requests(requests, "promotion").drop("valid").withColumn("_ucode", F.upper("code"))
     known = t.promotions.select("id", F.lit(True).alias("_known"))
     d = _fail(d.join(known, "id", "left"), F.col("id").isNotNull() & F.col("_known").isNull(), MSG_PROMO_NOT_FOUND)
-    taken = t.promotions.groupBy(F.upper("code").alias("_ucode")).agg(
-        F.count(F.lit(1)).alias("_holders"), F.min("id").alias("_holder"))
-    d = d.join(taken, "_ucode", "left")
-    clash = F.col("_holders").isNotNull() & (F.col("id").isNull() | (F.col("_holders") > 1)
-                                             | (F.col("_holder") != F.col("id")))
-    d = _first_wins_rule(_fail(d, clash, MSG_CODE_EXISTS), ["_ucode"], MSG_CODE_EXISTS)
-    ok, rejected = _split(d)
+    codes = _code_decisions(d.filter(F.col("reason").isNull()), t.promotions)
+    d = _fail(d.join(codes, "request_id", "left"), F.coalesce("clash", F.lit(False)), MSG_CODE_EXISTS).drop("clash")
+    ok, rejected = _split(cut(d))
     vals = {
         "code": F.col("_ucode"),
         "min_booking_amount": F.when(blank("min_booking_amount", True), F.lit(0)).otherwise(

@@ -164,8 +164,8 @@ SELECT o_orderkey AS request_id, lower(c_name) || '-' || substr(o_orderpriority,
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 
 VIEWS["promotion_requests"] = """
-SELECT p_partkey AS request_id, CASE WHEN p_partkey % 40 = 0 THEN p_partkey END AS id,
- CASE WHEN p_size % 23 = 0 THEN '' ELSE 'promo' || CAST(p_partkey % 1500 AS STRING) END AS code,
+SELECT rid AS request_id, eid AS id,
+ CASE WHEN p_size % 23 = 0 THEN '' ELSE 'promo' || CAST(cnum AS STRING) END AS code,
  p_name AS title, p_type AS description,
  CASE WHEN p_size % 2 = 0 THEN 'percentage' ELSE 'fixed' END AS discount_type,
  CASE WHEN p_size % 17 = 0 THEN NULL ELSE CAST(5 + p_size % 30 AS DECIMAL(12,2)) END AS discount_value,
@@ -177,7 +177,11 @@ SELECT p_partkey AS request_id, CASE WHEN p_partkey % 40 = 0 THEN p_partkey END
  CASE WHEN p_size % 6 = 0 THEN 'specific' WHEN p_size % 6 = 1 THEN NULL ELSE 'all' END AS target_type,
  1000000000 + p_partkey % (SELECT COUNT(*) FROM {supplier}) AS created_by,
  CAST(DATE '2001-06-01' + CAST(p_partkey % 28 AS INT) AS TIMESTAMP) AS requested_at
-FROM {part}"""
+FROM (SELECT part.*, p_partkey AS rid, CASE WHEN p_partkey % 40 = 0 THEN p_partkey END AS eid, p_partkey % 1500 AS cnum FROM {part} part
+ UNION ALL
+ SELECT part.*, p_partkey + 1000000, CASE WHEN p_partkey % 40 < 4 THEN p_partkey - p_partkey % 40 END,
+  CASE WHEN p_size % 3 = 0 THEN p_partkey - p_partkey % 40 ELSE p_partkey - p_partkey % 40 + 20 * (p_partkey % 4) END
+ FROM {part} part WHERE p_partkey % 40 BETWEEN 1 AND 5) asked"""
 
 VIEWS["promotion_target_requests"] = """
 SELECT DISTINCT l_partkey AS request_id, CAST(o_custkey AS BIGINT) AS user_id

@@ -107,3 +107,17 @@ def test_dashboard_parts_start_no_job(spark, small_dir):
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-dashboard")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_codes_are_judged_one_request_at_a_time(spark):
+    """An edit keeps its own code, a freed code can be taken, a taken one cannot."""
+    t = H.tables(spark, promotions=[_promotion(id=1, code="A"), _promotion(id=2, code="B")])
+    rows = [(1, 1, "a"), (2, 1, "C"), (3, None, "A"), (4, 2, "c"), (5, 1, "B"), (6, 2, "D"), (7, 1, "b"), (8, None, "C"), (9, None, "d")]
+    req = spark.createDataFrame([(*r, "t", "d", "fixed", H.m(5), H.d("2001-01-01"), H.d("2001-12-31"), 1) for r in rows],
+                                "request_id long, id long, code string, title string, description string, discount_type string, "
+                                "discount_value decimal(12,2), start_date date, end_date date, created_by long")
+    req = req.withColumns({c: F.lit(None).cast(k) for c, k in (("min_booking_amount", "decimal(12,2)"), ("usage_limit", "int"),
+                                                                ("max_discount_amount", "decimal(12,2)"), ("target_type", "string"))})
+    out = CH.upsert_promotions(t, req, as_of=AS_OF)
+    assert sorted(r.request_id for r in out.rejected.collect()) == [4, 5, 9]
+    assert {r.id: r.code for r in out.promotions.collect()} == {1: "B", 2: "D", 3: "A", 4: "C"}
