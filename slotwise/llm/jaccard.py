@@ -43,7 +43,7 @@ from slotwise.llm.components import connected_components
 WIDTH = 5
 PERMUTATIONS = 6
 SKETCH = 24
-ALIKE = 12          # of SKETCH minima, before a pair of the third step is compared exactly; the later steps find the rest
+ALIKE = 8           # of SKETCH minima that a class and a leader must share to be put in one group
 FLUSH = 1_000_000   # hashes that a map task gathers before it deals them
 BUCKET = 1_000_000  # hashes that a bucket expects
 OFTEN = 1000        # holders of one hash in a flush, from which on it is settled in the map task
@@ -344,20 +344,21 @@ def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _alike_pairs(sets: DataFrame) -> DataFrame:
-    """``(cid, lead)``: classes and the leader of each of their min-hash groups whose sketch and size are like theirs."""
+    """``(cid, lead, fits)``: classes and the leader of each of their min-hash groups whose sketch is like theirs; links need fitting sizes."""
     own = store(_minima(sets), "minima").select("cid", "n", "sketch", F.posexplode("minima").alias("part", "low"))
     order = F.xxhash64("cid", "part")
     leader = own.groupBy(F.col("part").alias("_part"), F.col("low").alias("_low")).agg(
         F.min(F.struct(order.alias("draw"), "cid", "n", "sketch")).alias("_lead"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     met = own.join(leader, (F.col("part") == F.col("_part")) & (F.col("low") == F.col("_low")))
     alike = F.size(F.filter(F.arrays_zip(F.col("sketch").alias("x"), F.col("_lead.sketch").alias("y")), lambda z: z["x"] == z["y"]))
-    fits = (F.col("cid") != F.col("_lead.cid")) & (5 * F.least("n", "_lead.n") >= 4 * F.greatest("n", "_lead.n")) & (alike >= ALIKE)
-    return met.filter(fits).select("cid", F.col("_lead.cid").alias("lead")).distinct()
+    fits = 5 * F.least("n", "_lead.n") >= 4 * F.greatest("n", "_lead.n")
+    return met.filter((F.col("cid") != F.col("_lead.cid")) & (alike >= ALIKE)).select(
+        "cid", F.col("_lead.cid").alias("lead"), fits.alias("fits")).distinct()
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links ``(a, b)`` among ``pairs(cid, lead)``."""
-    both = pairs.join(sets.select("cid", "tokens"), "cid").join(
+    """The links ``(a, b)`` among ``pairs(cid, lead, fits)``."""
+    both = pairs.filter("fits").select("cid", "lead").join(sets.select("cid", "tokens"), "cid").join(
         sets.select(F.col("cid").alias("lead"), F.col("tokens").alias("others")), "lead").select("cid", "lead", "tokens", "others")
 
     def run(batches):
@@ -517,7 +518,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = store(_covered(sets).drop("group"), "covered")
     pairs = store(_alike_pairs(sets), "alike")
     links = store(_star_links(pairs, sets), "star-links")
-    found = store(_group_links(sets, connected_components(pairs.toDF("a", "b")), connected_components(links)), "group-links")
+    found = store(_group_links(sets, connected_components(pairs.select(F.col("cid").alias("a"), F.col("lead").alias("b"))), connected_components(links)), "group-links")
     components = connected_components(links.unionByName(found))
     named = rows.join(classes.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "cid"),
                       (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left")
