@@ -29,11 +29,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, partition_by: str | None = None, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: the plan is cut and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.write.option("compression", compression)
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -97,5 +97,30 @@ SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id)::BIGINT AS n_li
 FROM v LEFT JOIN least ON v.vec_id = least.x
 """
 
+_SEARCH = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), per AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id
+), corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM per
+), normed AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // total AS m FROM per, corpus
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, corpus GROUP BY term, docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN normed USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op2_warc": _WARC, "op3_embedding_near_dedup": _VECTORS,
-                           "op5_line_dedup": _LINES, "op10_mixing": _MIX}
+                           "op5_line_dedup": _LINES, "op10_mixing": _MIX,
+                           "op12_lexical_search": _SEARCH}
