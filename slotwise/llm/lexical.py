@@ -2,7 +2,8 @@
 
 Documents with the same length normaliser ``m`` form a stratum, which is cut into blocks of at most ``BLOCK`` documents.
 A block's postings stand by term and, within a term, by tf: ``(m, block, term, tf, docs)``, ``docs`` being places in the block's
-list of documents. The part of a score that depends on ``(tf, m)``, the impact, is thus worked out once per tf of a
+list of documents. Neighbouring blocks of at most ``BLOCK`` documents together form a segment, the unit that is gathered in one
+place. The part of a score that depends on ``(tf, m)``, the impact, is thus worked out once per tf of a
 block, and the greatest tf of a term bounds what the term can add to any document of the block.
 
 Building: one scan counts the documents and their terms, as ``m`` needs both; the texts are then dealt in ranges of
@@ -12,8 +13,8 @@ range. The index covers every document and every term.
 Searching: an item's bound in a block is the sum of its terms' weights times the bounds of the terms. Blocks are visited
 in order of the bound: first ``SEEDS`` blocks per item, whose k-th best score is a threshold; then every other block whose
 bound reaches the threshold (equal scores are told apart by doc_id, so equal bounds count). No document that could be
-among the k best is left out. A visit gathers one block's postings of the terms in question and adds them up
-for each item that visits it; an item hands on at most k documents per block.
+among the k best is left out. A segment's postings of the terms in question meet the visits to its blocks, where each
+item adds them up block by block and hands on its k best documents of the segment at most.
 
 Scores are 64-bit integers: ``weight * ((1000000000 * tf) div (1000 * tf + 8 * m))`` summed over an item's distinct terms,
 with ``weight = floor(1000 * ln((2 N + 2) / (2 df + 1)))`` and ``m = 10 + (90 * n * N) div L``.
@@ -45,12 +46,12 @@ PAIRS = 2_000_000  # postings that a task holds before it closes a block
 SEEDS = 8
 #: UTF-8 bytes with A-Z lower-cased and what separates terms as blanks.
 _FOLD = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
-_INDEX = "m long, block long, term string, tf long, docs array<int>, doc_ids array<long>"
+_INDEX = "segment long, m long, block long, term string, tf long, docs array<int>, doc_ids array<long>"
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(m, block, term, tf, docs)`` and ``blocks(m, block, doc_ids)``, with the number of documents and of terms."""
+    """``postings(segment, m, block, term, tf, docs)`` and ``blocks(segment, m, block, doc_ids)``, with the number of documents and of terms."""
 
     postings: DataFrame
     blocks: DataFrame
@@ -78,10 +79,10 @@ class _Blocks:
         self.terms.extend(counts.keys())
         self.tfs.extend(counts.values())
 
-    def rows(self, m: int, block: int) -> Iterator[pa.RecordBatch]:
-        def batch(n: int, term: pa.Array, tf: pa.Array, docs: pa.Array, doc_ids: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, m)), pa.array(np.full(n, block)), term, tf, docs, doc_ids],
-                                              names=["m", "block", "term", "tf", "docs", "doc_ids"])
+    def rows(self, segment: int, m: int, block: int) -> Iterator[pa.RecordBatch]:
+        def batch(n: int, *columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x)) for x in (segment, m, block)], *columns],
+                                              names=["segment", "m", "block", "term", "tf", "docs", "doc_ids"])
 
         places, ids = pa.list_(pa.int32()), pa.list_(pa.int64())
         yield batch(1, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, places), pa.array([self.docs], ids))
@@ -106,19 +107,27 @@ def build(docs: DataFrame, block: int = BLOCK) -> Index:
     dealt = dealt.repartitionByRange("m", "_deal").sortWithinPartitions("m").select("m", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nth, at, held = TaskContext.get().partitionId(), 0, None, _Blocks()
+        number, segment, at, held = TaskContext.get().partitionId() << 32, 0, None, _Blocks()
+        docs = pairs = 0  # of the segment
         for b in batches:
             for of, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if held.docs and (of != at or len(held.docs) >= block or len(held.terms) >= PAIRS):
-                    yield from held.rows(at, task << 32 | nth)
-                    nth, held = nth + 1, _Blocks()
+                full = docs >= block or pairs + len(held.terms) >= PAIRS
+                if held.docs and (of != at or full):
+                    yield from held.rows(number + segment, at, number)
+                    pairs += len(held.terms)
+                    number, held = number + 1, _Blocks()
+                    if full:
+                        segment, docs, pairs = 0, 0, 0
+                    else:
+                        segment -= 1  # a segment has the number of its first block
                 at = of
+                docs += 1
                 held.add(doc, text.as_py())
         if held.docs:
-            yield from held.rows(at, task << 32 | nth)
+            yield from held.rows(number + segment, at, number)
 
     rows = store(dealt.mapInArrow(run, _INDEX), "lexical-index")
-    return Index(rows.filter("term IS NOT NULL").drop("doc_ids"), rows.filter("term IS NULL").select("m", "block", "doc_ids"), count, terms)
+    return Index(rows.filter("term IS NOT NULL").drop("doc_ids"), rows.filter("term IS NULL").select("segment", "m", "block", "doc_ids"), count, terms)
 
 
 def impact(tf: Column | str, m: Column | str) -> Column:
@@ -126,40 +135,41 @@ def impact(tf: Column | str, m: Column | str) -> Column:
 
 
 def _visit(visits: DataFrame, wanted: DataFrame, hits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """``(item, doc_id, score)``: of each ``(item, block, least)`` the ``k`` best documents of the block with ``least`` or more."""
-    asked = visits.join(wanted, "item").select("block", "item", "least", "terms", "weights")
-    here = hits.select("block", "m", "term", "tf", "docs", F.lit(None).cast("array<long>").alias("doc_ids")).unionByName(
-        blocks.select("block", "m", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf"),
+    """``(item, doc_id, score)``: of each ``(item, segment, block, least)`` the block's documents with ``least`` or more, ``k`` per segment at most."""
+    asked = visits.groupBy("segment", "item").agg(F.min("least").alias("least"), F.collect_set("block").alias("blocks")).join(wanted, "item")
+    asked = asked.select("segment", "item", "least", "blocks", "terms", "weights")
+    here = hits.select("segment", "block", "m", "term", "tf", "docs", F.lit(None).cast("array<long>").alias("doc_ids")).unionByName(
+        blocks.select("segment", "block", "m", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf"),
                       F.lit(None).cast("array<int>").alias("docs"), "doc_ids"))
     here = here.join(visits.select("block").distinct(), "block", "left_semi")
 
-    def score(items: pa.Table, block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        head = block.column("term").to_pylist().index(None)
-        doc_ids = block.column("doc_ids")[head].values
-        nulls = np.asarray(doc_ids.is_null())
-        ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
-        m = block.column("m")[0].as_py()
-        lists: dict[str, tuple[list, list]] = {}
-        for term, tf, docs in zip(block.column("term").to_pylist(), block.column("tf").to_pylist(), block.column("docs")):
-            if term is not None:
-                places, adds = lists.setdefault(term, ([], []))
-                places.append(docs.values.to_numpy())
-                adds.append(1000000000 * tf // (1000 * tf + 8 * m))
-        found: list[list] = [[], [], []]
-        for item, least, terms, weights in zip(*(items.column(c).to_pylist() for c in ("item", "least", "terms", "weights"))):
-            total = np.zeros(len(ids), np.int64)
-            for term, weight in zip(terms, weights):
-                for places, add in zip(*lists.get(term, ((), ()))):
-                    total[places] += weight * add
-            own = np.flatnonzero(total >= least)
-            own = own[np.lexsort((ids[own], ~nulls[own], -total[own]))[:k]]
-            found[0] += [item] * len(own)
-            found[1] += [None if nulls[i] else int(ids[i]) for i in own]
-            found[2] += total[own].tolist()
-        return pa.table([pa.array(x, pa.int64()) for x in found], names=["item", "doc_id", "score"])
-
-    return asked.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(score, "item long, doc_id long, score long")
+    def score(items: pa.Table, rows: pa.Table) -> pa.Table:
+        ids: dict[int, list] = {}
+        lists: dict[int, dict[str, list]] = {}  # block -> term -> (documents, impact) of each tf
+        docs = rows.column("docs").combine_chunks()
+        places, ends = docs.values.to_numpy(), docs.offsets.to_numpy()
+        for at, (block, m, term, tf, doc_ids) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("block", "m", "term", "tf", "doc_ids")))):
+            if term is None:
+                ids[block] = doc_ids
+            else:
+                lists.setdefault(block, {}).setdefault(term, []).append((places[ends[at]:ends[at + 1]], 1000000000 * tf // (1000 * tf + 8 * m)))
+        found: list[tuple] = []
+        for item, least, visited, terms, weights in zip(*(items.column(c).to_pylist() for c in ("item", "least", "blocks", "terms", "weights"))):
+            best: list[tuple] = []
+            for block in visited:
+                own, total = lists.get(block, {}), np.zeros(len(ids[block]), np.int64)
+                for term, weight in zip(terms, weights):
+                    for where, add in own.get(term, ()):
+                        total[where] += weight * add
+                top = np.flatnonzero(total >= least)
+                if len(top) > k:
+                    top = top[total[top] >= np.partition(total[top], -k)[-k]]
+                best += [(-s, d is not None, d or 0, d) for s, d in zip(total[top].tolist(), [ids[block][i] for i in top])]
+            found += [(item, d, -s) for s, _, _, d in sorted(best, key=lambda x: x[:3])[:k]]
+        item, doc_id, score = zip(*found) if found else ((), (), ())
+        return pa.table([pa.array(x, pa.int64()) for x in (item, doc_id, score)], names=["item", "doc_id", "score"])
+
+    return asked.groupBy("segment").cogroup(here.groupBy("segment")).applyInArrow(score, "item long, doc_id long, score long")
 
 
 def search(index: Index, items: DataFrame, k: int = 10, seeds: int = SEEDS) -> DataFrame:
@@ -173,16 +183,16 @@ def search(index: Index, items: DataFrame, k: int = 10, seeds: int = SEEDS) -> D
     weighed = store(items.join(df, "term").select("item", "term", weight.cast("long").alias("weight")).filter("weight > 0"), "lexical-weights")
     pairs = weighed.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("pairs"))
     wanted = pairs.select("item", F.col("pairs.term").alias("terms"), F.col("pairs.weight").alias("weights"))
-    most = hits.groupBy("block", "m", "term").agg(F.max("tf").alias("tf")).select("block", "term", impact("tf", "m").alias("most"))
-    bounds = store(most.join(weighed, "term").groupBy("item", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("bound")), "lexical-bounds")
+    most = hits.groupBy("segment", "block", "m", "term").agg(F.max("tf").alias("tf")).select("segment", "block", "term", impact("tf", "m").alias("most"))
+    bounds = store(most.join(weighed, "term").groupBy("item", "segment", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("bound")), "lexical-bounds")
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "block")
-    first = bounds.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= seeds).select("item", "block", F.lit(1).cast("long").alias("least"))
+    first = bounds.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= seeds).select("item", "segment", "block", F.lit(1).cast("long").alias("least"))
     seeded = store(_visit(first, wanted, hits, index.blocks, k), "lexical-seeds")
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first())
     kth = seeded.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).groupBy("item").agg(
         F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(1).alias("least"))
     rest = bounds.join(first.select("item", "block"), ["item", "block"], "left_anti").join(kth, "item", "left")
-    rest = rest.withColumn("least", F.coalesce("least", F.lit(1).cast("long"))).filter("bound >= least").select("item", "block", "least")
+    rest = rest.withColumn("least", F.coalesce("least", F.lit(1).cast("long"))).filter("bound >= least").select("item", "segment", "block", "least")
     found = seeded.unionByName(_visit(rest, wanted, hits, index.blocks, k))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     names = items.select("item", "item_id").distinct()
