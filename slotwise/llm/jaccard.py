@@ -519,19 +519,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = store(_alike_pairs(sets), "alike")
     links = store(_star_links(pairs, sets), "star-links")
     found = store(_group_links(sets, connected_components(pairs.select(F.col("cid").alias("a"), F.col("lead").alias("b"))), connected_components(links)), "group-links")
-    components = connected_components(links.unionByName(found))
-    named = rows.join(classes.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "cid"),
-                      (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left")
-    out = named.join(components, F.col("cid") == F.col("node"), "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "cid"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
+    names = classes.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "cid")
+    own = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
+    # a doc_id whose rows have several sets joins the classes of all of them
+    sign = F.struct("s1", "s2")
+    several = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sign).alias("_low"), F.max(sign).alias("_high")).filter(
+        "_low <> _high").select(F.col("doc_id").alias("_many"))
+    several = store(rows.filter("n > 0").join(several, F.col("doc_id") == F.col("_many"), "left_semi").join(names, own)
+                    .select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct(), "several")
+    components = connected_components(links.unionByName(found).unionByName(several))
+    named = rows.join(names, own, "left")
+    node = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cid")).otherwise(F.col("doc_id"))
+    out = named.withColumn("_at", node).join(components, F.col("_at") == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "_at").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: the least doc_id of each component stays, once; rows with null doc_id stay."""
-    roots = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_root")).distinct()
+    """The rows of ``docs`` without near duplicates: the least doc_id of each group of linked texts stays, once; rows with null doc_id stay.
+
+    Rows of one doc_id with different texts are documents of their own here: a text goes only with a near copy of itself.
+    """
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = (rows.filter("doc_id IS NOT NULL").join(roots, F.col("doc_id") == F.col("_root"), "left_semi")
-            .withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row"))
+    known, text = rows.filter("doc_id IS NOT NULL"), F.xxhash64("text")
+    several = known.select("doc_id", text.alias("_text")).groupBy("doc_id").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"))
+    several = store(several.filter("_low <> _high").select(F.col("doc_id").alias("_many")), "several-ids")
+    known = known.withColumn("_node", F.col("doc_id"))
+    if not several.isEmpty():
+        known = known.join(several, F.col("doc_id") == F.col("_many"), "left").withColumn(
+            "_node", F.when(F.col("_many").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))).drop("_many")
+    groups = near_duplicates(known.select(F.col("_node").alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), "component_id").distinct()
+    least = known.select("doc_id", "_node").distinct().join(groups, F.col("_node") == F.col("_of")).groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "_node")).alias("_least")).select(F.col("_least._node").alias("_root"))
+    kept = known.join(least, F.col("_node") == F.col("_root"), "left_semi").groupBy("_node").agg(F.first("_row").alias("_row")).select("_row")
     return kept.unionByName(rows.filter("doc_id IS NULL").select("_row")).select("_row.*")

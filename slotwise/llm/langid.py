@@ -86,15 +86,16 @@ def _bitmaps(rows: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most ``per_language`` labelled rows of each language, those with the least hashes of their ids.
+    """At most ``per_language`` labelled rows of each language, those with the least hashes of their ids; of an id's rows the least text.
 
     The chosen ids, ``per_language`` times the number of languages, are broadcast, so that texts are not shuffled.
     """
     learnt = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = learnt.select("doc_id", "lang", F.xxhash64("doc_id").alias("_draw"))
+    ids = learnt.select("doc_id", "lang").distinct().withColumn("_draw", F.xxhash64("doc_id"))
     first = ids.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))).filter(
         F.col("_nth") <= per_language).select(F.col("doc_id").alias("_doc_id"), F.col("lang").alias("_lang")).distinct()
-    return learnt.join(F.broadcast(first), (F.col("doc_id") == F.col("_doc_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "text", "lang")
+    chosen = learnt.join(F.broadcast(first), (F.col("doc_id") == F.col("_doc_id")) & (F.col("lang") == F.col("_lang")))
+    return chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:

@@ -27,18 +27,21 @@ doc_ids count as one document that sorts last; an empty table gives an empty sta
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.llm.common import SPACES, lower_ascii, store
 
 MIN_KEY = 10
 SHARD_KEYS = 20_000
 MAX_KICKS = 200
+_SPACES = SPACES.encode()
 FULL = 0.9  # share of a table's cells that is filled before the next table begins
 
 
@@ -281,14 +284,31 @@ def apply(docs: DataFrame, state: State) -> DataFrame:
     drops = state.postings.join(shared, "key").filter("NOT (doc_id <=> owner)")
     drops = drops.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drops"))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*rest).alias("_rest"))
-    met = rows.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")), "left")
-    keep = F.filter(lines(F.col("_text")), lambda x: (F.length(line_key(x)) < MIN_KEY)
-                    | ~F.array_contains("_drops", F.unhex(F.md5(line_key(x).cast("binary")))))
-    met = met.withColumn("_keep", F.when(F.col("_drops").isNotNull(), keep)).withColumn("_n", F.size(lines(F.col("_text"))).cast("long"))
-    kept = F.when(F.col("_keep").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join("_keep", "\n"))
-    return met.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else kept.alias(c) for c in docs.columns if c in rest or c == "text"],
-                      F.col("_n").alias("n_lines"), F.coalesce(F.col("_n") - F.size("_keep"), F.lit(0)).cast("long").alias("n_dropped"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(F.lit(0), *rest).alias("_rest"))
+    met = rows.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")), "left").select("_text", "_drops", "_rest")
+    kept = met.mapInArrow(_without, T.StructType([met.schema["_text"], met.schema["_rest"], T.StructField("n_lines", T.LongType()),
+                                                  T.StructField("n_dropped", T.LongType())]))
+    return kept.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_rest.{c}").alias(c) for c in docs.columns if c in rest or c == "text"],
+                       "n_lines", "n_dropped")
+
+
+def _without(batches):
+    """Texts without the lines whose keys they drop: one look-up per line, however many keys go. A text that drops none is passed on."""
+    for b in batches:
+        texts, counts, dropped = [], [], []
+        for text, drops in zip(b.column(0), b.column(1)):
+            text, kept = text.as_py() or "", None
+            if drops.is_valid:
+                gone, all_lines = set(drops.as_py()), text.encode().split(b"\n")
+                kept = [x for x in all_lines if hashlib.md5(x.strip(_SPACES).lower(), usedforsecurity=False).digest() not in gone]
+                texts.append(b"\n".join(kept).decode())
+                dropped.append(len(all_lines) - len(kept))
+            else:
+                texts.append(text)
+                dropped.append(0)
+            counts.append(text.count("\n") + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(2), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
+                                         names=["_text", "_rest", "n_lines", "n_dropped"])
 
 
 def build(docs: DataFrame, parts: int = 2) -> State:

@@ -15,7 +15,9 @@ offsets of tokens with a marginal of at least 0.5.
 
 Training sample: of rows whose crc32(doc_id) mod 5 is not 0, at most ``PER_CLASS`` documents of either label, those
 with the least hashes of their ids among documents of at most ``SAMPLE_CHARS`` characters; it is collected (a documented
-bound of 2 x PER_CLASS x SAMPLE_CHARS characters). Labels, lang, source and doc_id are never inputs of a score.
+bound of 2 x PER_CLASS x SAMPLE_CHARS characters), of an id's rows the one with the least text. The field is fitted on all
+stretches of the sample that hold a lexicon word, ``SEQUENCES`` at a time, and on as many others, at least 1,000, those
+with the least hashes of their words (without a lexicon word they differ in length alone). Labels, lang, source and doc_id are never inputs of a score.
 
 Cases: null and empty texts score like a text without toxic words; rows without label are scored all the same; a label
 that repeats counts as toxic if any copy does; without both classes in the sample every score is 0; null doc_id is held
@@ -29,7 +31,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import held_out, small_batches
@@ -146,10 +149,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     usable = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     ids = usable.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("_id"))
-    least = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("_nth", F.row_number().over(least)).filter(F.col("_nth") <= per_class).select("_id", "toxic")
-    # at most 2 * per_class ids: broadcast, so that texts are not shuffled
-    return usable.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    least = lambda rows: rows.select("_id", "toxic").orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+    ids = least(ids.filter("toxic > 0")).unionByName(least(ids.filter("toxic <= 0")))
+    # at most 2 * per_class ids: broadcast, so that texts are not shuffled; of an id's rows the least text counts
+    chosen = usable.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def _lexicon(texts: list[list[str]], toxic: np.ndarray, size: int) -> list[str]:
@@ -195,7 +199,9 @@ def _fit_crf(x: np.ndarray, y: np.ndarray, live: np.ndarray, n_features: int) ->
     pair = live[:, 1:]
     gold_move = np.array([[(pair & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
     gold_start = np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()], dtype=float)
-    for step in range(1, STEPS + 1):
+
+    def expected(x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of toxic places, and expected transitions and starts, under the weights so far."""
         factor = np.exp(own[0] + own[x].sum(axis=2))
         step_to = np.exp(move)
         alpha = np.empty((places, len(x), 2))
@@ -222,7 +228,12 @@ def _fit_crf(x: np.ndarray, y: np.ndarray, live: np.ndarray, n_features: int) ->
                 b = right @ step_to.T
                 b /= b.sum(axis=1, keepdims=True)
                 beta = np.where(on[:, None], b, beta)
-        params, golds, expects = (own, move, start), (gold_own, gold_move, gold_start), (spread(toxic), e_move, post.sum(axis=0))
+        return toxic, e_move, post.sum(axis=0)
+
+    for step in range(1, STEPS + 1):
+        parts = [expected(x[at:at + SEQUENCES], live[at:at + SEQUENCES]) for at in range(0, len(x), SEQUENCES)]  # bounds what is held
+        toxic, e_move, e_start = np.concatenate([p[0] for p in parts]), sum(p[1] for p in parts), sum(p[2] for p in parts)
+        params, golds, expects = (own, move, start), (gold_own, gold_move, gold_start), (spread(toxic), e_move, e_start)
         for p, g, e, m, v in zip(params, golds, expects, grads, squares):  # Adam, with an L2 penalty
             slope = (g - e) / len(x) - 1e-4 * p
             m += 0.1 * (slope - m)
@@ -265,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         for at in range(0, len(words), STRETCH):
             part = words[at:at + STRETCH]
             (busy if any(w in known for w in part) else idle).append((part, mark))
-    rows = busy[:SEQUENCES] + idle[:max(len(busy[:SEQUENCES]), 1000)]
+    idle.sort(key=lambda r: xxhash.xxh3_64_intdigest(" ".join(r[0]).encode()))  # which of them are taken must not hang on ids
+    rows = busy + idle[:max(len(busy), 1000)]
     x, live = np.full((len(rows), STRETCH, 3), pad, dtype=np.int64), np.zeros((len(rows), STRETCH), dtype=bool)
     y = np.zeros((len(rows), STRETCH), dtype=np.int64)
     for i, (part, mark) in enumerate(rows):

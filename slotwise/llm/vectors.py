@@ -12,7 +12,7 @@ more than ``CELL`` vectors is cut into chunks by a hash, and each pair of chunks
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with null label or null
 vec_id, link with nothing and keep themselves; vectors of different lengths never link; rows that repeat a vec_id are
-vectors of their own; an empty table gives an empty table; columns other than vec_id, label and embedding are ignored.
+vectors of their own with their own links, but one node of the component graph, as components are named by ids; an empty table gives an empty table; columns other than vec_id, label and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def _sketch(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             for dim in np.unique(dims):
                 own = b.filter(pa.array(dims == dim))
                 x = _matrix(own.column(4))
-                x /= np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.abs(x).max(axis=1, keepdims=True)  # doubles are a view of Arrow's memory, which is read-only
                 packed = np.packbits(x @ planes(int(dim), bits * tables) > 0, axis=1)
                 rows = [p.tobytes() for p in packed]
                 codes, packed_column = _codes(rows, bits, tables), pa.array(rows, pa.binary())

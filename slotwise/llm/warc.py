@@ -188,7 +188,9 @@ def write_bundles(marked: DataFrame, folder: str, frame_bytes: int = FRAME, bund
 
 def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that ``index`` names, read through seek tables; without ``payloads`` their texts are checked but left out."""
-    dealt = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # a number of partitions, as Spark would merge the few bytes of the index into one task that reads all bundles
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
 
     def run(batches):
         store_at, _ = filesystem(folder)

@@ -1,3 +1,4 @@
+import collections
 import random
 
 import numpy as np
@@ -75,3 +76,40 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {1999: 1999, 2000: 1999}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def nodes(rows):
+    """Components by doc_id, where rows that share a doc_id are one node."""
+    union, sets = brute.Union(), [(i, brute.shingle_set(t)) for i, t in rows]
+    for k, (i, a) in enumerate(sets):
+        union.find(i)
+        for j, b in sets[k + 1:]:
+            if a & b and 100 * len(a & b) >= 80 * len(a | b):
+                union.join(i, j)
+    return sorted((i, len(s), union.find(i)) for i, s in sets)
+
+
+def texts_left(rows):
+    """One text, of the least doc_id, for each group of linked texts."""
+    texts = sorted(set(rows), key=lambda r: (r[0], r[1]))
+    found = brute.jaccard_components(list(enumerate(t for _, t in texts)))
+    return collections.Counter(texts[min(k for k in found if found[k][1] == c)][0] for c in {c for _, c in found.values()})
+
+
+def repeated_ids(seed):
+    rng = random.Random(seed)
+    texts = [sentence(rng, 12) for _ in range(8)]
+    texts += [" ".join([*t.split()[:-1], "z"]) for t in texts[:4]] + ["", "one"]
+    return [(rng.randrange(12), rng.choice(texts)) for _ in range(30)]
+
+
+@pytest.mark.parametrize("rows", [[(0, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (3, "u v w x y z")], *map(repeated_ids, range(3))])
+def test_rows_that_share_a_doc_id(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()) == nodes(rows)
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()]
+    assert collections.Counter(i for i, _ in kept) == texts_left(rows)
+    for text in {t for _, t in rows}:  # every text has a near copy, or itself, among the kept ones
+        own = brute.shingle_set(text)
+        reach = {c for _, (_, c) in brute.jaccard_components(list(enumerate([text, *[t for _, t in rows]]))).items()}
+        assert not own or any(t == text for _, t in kept) or len(reach) < len(rows) + 1

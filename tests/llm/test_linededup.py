@@ -58,3 +58,9 @@ def test_cuckoo_filter_grows_and_forgets():
     assert table.has(keys[3000:]).all() and table.has(keys[:3000]).mean() < 0.01
     table.remove(keys[3000:])
     assert not any(t.any() for t in table.tables)
+
+
+def test_many_shared_lines_take_linear_time(spark):
+    text = "\n".join(f"this is shared line {i}" for i in range(200_000))
+    rows = spark.createDataFrame([(1, text + "\nown"), (2, f"first\n{text}\n{text}\nlast")], "doc_id long, text string").repartition(2)
+    assert found(linededup.dedupe_lines(rows)) == {1: (200_001, 0, text + "\nown"), 2: (400_002, 400_000, "first\nlast")}

@@ -102,3 +102,93 @@ def test_quality_without_target(spark, edge):
 def test_quality_plan_has_no_python(spark, edge):
     plan = quality.judge(edge, spark.createDataFrame([], LABELS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_samples_hold_one_row_of_an_id(spark):
+    """One id repeated 5,000 times neither fills the samples nor keeps other ids out."""
+    rows = [(1, f"text {i}", "en") for i in range(5000)] + [(10 + i, f"other text {i}", "en") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in {r[0] for r in rows}], LABELS)
+    for sample in (langid.training_sample(docs), toxicity.training_sample(docs, labels)):
+        found = {r.doc_id: r.text for r in sample.collect()}
+        assert sample.count() == len(found) > 30 and found.get(1, "text 0") == "text 0"
+    assert toxicity.training_sample(docs, labels, 7).count() == 7
+
+
+def test_language_scores_equal_exact_kernel_ridge(spark, monkeypatch):
+    """With every sample text a landmark, Nystrom features give what the dual of the weighted ridge gives on the whole kernel."""
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([(f"the {a} and the {b}", "en") for a in ("cat", "dog", "hen") for b in ("cow", "pig")]
+                                                       + [(f"der {a} und das {b}", "de") for a in ("Hund", "Vogel") for b in ("Haus", "Boot")] * 2)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(table, landmarks=1000)
+    seen = np.zeros(langid.DIM, dtype=np.uint8)
+    grams = lambda t: set(langid.presence(t, seen).tolist())
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    sample = sorted(((r.lang, grams(r.text)) for r in langid.training_sample(table).collect()), key=lambda r: (r[0], sorted(r[1])))
+    k = np.array([[kernel(a, b) for _, b in sample] for _, a in sample])
+    names = np.array([lang for lang, _ in sample])
+    goal = np.where(names[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    w = np.sqrt(len(names) / (len(model.languages) * np.array([(names == n).sum() for n in names])))
+    ridge = langid.RIDGE * len(names) / len(model.languages)
+    alpha = np.linalg.solve(w[:, None] * k * w[None, :] + ridge * np.eye(len(names)), w[:, None] * goal)
+    for text in ("the dog", "das Boot und der Hund", "nothing like it", "and der"):
+        want = (np.array([kernel(grams(text), b) for _, b in sample]) * w) @ alpha
+        assert np.allclose(model.scores([langid.presence(text, seen)])[0], want, atol=2e-3)
+
+
+def test_document_score_from_enumerated_marginals():
+    model = toxicity.Model({"bad$": 2.0}, -1.0, np.array([[0.5, -0.5], [0.2, 0.1]]), np.array([0.3, -0.2]), (-3.0, 4.0, 1.5))
+    tagger = toxicity.Tagger(model)
+    words, marks = "x bad y bad bad".split(), []
+    for place in (1, 3, 4):
+        total = toxic = 0.0
+        for tags in itertools.product((0, 1), repeat=5):
+            s = model.start[tags[0]] + sum((model.other + model.feature.get(f"{w}$", 0)) for w, t in zip(words, tags) if t)
+            s += sum(model.move[a, b] for a, b in zip(tags, tags[1:]))
+            total, toxic = total + np.exp(s), toxic + np.exp(s) * tags[place]
+        marks.append(toxic / total)
+    want = 1 / (1 + np.exp(3.0 - 4.0 * max(marks) - 1.5 * np.log1p(sum(marks))))
+    assert np.isclose(tagger.document(tagger.tag(" ".join(words))[1]), want)
+
+
+def quality_scores(docs, good):
+    """{doc_id: score} by plain counting: hashed uni- and bigrams, additive smoothing, mean log ratio."""
+    import collections
+    import math
+
+    import xxhash
+
+    def grams(text):
+        w = brute.WORD.findall(text or "")
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        return [h % quality.BUCKETS for h in one + [xxhash.xxh64_intdigest(y.encode(), h) for h, y in zip(one, w[1:])]]
+
+    signed = lambda t: [g for g in grams(t)]  # noqa: E731  2**64 is a multiple of BUCKETS, so the sign does not matter
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        raw.update(signed(t))
+        if i in good:
+            target.update(signed(t))
+    n_raw, n_target, s, size = sum(raw.values()), sum(target.values()), quality.SMOOTHING, quality.BUCKETS
+    ratio = lambda g: round(math.log((target[g] + s) / (n_target + s * size)) - math.log((raw[g] + s) / (n_raw + s * size)), 4)
+    return {i: sum(map(ratio, signed(t))) / max(1, len(signed(t))) for i, t in docs}
+
+
+def test_quality_scores_equal_brute_force(spark, edge, edge_rows):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 60)], LABELS)
+    good = {r[0] for r in quality.target_ids(edge, labels).collect()}
+    want = quality_scores([r[:2] for r in edge_rows], good)
+    rows = quality.judge(edge, labels, threshold=-0.5).collect()
+    assert good and all(abs(r.score - want[r.doc_id]) < 1e-3 for r in rows)
+    assert all(r.kept == (not r.base_failed and r.score >= -0.5) for r in rows)
+
+
+def test_quality_result_can_be_filtered(spark, edge, edge_rows):
+    """A filter on any column stays above the counts; moved down it would repeat them for each word of a text."""
+    rows = quality.judge(edge, spark.createDataFrame([(i, 1, 0) for i in range(1, 60)], LABELS), threshold=-0.5)
+    n = len(edge_rows)
+    for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"):
+        assert rows.filter(f"{c} >= -1000").count() == n
+    assert rows.filter("base_failed").count() + rows.filter("NOT base_failed").count() == n
+    assert rows.filter("kept").count() == sum(r.kept for r in rows.collect())
+    assert rows.filter("doc_id = 1 AND n_repeat_words >= 0 AND NOT base_failed AND kept").count() == 1

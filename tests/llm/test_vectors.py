@@ -65,3 +65,14 @@ def test_table_count_keeps_the_promised_recall():
     for bits in (1, 5, 12):
         agree = (1 - math.acos(0.93) / math.pi) ** bits
         assert (1 - agree) ** vectors.table_count(bits, 0.93, 1e-4) <= 1e-4
+
+
+def test_vectors_of_doubles(spark, rows):
+    doubles = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    assert got(doubles) == brute([tuple(r) for r in doubles.collect()])
+
+
+def test_rows_that_repeat_a_vec_id_are_one_node(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    found = vectors.near_duplicates(spark.createDataFrame([(5, x, 1), (5, y, 1), (2, [1.0, 0.01], 1), (7, [0.01, 1.0], 1)], SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(2, 1, 2), (5, 1, 2), (5, 1, 2), (7, 1, 2)]
