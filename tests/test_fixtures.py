@@ -24,4 +24,4 @@ def test_documented_counts_at_sf0001(spark, small_dir):
     counts = {n: fx.view(n).count() for n in ("users", "court_owners", "courts", "bookings", "reviews", "payouts",
                                               "court_images", "promotions", "promotion_targets")}
     assert counts == {"users": 160, "court_owners": 10, "courts": 200, "bookings": 4599, "reviews": 523,
-                      "payouts": 12, "court_images": 288, "promotions": 10, "promotion_targets": 60}
+                      "payouts": 12, "court_images": 288, "promotions": 10, "promotion_targets": 321}
