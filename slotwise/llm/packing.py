@@ -11,9 +11,11 @@ number of every task. That table has at most 1 + log2(max_length) rows per task.
 
 Ids come from a tokenizer file of the ``tokenizers`` library whose pre-tokenizer drops white space, as
 ``word_bpe_49k.json``: no token crosses white space, so ids of a text are those of its white-space separated words,
-one after the other. A task encodes each distinct word once and remembers it (``MEMO`` words at most). Words of more
-than ``LONG`` characters are not remembered and are cut beside digits, where that tokenizer always cuts. Texts are
-worked through in stretches, so memory grows by 4 bytes a token only. The file has a fixed size and is broadcast.
+one after the other. A worker remembers the ids of the words it has met, and those of their parts: a word of ASCII and
+Latin letters is cut as the tokenizer's own pattern does and only its unknown parts meet the BPE model; any other word is
+encoded whole. Either memory is bounded (two generations of ``MEMO`` entries). Words of more than ``LONG`` characters are not
+remembered and are cut beside digits, where that tokenizer always cuts. Texts are worked through in stretches, so
+memory grows by 4 bytes a token only. The file has a fixed size and is broadcast.
 
 Cases: a null or empty text is the end id alone; repeated rows and rows without an id are documents of their own; ties
 cannot occur, as (task, number) is unique; an empty table gives an empty table; other columns are ignored.
@@ -21,9 +23,12 @@ cannot occur, as (task, number) is unique; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from slotwise.llm.common import store
 
 MAX_LENGTH = 4096
 END_ID = 2
-MEMO = 300_000
+MEMO = 250_000
 LONG = 1_000
 STRETCH = 1 << 20
 FLUSH = 1 << 22  # ids that a task holds before it hands them on, beside those of one document
@@ -43,9 +48,40 @@ _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Characters at which ``str.split`` cuts but ASCII white space does not.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words of ASCII and the Latin letters of U+00C0 to U+017F, but for U+0130: in composed form, each lower-cased to one letter.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_KNOWN = re.compile(f"[!-~{_LATIN}]+")
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^0-9{_LATIN}]+")
+#: The set-up of the tokenizer file whose cuts ``_PART`` repeats.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: The printable character that byte-level tokenizers write for each byte: itself, or the next free one from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 _BESIDE_DIGIT = re.compile(r"(?<=[A-Za-z0-9])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
+class Memo(dict):
+    """``make(key)`` of the keys met last: at most two generations of ``MEMO`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit numbers."""
 
@@ -53,18 +89,19 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer_json), {}
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model, self.words, self.parts = self.tokenizer.model, Memo(self._word), Memo(self._part)
+        # a known normaliser and pre-tokenizer, whose cuts the pattern repeats; any other file is encoded word by word
+        set_up = json.loads(tokenizer_json)
+        self.cut = _PART.findall if (set_up["normalizer"], set_up["pre_tokenizer"]) == (KNOWN_NORMALIZER, KNOWN_PRE_TOKENIZER) else None
 
-    def _encode(self, word: str) -> bytes:
-        parts = _BESIDE_DIGIT.split(word)
-        return b"".join(np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False))
+    def _part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize("".join(map(_BYTE.__getitem__, part.encode())))]).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > MEMO:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known and len(w) <= LONG]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        if self.cut and _KNOWN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, self.cut(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:
         out, at = [], 0
@@ -73,15 +110,25 @@ class WordIds:
             part = text[at:cut.start()] if cut else text[at:]
             at += len(part) + 1
             words = _WORD.findall(part) if _ODD.search(part) else part.split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self._learn(words)
-                known = self.known.get
-                out.extend([known(w) if len(w) <= LONG else self._encode(w) for w in words])
+            if max(map(len, words), default=0) > LONG:
+                out += [self.words[w] if len(w) <= LONG else b"".join(map(self._word, _BESIDE_DIGIT.split(w))) for w in words]
+            else:
+                out.append(b"".join(map(self.words.__getitem__, words)))
         return b"".join(out)
 
 
+_CODERS: dict[str, WordIds] = {}
+
+
+def coder_of(tokenizer_json: str) -> WordIds:
+    """One coder per Python worker, so that a task finds what tasks before it have met."""
+    name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if name not in _CODERS:
+        _CODERS.clear()
+        _CODERS[name] = WordIds(tokenizer_json)
+    return _CODERS[name]
+
+
 def piece_lengths(n: int, max_length: int) -> list[int]:
     """The lengths into which ``n`` ids are cut."""
     rest = n % max_length
@@ -105,7 +152,7 @@ def _cut(docs: DataFrame, tokenizer_path: str, max_length: int, end_id: int) ->
                                           names=[f.split()[0] for f in _PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, counts = WordIds(shared.value), TaskContext.get().partitionId(), {}
+        coder, task, counts = coder_of(shared.value), TaskContext.get().partitionId(), {}
         for b in batches:
             rows, data, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):

@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -106,3 +107,21 @@ def test_query_covers_every_id(spark, small_dir, tokenizer):
 def test_hot_table_is_numbered_across_tasks(spark, tokenizer):
     rows = [(i % 50, "one two three " * (i % 7), None, None, 0) for i in range(3000)]
     check(packing.pack(spark.createDataFrame(rows, DOCS).repartition(13), PATH).collect(), [(r[0], r[1]) for r in rows], tokenizer)
+
+
+def test_known_letters_are_cut_as_the_tokenizer_cuts(tokenizer):
+    coder, rng = packing.WordIds(open(PATH, encoding="utf-8").read()), random.Random(1)
+    assert coder.cut
+    words = [w for c in map(chr, range(0x21, 0x250)) for w in (c, f"a{c}b", f"{c}'S{c}", f"1{c}2{c.upper()}") if not packing._BLANK.search(w)]
+    letters = [*map(chr, range(0x20, 0x7F)), *map(chr, range(0xA0, 0x250)), "́", "̇", "Σ", "'s", "'LL", "'re", "<|endoftext|>", "½", " "]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for word in words:
+        assert np.frombuffer(coder.of(word), "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_file_is_encoded_word_by_word(tokenizer):
+    text = open(PATH, encoding="utf-8").read().replace('"Lowercase"', '"NFD"')
+    coder = packing.WordIds(text)
+    assert coder.cut is None
+    words = "it's a Été of 12 x's"
+    assert np.frombuffer(coder.of(words), "<u4").tolist() == Tokenizer.from_str(text).encode(words, add_special_tokens=False).ids
