@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from slotwise.functions.calendar import as_of_ts
 from slotwise.functions.clock import slot_ts
 from slotwise.functions.text import blank
-from slotwise.operators.intervals import blocked_rows
+from slotwise.operators.intervals import blocked_rows, first_blocker, proper, taken
 from slotwise.operators.search import validate_requests
+from slotwise.plans import minutes as M
 from slotwise.plans.greedy import first_wins
 from slotwise.plans.ids import assign_ids
 from slotwise.plans.lineage import cut
@@ -80,12 +81,6 @@ def _split(d: DataFrame) -> tuple[DataFrame, DataFrame]:
         "request_id", "reason")
 
 
-def _first_per(df: DataFrame, key: list[str], order: str = "request_id") -> tuple[DataFrame, DataFrame]:
-    """Split rows into (first per key by ``order``, the later ones) with a min aggregate + join."""
-    kept, later = first_wins(df, [key], order)
-    return kept, later
-
-
 # ------------------------------------------------------------------ merge
 
 def merge_updates(df: DataFrame, changes: DataFrame, key: str | list[str], columns: list[str],
@@ -153,22 +148,31 @@ _GREEDY_SCHEMA = T.StructType([T.StructField("request_id", T.LongType()), T.Stru
 
 def _greedy_admission(strict: bool):
     """Grouped-map body for one court-day: requests in id order, each admitted unless an
-    already admitted one blocks it."""
-
-    def blocks(es, ee, ns, ne) -> bool:
-        if strict:
-            return es < ne and ee > ns
-        return (es <= ns and ee > ns) or (es < ne and ee >= ne)
+    already admitted one blocks it. The minutes of the admitted ones are the bits of one number."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[str, str]] = []
+        minutes = 0
+        kept: list[tuple[int, int]] = []   # asked only by intervals that cover no minute, and only under the strict test
+        odd: list[tuple[int, int]] = []    # admitted intervals that cover no minute
         out = []
-        for rid, s, e in pdf.sort_values("request_id")[["request_id", "start_time", "end_time"]].itertuples(
-                index=False):
-            ok = not any(blocks(es, ee, s, e) for es, ee in taken)
-            if ok:
-                taken.append((s, e))
-            out.append((int(rid), ok))
+        for rid, s, e in pdf.sort_values("request_id")[["request_id", "s", "e"]].itertuples(index=False):
+            if pd.isna(s) or pd.isna(e):
+                out.append((int(rid), True))
+                continue
+            s, e = int(s), int(e)
+            if not strict:
+                blocked = minutes >> s & 1 or (e > 0 and minutes >> (e - 1) & 1)
+            elif s < e:
+                blocked = minutes >> s & ((1 << (e - s)) - 1) or any(os < e and oe > s for os, oe in odd)
+            else:
+                blocked = any(os < e and oe > s for os, oe in kept)
+            if not blocked:
+                kept.append((s, e))
+                if s < e:
+                    minutes |= ((1 << (e - s)) - 1) << s
+                else:
+                    odd.append((s, e))
+            out.append((int(rid), not blocked))
         return pd.DataFrame(out, columns=["request_id", "admitted"])
 
     return run
@@ -187,17 +191,15 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
     Rules: required fields → court active and approved → no conflict with an
     existing confirmed booking or an earlier ADMITTED request → price.
 
-    Everything that can be decided set-based is, in one decision frame
-    (request_id → reason) that is checkpointed twice so no stage is ever
-    evaluated again for another output:
+    Everything that can be decided set-based is:
 
     1. validation and court visibility are joins;
-    2. a request blocked by an existing confirmed booking is rejected (hour
-       bucket semi join, see ``intervals.blocked_rows``);
+    2. a request that an existing confirmed booking blocks is rejected: a bit
+       test on the minutes of its court-day (``plans.minutes``);
     3. among requests with the same (court, date, start, end) and start < end
        only the first can be admitted — a later twin meets the first or
        whatever blocked it — settled with a min aggregate;
-    4. a request no earlier request could block is admitted;
+    4. a request whose minutes no earlier request covers is admitted;
     5. only court-days that still hold undecided requests go through one
        grouped-map greedy pass, and only with their surviving requests (after
        3. these are distinct intervals, a number bounded by the 'HH:MM' grid
@@ -206,11 +208,13 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
        it stays out of the pass and fails iff an earlier admitted request
        blocks it.
 
-    The stored side is cut to the requests' dates and court-days and to distinct
-    intervals before it is expanded to hours. Every voucher booking raises the
+    Each of the decision frame, the narrow table of distinct intervals and the
+    refused requests is checkpointed once, so no stage runs again for another output.
+    The stored side is cut to the requests' dates and court-days before its bits are set. Every voucher booking raises the
     ``used_count`` of its promotion; the changed rows are returned.
     """
     key = "request_id"
+    day, interval = list(M.DAY), [*M.DAY, "start_time", "end_time"]
     requests = ensure_columns(requests, OPTIONAL_BOOKING_FIELDS)
     # one decision frame: every request with the reason it fails (NULL = still in the running)
     visible = t.courts.filter((F.col("is_active") == 1) & (F.col("is_approved") == 1)).select(
@@ -218,26 +222,32 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
     d = (validate_requests(requests, "booking").drop("valid")
          .join(visible, "court_id", "left")
          .withColumn("reason", F.coalesce("reason", F.when(F.col("hourly_rate").isNull(), F.lit(MSG_NO_COURT)))))
-    iv = d.filter(F.col("reason").isNull()).select(key, "court_id", "booking_date", "start_time", "end_time")
+    iv = d.filter(F.col("reason").isNull()).select(key, *interval)
     first_day, last_day = iv.agg(F.min("booking_date")).scalar(), iv.agg(F.max("booking_date")).scalar()
     existing = (t.bookings.filter((F.col("booking_status") == "confirmed") & F.col("booking_date").between(first_day, last_day))
-                .join(iv.select("court_id", "booking_date").distinct(), ["court_id", "booking_date"], "left_semi")
-                .select("court_id", "booking_date", "start_time", "end_time").distinct().withColumn("id", F.lit(0)))
-    taken = blocked_rows(iv, existing, strict, later_id=key).withColumn("_taken", F.lit(True))
-    d = cut(d.join(taken, key, "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("_taken"), F.lit(MSG_TAKEN)))).drop("_taken"))
-
-    alive = d.filter(F.col("reason").isNull()).select(key, "court_id", "booking_date", "start_time", "end_time")
-    alive, twins = _first_per(alive, ["court_id", "booking_date", "start_time", "end_time"])
-    proper = F.col("start_time") < F.col("end_time")
-    contested = blocked_rows(alive, alive, strict, ordered=True, later_id=key, earlier_id=key)
-    hot_days = alive.join(contested, key, "left_semi").select("court_id", "booking_date").distinct()
-    decided = (alive.join(hot_days, ["court_id", "booking_date"], "left_semi")
-               .groupBy("court_id", "booking_date").applyInPandas(_greedy_admission(strict), _GREEDY_SCHEMA))
+                .join(iv.select(*day).distinct(), day, "left_semi").select(*interval))
+    d = d.join(M.occupancy(existing), day, "left").withColumn(
+        "reason", F.coalesce("reason", F.when(taken(F.col("hours"), strict), F.lit(MSG_TAKEN)))).drop("hours")
+    if strict:  # intervals that cover no minute
+        distinct = existing.distinct().withColumn("id", F.lit(0))
+        odd = blocked_rows(iv.filter(~proper()), distinct, strict, later_id=key).unionByName(
+            blocked_rows(iv.filter(proper()), distinct.filter(~proper()), strict, later_id=key)).distinct().withColumn("_odd", F.lit(True))
+        d = _fail(d.join(odd, key, "left"), F.col("_odd"), MSG_TAKEN).drop("_odd")
+    d = cut(d)
+
+    alive = d.filter(F.col("reason").isNull()).select(key, *interval)
+    kinds = alive.groupBy(*interval).agg(F.min(key).alias(key))
+    contested = F.coalesce(first_blocker(F.col("firsts"), strict) < F.col(key), F.lit(False))
+    if strict:
+        contested = contested | ~proper()
+    kinds = cut(kinds.join(M.first_covers(kinds, key, starts=strict), day, "left").select(key, *interval, contested.alias("_contested")))
+    hot_days = kinds.filter("_contested").select(*day).distinct()
+    decided = (kinds.join(hot_days, day, "left_semi").select(key, *day, M.minute_of("start_time").alias("s"), M.minute_of("end_time").alias("e"))
+               .groupBy(*day).applyInPandas(_greedy_admission(strict), _GREEDY_SCHEMA))
     refused = cut(decided.filter(~F.col("admitted")).select(key))
-    admitted = alive.join(refused, key, "left_anti")
-    odd_twins = blocked_rows(twins.filter(~proper), admitted, strict, ordered=True, later_id=key, earlier_id=key)
-    lost = twins.filter(proper).select(key).unionByName(refused).unionByName(odd_twins).withColumn(
+    twins = alive.join(kinds.select(*interval, F.col(key).alias("_first")), interval).filter(F.col(key) != F.col("_first"))
+    odd_twins = blocked_rows(twins.filter(~proper()), kinds.join(refused, key, "left_anti"), strict, ordered=True, later_id=key, earlier_id=key)
+    lost = twins.filter(proper()).select(key).unionByName(refused).unionByName(odd_twins).withColumn(
         "_lost", F.lit(True))
     d = cut(d.join(lost, key, "left").withColumn(
         "reason", F.coalesce("reason", F.when(F.col("_lost"), F.lit(MSG_TAKEN)))).drop("_lost"))

@@ -1,14 +1,16 @@
 """Interval work on 'HH:MM' times: free hourly slots and booking conflicts.
 
-Range predicates (``start <= slot < end``, interval overlap) are turned into
-EQUI joins on (court_id, booking_date, hour bucket): each booking is expanded
-to the hour buckets its time span touches (at most 25), the join runs on the
-bucket, and the exact text predicate of the reference is applied to the
-candidates. Work is proportional to bookings that share an hour, not to the
-square of a busy court-day, and AQE can split a hot key like any equi join.
-
-Times are assumed zero-padded 'HH:MM' (the declared format); then text order
-equals time order and the bucket of a time is its hour.
+The reference asks whether an existing booking covers the first minute of a
+request, or its last one (``strict``: any of its minutes). Both are answered
+from the minutes of a court-day (``plans.minutes``): bits built by ``bit_or``
+say whether a minute is taken, a table of least ids says by which booking
+first. No interval is expanded to rows of its own and no pairs are compared,
+so a busy court-day costs no more per booking than a quiet one.
+
+Intervals that end where or before they start cover no minute. Under the
+reference's test they block nothing; under the strict test they overlap what
+lies around them, so for them alone ``blocked_rows`` looks at candidates of the
+same hours.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import as_of_date
 from slotwise.functions.clock import hhmm, hour_of
+from slotwise.plans import minutes as M
 from slotwise.sources.tables import Tables
 
 CONFIRMED = "confirmed"
@@ -28,42 +31,54 @@ def _hours(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi))
 
 
+def _opening(t: Tables, court_id=None) -> DataFrame:
+    c = t.courts if court_id is None else t.courts.filter(F.col("id") == F.lit(court_id))
+    return c.select(F.col("id").alias("court_id"), _hours(hour_of("open_time"), hour_of("close_time") - 1).alias("_slots"))
+
+
+def _as_slots(hours: DataFrame) -> DataFrame:
+    return hours.select("court_id", "hour", hhmm("hour").alias("start_time"), hhmm(F.col("hour") + 1).alias("end_time"))
+
+
 def court_hour_slots(t: Tables, court_id=None) -> DataFrame:
     """Every court's hourly slots from its opening hour to the hour before closing.
 
     Minutes of open/close are dropped (07:30 opens at 07:00), and inactive
     courts are included, as in the reference.
     """
-    c = t.courts if court_id is None else t.courts.filter(F.col("id") == F.lit(court_id))
-    open_h, close_h = hour_of("open_time"), hour_of("close_time")
-    return (c.select(F.col("id").alias("court_id"), F.explode(_hours(open_h, close_h - 1)).alias("hour"))
-            .select("court_id", "hour", hhmm("hour").alias("start_time"), hhmm(F.col("hour") + 1).alias("end_time")))
+    return _as_slots(_opening(t, court_id).select("court_id", F.explode("_slots").alias("hour")))
 
 
-def booked_hours(bookings: DataFrame) -> DataFrame:
-    """(court_id, booking_date, hour) of every slot start 'HH:00' that lies in a booking.
+def available_slots(t: Tables, date, court_id=None) -> DataFrame:
+    """Free hourly slots of every court on ``date``: slots whose first minute no confirmed booking covers.
 
-    A booking covers slot s when ``start_time <= s AND end_time > s`` (text
-    comparison, as in the reference); candidates are the hours from the
-    start's hour to the end's hour.
+    A court meets one row with the bits of its day; see ``court_hour_slots`` for the slots.
     """
-    cand = bookings.select("court_id", "booking_date", "start_time", "end_time",
-                           F.explode(_hours(hour_of("start_time"), hour_of("end_time"))).alias("hour"))
-    slot = hhmm("hour")
-    return (cand.filter((F.col("start_time") <= slot) & (F.col("end_time") > slot))
-            .select("court_id", "booking_date", "hour"))
-
-
-def available_slots(t: Tables, date, court_id=None) -> DataFrame:
-    """Free hourly slots of every court on ``date``: slots minus those whose START lies in a confirmed booking."""
     day = as_of_date(date)
-    slots = court_hour_slots(t, court_id)
     b = t.bookings.filter((F.col("booking_date") == day) & (F.col("booking_status") == CONFIRMED))
     if court_id is not None:
         b = b.filter(F.col("court_id") == F.lit(court_id))
-    taken = booked_hours(b).select("court_id", "hour").distinct()
-    return (slots.join(taken, ["court_id", "hour"], "left_anti")
-            .select("court_id", "start_time", "end_time", F.lit(True).alias("available")))
+    free = F.filter("_slots", lambda h: ~M.covered(F.col("hours"), h * 60))
+    met = _opening(t, court_id).join(M.occupancy(b, ("court_id",)), "court_id", "left")
+    return _as_slots(met.select("court_id", F.explode(free).alias("hour"))).drop("hour").withColumn("available", F.lit(True))
+
+
+def taken(hours: Column, strict: bool) -> Column:
+    """Do the bookings whose bits are ``hours`` block the row's interval? Strict: of proper intervals only."""
+    s, e = M.minute_of("start_time"), M.minute_of("end_time")
+    return M.any_covered(hours, s, e) if strict else M.covered(hours, s) | M.covered(hours, e - 1)
+
+
+def first_blocker(firsts: Column, strict: bool) -> Column:
+    """The least id among the proper intervals of ``firsts`` that block the row's interval. Strict: of proper intervals only."""
+    s, e = M.minute_of("start_time"), M.minute_of("end_time")
+    if strict:
+        return F.when(s < e, F.least(M.first_at(firsts, s), M.first_start(firsts, s + 1, e)))
+    return F.least(M.first_at(firsts, s), M.first_at(firsts, e - 1))
+
+
+def proper() -> Column:
+    return F.col("start_time") < F.col("end_time")
 
 
 def spans(bookings: DataFrame, prefix: str, id_col: str = "id") -> DataFrame:
@@ -109,19 +124,25 @@ def blocked_rows(later: DataFrame, earlier: DataFrame, strict: bool = False, ord
 
 def booking_conflicts(t: Tables, strict: bool = False) -> DataFrame:
     """(court_id, booking_date, first_id, later_id): each confirmed booking that an earlier confirmed one of its court
-    and date blocks (under the reference's test, or overlaps when ``strict``), with the first such booking.
+    and date blocks (under the reference's test, or overlaps when ``strict``), with the first such booking."""
+    conf = t.bookings.filter(F.col("booking_status") == CONFIRMED).select(*M.DAY, "start_time", "end_time", "id")
+    met = conf.join(M.first_covers(conf, "id", starts=strict), list(M.DAY))
+    found = met.select(*M.DAY, first_blocker(F.col("firsts"), strict).alias("first_id"), F.col("id").alias("later_id"))
+    if strict:
+        found = found.unionByName(_odd_conflicts(conf)).groupBy(*M.DAY, "later_id").agg(F.min("first_id").alias("first_id"))
+    return found.filter(F.col("first_id") < F.col("later_id")).select(*M.DAY, "first_id", "later_id")
+
+
+def _odd_conflicts(conf: DataFrame) -> DataFrame:
+    """The first overlaps, under the strict test, of pairs of which one interval at least is not proper.
 
-    The intervals of a court-day are first reduced to distinct (start, end) with their smallest id, a number bounded
-    by the 'HH:MM' grid; blockers are looked up among those, so a busy hour costs no pairs of bookings.
+    Both sides are reduced to distinct intervals with their least id, a number bounded by the 'HH:MM' grid.
     """
-    conf = t.bookings.filter(F.col("booking_status") == CONFIRMED)
-    interval = ["court_id", "booking_date", "start_time", "end_time"]
+    interval = [*M.DAY, "start_time", "end_time"]
     distinct = conf.groupBy(*interval).agg(F.min("id").alias("id"))
-    a = spans(distinct, "a_")
-    b = distinct.withColumn("lo", hour_of(F.least("start_time", "end_time"))).withColumn(
-        "bucket", F.explode(_hours(F.col("lo"), hour_of(F.greatest("start_time", "end_time")))))
-    found = a.join(b, ["court_id", "booking_date", "bucket"]).filter(
-        conflict_test(F.col("a_s"), F.col("a_e"), F.col("start_time"), F.col("end_time"), strict))
-    first = found.groupBy(*interval).agg(F.min("a_id").alias("first_id"))
-    return (conf.select(*interval, F.col("id").alias("later_id")).join(first, interval)
-            .filter(F.col("first_id") < F.col("later_id")).select("court_id", "booking_date", "first_id", "later_id"))
+    out = []
+    for first, later in ((~proper(), F.lit(True)), (proper(), ~proper())):
+        a, b = spans(distinct.filter(first), "a_"), spans(distinct.filter(later), "b_").withColumnsRenamed({"b_s": "start_time", "b_e": "end_time"})
+        met = a.join(b, [*M.DAY, "bucket"]).filter(conflict_test(F.col("a_s"), F.col("a_e"), F.col("start_time"), F.col("end_time"), True))
+        out.append(met.groupBy(*interval).agg(F.min("a_id").alias("first_id")))
+    return conf.join(out[0].unionByName(out[1]), interval).select(*M.DAY, "first_id", F.col("id").alias("later_id"))
