@@ -6,8 +6,8 @@ list of documents. Neighbouring blocks of at most ``BLOCK`` documents together f
 place. The part of a score that depends on ``(tf, m)``, the impact, is thus worked out once per tf of a
 block, and the greatest tf of a term bounds what the term can add to any document of the block.
 
-Building: one scan counts the documents and their terms, as ``m`` needs both; the texts are then dealt in ranges of
-``(m, hash)``, so a stratum that holds a third of all documents spans many tasks, and each task writes the blocks of its
+Building: one scan of the texts counts each document's terms and stores the counts, whose totals ``m`` needs; they are then dealt in
+ranges of ``(m, hash)``, so a stratum that holds a third of all documents spans many tasks, and each task writes the blocks of its
 range. The index covers every document and every term.
 
 Searching: an item's bound in a block is the sum of its terms' weights times the bounds of the terms. Blocks are visited
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ from slotwise.llm.common import lower_ascii, store
 #: Fixed value: a term is a longest stretch of ASCII letters, ASCII digits and characters beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 4096
-PAIRS = 2_000_000  # postings that a task holds before it closes a block
+PAIRS = 2_000_000  # postings that a task holds before it closes a block, beside those of one document
 SEEDS = 8
 #: UTF-8 bytes with A-Z lower-cased and what separates terms as blanks.
 _FOLD = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
@@ -63,68 +64,75 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
 
 
-class _Blocks:
-    """Collects the documents of one stratum and turns them into index rows."""
-
-    def __init__(self) -> None:
-        self.docs: list[int | None] = []
-        self.sizes: list[int] = []
-        self.terms: list[bytes] = []
-        self.tfs: list[int] = []
-
-    def add(self, doc: int | None, text: str) -> None:
-        counts = Counter(text.encode().translate(_FOLD).split())
-        self.docs.append(doc)
-        self.sizes.append(len(counts))
-        self.terms.extend(counts.keys())
-        self.tfs.extend(counts.values())
-
-    def rows(self, segment: int, m: int, block: int) -> Iterator[pa.RecordBatch]:
-        def batch(n: int, *columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x)) for x in (segment, m, block)], *columns],
-                                              names=["segment", "m", "block", "term", "tf", "docs", "doc_ids"])
-
-        places, ids = pa.list_(pa.int32()), pa.list_(pa.int64())
-        yield batch(1, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, places), pa.array([self.docs], ids))
-        coded = pa.array(self.terms, pa.binary()).dictionary_encode()
-        term, tf = coded.indices.to_numpy(), np.array(self.tfs, np.int64)
-        place = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.sizes)
-        order = np.lexsort((place, tf, term))
-        term, tf, place = term[order], tf[order], place[order]
-        starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])])
-        docs = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(term)].astype(np.int32)), pa.array(place))
-        yield batch(len(starts), coded.dictionary.take(pa.array(term[starts])).cast(pa.string()), pa.array(tf[starts]), docs,
-                    pa.nulls(len(starts), ids))
+def _counted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n, terms, tfs)``: the distinct terms of each row of ``docs(doc_id, text)`` with their counts; ``n`` terms in all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, tfs, ends, n = [], [], [0], []
+            for text in b.column(1):
+                counts = Counter((text.as_py() or "").encode().translate(_FOLD).split())
+                terms.extend(counts.keys())
+                tfs.extend(counts.values())
+                ends.append(len(terms))
+                n.append(counts.total())
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *lists], names=["doc_id", "n", "terms", "tfs"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, terms array<string>, tfs array<int>")
+    return store(rows.filter("n > 0"), "lexical-terms")
+
+
+def _block_rows(rows: list[pa.RecordBatch], segment: int, m: int, block: int) -> Iterator[pa.RecordBatch]:
+    """The index rows of a block whose documents are ``rows(m, doc_id, terms, tfs)``."""
+    def batch(n: int, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x)) for x in (segment, m, block)], *columns],
+                                          names=["segment", "m", "block", "term", "tf", "docs", "doc_ids"])
+
+    places, ids = pa.list_(pa.int32()), pa.list_(pa.int64())
+    doc_ids = [d for r in rows for d in r.column(1).to_pylist()]
+    yield batch(1, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, places), pa.array([doc_ids], ids))
+    coded = pa.concat_arrays([r.column(2).flatten() for r in rows]).dictionary_encode()
+    term = coded.indices.to_numpy()
+    tf = np.concatenate([r.column(3).flatten().to_numpy() for r in rows]).astype(np.int64)
+    place = np.repeat(np.arange(len(doc_ids), dtype=np.int32), np.concatenate([pc.list_value_length(r.column(2)).to_numpy() for r in rows]))
+    order = np.lexsort((place, tf, term))
+    term, tf, place = term[order], tf[order], place[order]
+    starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])])
+    docs = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(term)].astype(np.int32)), pa.array(place))
+    yield batch(len(starts), coded.dictionary.take(pa.array(term[starts])), pa.array(tf[starts]), docs, pa.nulls(len(starts), ids))
 
 
 def build(docs: DataFrame, block: int = BLOCK) -> Index:
     """The index of all documents of ``docs(doc_id, text)`` that have a term."""
-    sized = docs.select(F.col("doc_id").cast("long"), "text", F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).filter("n > 0")
-    total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counted = _counted(docs)
+    total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     count, terms = int(total[0]), int(total[1])
     m = F.expr(f"10L + (90L * n * {count}L) div {max(terms, 1)}L")
-    dealt = sized.select(m.alias("m"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_deal"))
-    dealt = dealt.repartitionByRange("m", "_deal").sortWithinPartitions("m").select("m", "doc_id", "text")
+    dealt = counted.select(m.alias("m"), "doc_id", "terms", "tfs", F.xxhash64("doc_id", "terms").alias("_deal"))
+    dealt = dealt.repartitionByRange("m", "_deal").sortWithinPartitions("m").select("m", "doc_id", "terms", "tfs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, segment, at, held = TaskContext.get().partitionId() << 32, 0, None, _Blocks()
+        number, segment, at, held = TaskContext.get().partitionId() << 32, 0, None, []
         docs = pairs = 0  # of the segment
         for b in batches:
-            for of, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                full = docs >= block or pairs + len(held.terms) >= PAIRS
-                if held.docs and (of != at or full):
-                    yield from held.rows(number + segment, at, number)
-                    pairs += len(held.terms)
-                    number, held = number + 1, _Blocks()
+            start = 0
+            for i, (of, size) in enumerate(zip(b.column(0).to_pylist(), pc.list_value_length(b.column(2)).to_pylist())):
+                full = docs >= block or pairs >= PAIRS
+                if docs and (of != at or full):
+                    if i > start:
+                        held.append(b.slice(start, i - start))
+                    start = i
+                    if held:
+                        yield from _block_rows(held, number + segment, at, number)
+                        number, held, segment = number + 1, [], segment - 1  # a segment has the number of its first block
                     if full:
-                        segment, docs, pairs = 0, 0, 0
-                    else:
-                        segment -= 1  # a segment has the number of its first block
+                        segment = docs = pairs = 0
                 at = of
                 docs += 1
-                held.add(doc, text.as_py())
-        if held.docs:
-            yield from held.rows(number + segment, at, number)
+                pairs += size
+            held.append(b.slice(start))
+        if held:
+            yield from _block_rows(held, number + segment, at, number)
 
     rows = store(dealt.mapInArrow(run, _INDEX), "lexical-index")
     return Index(rows.filter("term IS NOT NULL").drop("doc_ids"), rows.filter("term IS NULL").select("segment", "m", "block", "doc_ids"), count, terms)
