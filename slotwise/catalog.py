@@ -21,9 +21,11 @@ from slotwise.operators import listings as L
 from slotwise.operators import quality as Q
 from slotwise.operators import reports as R
 from slotwise.operators import search as S
+from slotwise.operators import stored as ST
 from slotwise.operators import vouchers as VO
 from slotwise.session import shared_dir
 from slotwise.sources import fixtures as FX
+from slotwise.sources import published as PB
 from slotwise.sources import tables as TB
 from slotwise.sources.fixtures import fixture
 
@@ -94,6 +96,7 @@ QUERIES.update({
     "promotion_target_users": lambda s, d: L.promotion_target_users(T(s, d)),
     "court_reviews_latest": lambda s, d: L.court_reviews_latest(T(s, d)),
     "court_images_nested": lambda s, d: L.court_images_nested(T(s, d)),
+    "court_images_parts": lambda s, d: L.court_images_parts(T(s, d), most=2),
     "court_search": lambda s, d: S.court_search(T(s, d)),
     "court_search_filtered": lambda s, d: S.court_search(T(s, d), location="asia", has_ac=True,
                                                          indoor_outdoor="indoor"),
@@ -264,6 +267,47 @@ def _write_table(s, d):
     return s.read.parquet(path)
 
 
+def _stored(s, d, what):
+    """The bookings as a stored table of this run."""
+    return ST.create(T(s, d).bookings, _scratch(s, what), block=10_000)
+
+
+def _cancel_stored(s, d):
+    """Cancellations that read and rewrite only the booking dates they touch; the whole stored table afterwards."""
+    table, requests = _stored(s, d, "cancel"), V(s, d, "booking_actions")
+    rows = table.touched(requests.select(F.col("booking_id").alias("id")))
+    table.overwrite(CH.cancel_bookings(T(s, d).replace(bookings=rows), requests, AS_OF).table)
+    return table.rows()
+
+
+def _settle_stored(s, d):
+    table, requests = _stored(s, d, "settle"), V(s, d, "booking_actions")
+    rows = table.touched(requests.select(F.col("booking_id").alias("id")))
+    table.overwrite(CH.settle_payments(T(s, d).replace(bookings=rows), requests, AS_OF).bookings)
+    return table.rows()
+
+
+def _publish_admission(s, d):
+    """One batch of admitted bookings with its voucher usage, published together and read back: the new rows of both tables."""
+    t, root = T(s, d), _scratch(s, "published")
+    PB.publish(s, root, {"bookings": t.bookings, "voucher_usage": t.voucher_usage})
+    before = PB.read(s, root)
+    new = CH.admit_bookings(t.replace(**before), V(s, d, "booking_requests"))
+    PB.publish(s, root, {"bookings": before["bookings"].unionByName(new.bookings, allowMissingColumns=True),
+                         "voucher_usage": before["voucher_usage"].unionByName(new.usage, allowMissingColumns=True)},
+               {"bookings": ["booking_date"]})
+    after = PB.read(s, root)
+    fresh = lambda name: after[name].join(before[name].select("id"), "id", "left_anti").select(F.lit(name).alias("table_name"), "id")
+    return fresh("bookings").unionByName(fresh("voucher_usage"))
+
+
+QUERIES.update({
+    "cancel_bookings_stored": _cancel_stored,
+    "settle_payments_stored": _settle_stored,
+    "publish_admission": _publish_admission,
+})
+
+
 def _registration_users(s, d):
     r = V(s, d, "registration_requests")
     return r.select((F.col("request_id") + F.lit(2000000000)).alias("id"), "username", "email",

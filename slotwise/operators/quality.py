@@ -58,20 +58,21 @@ def audit_check(t: Tables) -> DataFrame:
 def audit_foreign_keys(t: Tables) -> DataFrame:
     """Orphans: (child, column, id, missing_key) where a non-NULL key has no parent row.
 
-    All references to the same parent table are unioned first (a narrow
-    operation), so each parent needs one anti join — one shuffle of its key
-    set — however many foreign keys point at it.
+    The keys of all parents and of all references to them are tagged, unioned and aggregated once: a (parent, key) group
+    without a parent row is an orphan key. Partial aggregation makes a key that a third of all rows refer to one row per task.
+    Only the orphan keys, none in sound tables, meet the references again to name their rows.
     """
-    by_parent: dict[str, list[DataFrame]] = {}
+    refs = []
     for child, col, parent in FOREIGN_KEYS:
         c = getattr(t, child)
-        if col not in c.columns:
-            continue
-        by_parent.setdefault(parent, []).append(c.filter(F.col(col).isNotNull()).select(
-            F.lit(child).alias("child"), F.lit(col).alias("column"), F.col("id"),
-            F.col(col).cast("bigint").alias("missing_key")))
-    frames = []
-    for parent, refs in by_parent.items():
-        keys = getattr(t, parent).select(F.col("id").cast("bigint").alias("missing_key")).distinct()
-        frames.append(_union(refs).join(keys, "missing_key", "left_anti"))
-    return _union(frames).select("child", "column", "id", "missing_key")
+        if col in c.columns:
+            refs.append(c.filter(F.col(col).isNotNull()).select(
+                F.lit(parent).alias("parent"), F.lit(child).alias("child"), F.lit(col).alias("column"), F.col("id"),
+                F.col(col).cast("bigint").alias("missing_key")))
+    used = _union(refs)
+    parents = sorted({parent for _, _, parent in FOREIGN_KEYS})
+    held = _union([getattr(t, p).select(F.lit(p).alias("parent"), F.col("id").cast("bigint").alias("missing_key"), F.lit(1).alias("row"))
+                   for p in parents])
+    keys = held.unionByName(used.select("parent", "missing_key", F.lit(0).alias("row")))
+    orphans = keys.groupBy("parent", "missing_key").agg(F.max("row").alias("row")).filter(F.col("row") == 0).select("parent", "missing_key")
+    return used.join(orphans, ["parent", "missing_key"]).select("child", "column", "id", "missing_key")

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import as_of_date, as_of_ts, day_text, in_period, month, month_num, weekday_text, year_text
 from slotwise.functions.text import full_name
+from slotwise.plans.paging import listing
 from slotwise.plans.ranking import positions, top_k
 from slotwise.plans.rollup import court_owner, per_owner, share_of
 from slotwise.sources.tables import Tables
@@ -53,10 +54,11 @@ def platform_stats(t: Tables) -> DataFrame:
         F.max("total_bookings").alias("total_bookings"), _dbl(F.max("total_revenue")).alias("total_revenue"))
 
 
-def users_with_booking_count(t: Tables) -> DataFrame:
+def users_with_booking_count(t: Tables, ordered: bool = True, after=None, limit: int | None = None) -> DataFrame:
+    """Every user with the number of their bookings, newest first; ``after`` and ``limit`` give one page."""
     counts = t.bookings.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("booking_count"))
-    return (t.users.join(counts, "id", "left")
-            .withColumn("booking_count", F.coalesce("booking_count", F.lit(0)).cast("bigint")))
+    out = t.users.join(counts, "id", "left").withColumn("booking_count", F.coalesce("booking_count", F.lit(0)).cast("bigint"))
+    return listing(out.select(*t.users.columns, "booking_count"), ["created_at"], ordered, after, limit)
 
 
 def review_summary(t: Tables) -> DataFrame:
@@ -163,12 +165,13 @@ def owner_earnings_summary(t: Tables, owner_id=None, share: float = OWNER_SHARE)
         _dbl(share_of(F.col("_pend"), share)).alias("pending_earnings"))
 
 
-def owner_monthly_earnings(t: Tables, owner_id=None, share: float = OWNER_SHARE) -> DataFrame:
-    """Confirmed bookings by created month: earnings and count, per owner."""
+def owner_monthly_earnings(t: Tables, owner_id=None, share: float = OWNER_SHARE, ordered: bool = True) -> DataFrame:
+    """Confirmed bookings by created month, newest month first: earnings and count, per owner."""
     agg = per_owner(t, F.col("booking_status") == CONFIRMED, {"month": month("created_at")})
-    return _owner_filter(agg, owner_id).select(
+    out = _owner_filter(agg, owner_id).select(
         "owner_id", "month", _dbl(F.coalesce(share_of(F.col("amount"), share), F.lit(0))).alias("earnings"),
         F.col("n").alias("bookings"))
+    return out.orderBy("owner_id", F.desc("month")) if ordered else out
 
 
 def owner_today_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHARE) -> DataFrame:
@@ -179,29 +182,32 @@ def owner_today_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHAR
         "owner_id", _dbl(F.coalesce(share_of(F.col("amount"), share), F.lit(0))).alias("today_sales"))
 
 
-def owner_yearly_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHARE) -> DataFrame:
-    """Confirmed bookings created in as_of's year, by month."""
+def owner_yearly_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHARE, ordered: bool = True) -> DataFrame:
+    """Confirmed bookings created in as_of's year, by month, in its order."""
     where = (F.col("booking_status") == CONFIRMED) & in_period("created_at", as_of, "year")
     agg = per_owner(t, where, {"month": month("created_at")})
-    return _owner_filter(agg, owner_id).select(
+    out = _owner_filter(agg, owner_id).select(
         "owner_id", F.substring("month", 6, 2).alias("month_num"), "month",
         _dbl(F.coalesce(share_of(F.col("amount"), share), F.lit(0))).alias("sales"))
+    return out.orderBy("owner_id", "month_num") if ordered else out
 
 
-def owner_daily_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHARE) -> DataFrame:
-    """Confirmed bookings created in as_of's month, by day of month ('DD')."""
+def owner_daily_sales(t: Tables, as_of, owner_id=None, share: float = OWNER_SHARE, ordered: bool = True) -> DataFrame:
+    """Confirmed bookings created in as_of's month, by day of month ('DD'), in its order."""
     where = (F.col("booking_status") == CONFIRMED) & in_period("created_at", as_of, "month")
     agg = per_owner(t, where, {"day": day_text("created_at")})
-    return _owner_filter(agg, owner_id).select(
+    out = _owner_filter(agg, owner_id).select(
         "owner_id", "day", _dbl(F.coalesce(share_of(F.col("amount"), share), F.lit(0))).alias("sales"))
+    return out.orderBy("owner_id", "day") if ordered else out
 
 
-def owner_weekday_trend(t: Tables, as_of, days: int = TREND_DAYS, owner_id=None) -> DataFrame:
-    """Confirmed bookings created since as_of − days, by weekday of booking_date ('0' = Sunday)."""
+def owner_weekday_trend(t: Tables, as_of, days: int = TREND_DAYS, owner_id=None, ordered: bool = True) -> DataFrame:
+    """Confirmed bookings created since as_of − days, by weekday of booking_date ('0' = Sunday first)."""
     since = as_of_ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     where = (F.col("booking_status") == CONFIRMED) & (F.col("created_at") >= since)
     agg = per_owner(t, where, {"day_of_week": weekday_text("booking_date")})
-    return _owner_filter(agg, owner_id).select("owner_id", "day_of_week", F.col("n").alias("bookings"))
+    out = _owner_filter(agg, owner_id).select("owner_id", "day_of_week", F.col("n").alias("bookings"))
+    return out.orderBy("owner_id", "day_of_week") if ordered else out
 
 
 def owner_sales_headline(t: Tables, as_of, calendar: bool = False, share: float = OWNER_SHARE) -> DataFrame:
@@ -247,9 +253,9 @@ def chart_arrays(series: DataFrame) -> DataFrame:
 def sales_chart_series(t: Tables, as_of, period: str = "yearly", share: float = OWNER_SHARE) -> DataFrame:
     """Chart arrays per owner: labels[] and data[] in label order, also as one JSON text."""
     if period == "yearly":
-        src = owner_yearly_sales(t, as_of, share=share).select("owner_id", F.col("month").alias("label"), "sales")
+        src = owner_yearly_sales(t, as_of, share=share, ordered=False).select("owner_id", F.col("month").alias("label"), "sales")
     elif period == "monthly":
-        src = owner_daily_sales(t, as_of, share=share).select("owner_id", F.col("day").alias("label"), "sales")
+        src = owner_daily_sales(t, as_of, share=share, ordered=False).select("owner_id", F.col("day").alias("label"), "sales")
     else:
         raise ValueError("period must be 'yearly' or 'monthly'")
     return chart_arrays(src)
@@ -270,29 +276,31 @@ def deletable_courts(t: Tables, owner_id=None) -> DataFrame:
                          owner_id)
 
 
-def owner_court_rollup(t: Tables, owner_id=None) -> DataFrame:
-    """Every owned court: confirmed bookings, paid revenue (NULL if none), average rating."""
+def owner_court_rollup(t: Tables, owner_id=None, ordered: bool = True, after=None, limit: int | None = None) -> DataFrame:
+    """Every owned court: confirmed bookings, paid revenue (NULL if none), average rating, newest first."""
     b = t.bookings.groupBy(F.col("court_id").alias("id")).agg(
         F.count_if(F.col("booking_status") == CONFIRMED).alias("total_bookings"),
         F.sum(F.when(F.col("payment_status") == PAID, F.col("total_amount"))).alias("total_revenue"))
     r = t.reviews.groupBy(F.col("court_id").alias("id")).agg(F.avg("rating").alias("avg_rating"))
     courts = _owner_filter(t.courts.filter(F.col("owner_id").isNotNull()), owner_id)
-    return (courts.join(b, "id", "left").join(r, "id", "left")
-            .withColumn("total_bookings", F.coalesce("total_bookings", F.lit(0)).cast("bigint"))
-            .withColumn("total_revenue", _dbl(F.col("total_revenue"))))
+    out = (courts.join(b, "id", "left").join(r, "id", "left")
+           .withColumn("total_bookings", F.coalesce("total_bookings", F.lit(0)).cast("bigint"))
+           .withColumn("total_revenue", _dbl(F.col("total_revenue"))))
+    return listing(out, ["created_at"], ordered, after, limit)
 
 
 # ---------------------------------------------------------------- demand
 
-def court_demand(t: Tables, owner_id=None, share: float = OWNER_SHARE) -> DataFrame:
-    """Every owned court with its confirmed bookings and revenue; idle courts stay with 0."""
+def court_demand(t: Tables, owner_id=None, share: float = OWNER_SHARE, ordered: bool = True) -> DataFrame:
+    """Every owned court with its confirmed bookings and revenue, most booked first; idle courts stay with 0."""
     agg = (t.bookings.filter(F.col("booking_status") == CONFIRMED).groupBy("court_id")
            .agg(F.count("id").alias("_n"), F.sum("total_amount").alias("_amt")))
     courts = _owner_filter(t.courts.filter(F.col("owner_id").isNotNull()), owner_id).select(
         "owner_id", F.col("id").alias("court_id"), "name")
-    return courts.join(agg, "court_id", "left").select(
+    out = courts.join(agg, "court_id", "left").select(
         "owner_id", "court_id", "name", F.coalesce("_n", F.lit(0)).cast("bigint").alias("bookings"),
         _dbl(F.coalesce(share_of(F.col("_amt"), share), F.lit(0))).alias("revenue"))
+    return out.orderBy("owner_id", F.desc("bookings"), "court_id") if ordered else out
 
 
 def demand_split(t: Tables, high: float = HIGH_DEMAND, low: float = LOW_DEMAND, owner_id=None,
@@ -304,7 +312,7 @@ def demand_split(t: Tables, high: float = HIGH_DEMAND, low: float = LOW_DEMAND,
     slightly above 3, so its ceiling is 4). Ranking uses the skew-safe
     ``positions`` (an owner with a third of all courts is spread over tasks).
     """
-    d = court_demand(t, owner_id) if demand is None else demand
+    d = court_demand(t, owner_id, ordered=False) if demand is None else demand
     ranked = positions(d, ["owner_id"], [F.col("bookings").desc(), F.col("court_id").asc()],
                        name="_rank", size_name="_n")
     n = F.col("_n").cast("double")
@@ -321,13 +329,14 @@ def demand_split(t: Tables, high: float = HIGH_DEMAND, low: float = LOW_DEMAND,
 
 # ---------------------------------------------------------------- listings per owner
 
-def _owner_bookings_base(t: Tables, where: Column | None = None) -> DataFrame:
-    """bookings ⋈ courts (owner, court name), restricted to bookings whose user exists."""
+def _owner_bookings_base(t: Tables, where: Column | None = None, fk_checked: bool = False) -> DataFrame:
+    """bookings ⋈ courts (owner, court name), restricted to bookings whose user exists (all do when ``fk_checked``)."""
     b = t.bookings if where is None else t.bookings.filter(where)
     courts = t.courts.filter(F.col("owner_id").isNotNull()).select(
         F.col("id").alias("court_id"), "owner_id", F.col("name").alias("court_name"))
     users = t.users.select(F.col("id").alias("user_id"))
-    return b.join(courts, "court_id").join(users, "user_id", "left_semi")
+    out = b.join(courts, "court_id")
+    return out if fk_checked else out.join(users, "user_id", "left_semi")
 
 
 def _with_user(df: DataFrame, t: Tables, cols: list[str]) -> DataFrame:
@@ -335,29 +344,65 @@ def _with_user(df: DataFrame, t: Tables, cols: list[str]) -> DataFrame:
     return df.join(users, "user_id")
 
 
-def booking_history_page(t: Tables, page: int = 1, sort: str = "newest", page_size: int = PAGE_SIZE) -> DataFrame:
-    """Page ``page`` of every owner's booking history, newest or oldest first."""
+def history_directory(t: Tables, page: int, sort: str = "newest", page_size: int = PAGE_SIZE, fk_checked: bool = False) -> DataFrame:
+    """(owner_id, booking_date, before): the dates that hold rows of the page, and how many rows of the owner stand before each.
+
+    Counts per owner and date, prefix-summed in page order: narrow columns only, aggregated before any shuffle. Without
+    ``fk_checked`` bookings whose user is missing are left out of the counts, as they are of the page.
+    """
+    if fk_checked:
+        counts = t.bookings.groupBy("court_id", "booking_date").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        users = t.users.select(F.col("id").alias("user_id"))
+        counts = t.bookings.groupBy("court_id", "user_id", "booking_date").agg(F.count(F.lit(1)).alias("n")).join(users, "user_id", "left_semi")
+        counts = counts.groupBy("court_id", "booking_date").agg(F.sum("n").alias("n"))
+    per = counts.join(court_owner(t), "court_id").groupBy("owner_id", "booking_date").agg(F.sum("n").alias("n"))
+    day = F.col("booking_date")
+    earlier = Window.partitionBy("owner_id").orderBy(day.asc() if sort == "oldest" else day.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    first, last = (page - 1) * page_size, page * page_size
+    return per.filter((F.col("before") < last) & (F.col("before") + F.col("n") > first)).select("owner_id", "booking_date", "before")
+
+
+def booking_history_page(t: Tables, page: int = 1, sort: str = "newest", page_size: int = PAGE_SIZE, fk_checked: bool = False) -> DataFrame:
+    """Page ``page`` of every owner's booking history, newest or oldest first.
+
+    ``history_directory`` names the dates on which a page lies; only bookings of those dates are read wide (dynamic partition
+    pruning where bookings are stored by date) and numbered within their date. Any page has the same lazy plan.
+    """
     asc = sort == "oldest"
-    keys = ["booking_date", "start_time", "id"]
-    order = [F.col(k).asc() if asc else F.col(k).desc() for k in keys]
-    base = _owner_bookings_base(t)
     page = max(int(page), 1)
-    ranked = top_k(base, ["owner_id"], order, k=page * page_size, name="_rn", skip=(page - 1) * page_size)
+    order = [F.col(k).asc() if asc else F.col(k).desc() for k in ("start_time", "id")]
+    found = history_directory(t, page, sort, page_size, fk_checked)
+    found = found.select(F.col("owner_id").alias("_owner"), F.col("booking_date").alias("_date"), "before")
+    # one row per calendar day at most: broadcast, so that the scan of bookings stored by date lists those dates only
+    days = F.broadcast(found.filter(F.col("_date").isNotNull()).select(F.col("_date").alias("booking_date")).distinct())
+    held = t.bookings.join(days, "booking_date", "left_semi").unionByName(t.bookings.filter(F.col("booking_date").isNull()))
+    base = _owner_bookings_base(t.replace(bookings=held), fk_checked=fk_checked)
+    base = base.join(found, F.col("owner_id").eqNullSafe(F.col("_owner")) & F.col("booking_date").eqNullSafe(F.col("_date")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("owner_id", "booking_date").orderBy(*order))
+    ranked = base.withColumn("_rn", place).filter(F.col("_rn").between((page - 1) * page_size + 1, page * page_size))
     out = _with_user(ranked, t, ["first_name", "last_name", "email"])
     return out.select("owner_id", F.col("id").alias("order_id"), *t.bookings.columns, "court_name",
                       "first_name", "last_name", "email")
 
 
 def owner_recent_bookings(t: Tables, n: int = 10, confirmed_only: bool = False) -> DataFrame:
-    """Newest ``n`` bookings per owner (by created_at, then id)."""
+    """Newest ``n`` bookings per owner (by created_at, then id).
+
+    Only (owner, created_at, id) and the booking date are ranked; the winners, n per owner, then fetch their wide rows.
+    """
     where = (F.col("booking_status") == CONFIRMED) if confirmed_only else None
-    base = _owner_bookings_base(t, where)
-    ranked = top_k(base, ["owner_id"], [F.col("created_at").desc(), F.col("id").desc()], k=n, name="_rn")
+    narrow = _owner_bookings_base(t, where).select("owner_id", "id", "booking_date", "created_at")
+    ranked = top_k(narrow, ["owner_id"], [F.col("created_at").desc(), F.col("id").desc()], k=n, name="_rn")
+    winners = ranked.select("owner_id", F.col("id").alias("_id"), F.col("booking_date").alias("_date"))
+    rows = t.bookings.join(winners, (F.col("id") == F.col("_id")) & F.col("booking_date").eqNullSafe(F.col("_date"))).drop("_id", "_date")
+    rows = rows.join(t.courts.select(F.col("id").alias("court_id"), F.col("name").alias("court_name")), "court_id")
     if confirmed_only:
-        out = _with_user(ranked, t, ["first_name", "last_name"])
+        out = _with_user(rows, t, ["first_name", "last_name"])
         return out.select("owner_id", "id", "court_name", full_name("first_name", "last_name").alias("player_name"),
                           "booking_date", "start_time", "end_time", _dbl(F.col("total_amount")).alias("total_amount"))
-    out = _with_user(ranked, t, ["first_name", "last_name", "email"])
+    out = _with_user(rows, t, ["first_name", "last_name", "email"])
     return out.select("owner_id", *t.bookings.columns, "court_name", "first_name", "last_name", "email")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.text import blank, contains_ci
 from slotwise.operators.reports import primary_image, review_summary
+from slotwise.plans.paging import listing
 from slotwise.sources.tables import Tables
 
 # Required owner-profile fields, in the reference's order.
@@ -51,8 +52,11 @@ def visible_courts(t: Tables, require_approved: bool = True) -> DataFrame:
 
 def court_search(t: Tables, location: str | None = None, court_type: str | None = None,
                  indoor_outdoor: str | None = None, has_ac: bool = False, has_parking: bool = False,
-                 has_food: bool = False, with_images: bool = False) -> DataFrame:
-    """Active, approved courts matching every given filter, with owner, rating summary and primary image.
+                 has_food: bool = False, with_images: bool = False, ordered: bool = True, after=None,
+                 limit: int | None = None) -> DataFrame:
+    """Active, approved courts matching every given filter, with owner, rating summary and primary image, newest first.
+
+    ``after=(created_at, id)`` and ``limit`` give one page, see ``plans.paging``.
 
     ``location`` matches the court address or the owner's business address
     (case-insensitive containment, like SQLite LIKE on ASCII).
@@ -71,13 +75,14 @@ def court_search(t: Tables, location: str | None = None, court_type: str | None
     if with_images:
         from slotwise.operators.listings import court_images_nested
         out = out.join(court_images_nested(t).withColumnRenamed("court_id", "id"), "id", "left")
-    return out
+    return listing(out, ["created_at"], ordered, after, limit)
 
 
 def owner_court_search(t: Tables, location: str | None = None, court_type: str | None = None,
                        indoor_outdoor: str | None = None, has_ac: bool = False, has_parking: bool = False,
-                       has_food: bool = False, owner_id=None, with_images: bool = False) -> DataFrame:
-    """An owner's courts (all owners at once) matching the filters; location matches address or name."""
+                       has_food: bool = False, owner_id=None, with_images: bool = False, ordered: bool = True, after=None,
+                       limit: int | None = None) -> DataFrame:
+    """An owner's courts (all owners at once) matching the filters, newest first; location matches address or name."""
     courts = t.courts.filter(F.col("owner_id").isNotNull())
     if owner_id is not None:
         courts = courts.filter(F.col("owner_id") == F.lit(owner_id))
@@ -92,7 +97,7 @@ def owner_court_search(t: Tables, location: str | None = None, court_type: str |
     if with_images:
         from slotwise.operators.listings import court_images_nested
         out = out.join(court_images_nested(t).withColumnRenamed("court_id", "id"), "id", "left")
-    return out
+    return listing(out, ["created_at"], ordered, after, limit)
 
 
 def users_by_role(t: Tables, role: str = "user") -> DataFrame:
