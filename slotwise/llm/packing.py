@@ -5,9 +5,9 @@ pieces of ``max_length`` first, then the binary digits of what is left, longest
 own, so no sequence crosses documents and none holds padding. Pieces of equal length form a bucket, from which training
 draws its batches; sequences are numbered from 0 through the buckets, longest first, without gaps.
 
-Numbering never moves the ids: each task counts its pieces per bucket while it cuts them, the pieces are stored once
+Numbering need not move the ids: each task counts its pieces per bucket while it cuts them, the pieces are stored once
 (so a lost executor cannot renumber them), and a table of counts per (bucket, task) is prefix-summed into the first
-number of every task. That table has at most 1 + log2(max_length) rows per task.
+number of every task. That table has at most 1 + log2(max_length) rows per task and is broadcast if it is small.
 
 Ids come from a tokenizer file of the ``tokenizers`` library whose pre-tokenizer drops white space, as
 ``word_bpe_49k.json``: no token crosses white space, so ids of a text are those of its white-space separated words,
@@ -43,10 +43,12 @@ END_ID = 2
 MEMO = 250_000
 LONG = 1_000
 STRETCH = 1 << 20
+BROADCAST_ROWS = 200_000
 FLUSH = 1 << 22  # ids that a task holds before it hands them on, beside those of one document
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Characters at which ``str.split`` cuts but ASCII white space does not.
+_ODD_ASCII = "\x1c\x1d\x1e\x1f"
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words of ASCII and the Latin letters of U+00C0 to U+017F, but for U+0130: in composed form, each lower-cased to one letter.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -72,6 +74,8 @@ class Memo(dict):
         self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONG:
+            return b"".join(map(self.make, _BESIDE_DIGIT.split(key)))
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
@@ -109,11 +113,9 @@ class WordIds:
             cut = _BLANK.search(text, at + STRETCH) if len(text) > at + STRETCH else None
             part = text[at:cut.start()] if cut else text[at:]
             at += len(part) + 1
-            words = _WORD.findall(part) if _ODD.search(part) else part.split()
-            if max(map(len, words), default=0) > LONG:
-                out += [self.words[w] if len(w) <= LONG else b"".join(map(self._word, _BESIDE_DIGIT.split(w))) for w in words]
-            else:
-                out.append(b"".join(map(self.words.__getitem__, words)))
+            odd = any(c in part for c in _ODD_ASCII) or not part.isascii() and _ODD.search(part)
+            words = _WORD.findall(part) if odd else part.split()
+            out.append(b"".join(map(self.words.__getitem__, words)))
         return b"".join(out)
 
 
@@ -187,8 +189,10 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
     longest_first = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     bucket = bucket.select("length", F.coalesce(F.sum("in_bucket").over(longest_first), F.lit(0)).alias("before_bucket"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("before_task", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(bucket, "length").select(
-        "length", "task", (F.col("before_bucket") + F.col("before_task")).alias("first"))
+    first = store(counts.withColumn("before_task", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(bucket, "length").select(
+        "length", "task", (F.col("before_bucket") + F.col("before_task")).alias("first")), "first-numbers")
+    if first.count() <= BROADCAST_ROWS:  # 24 bytes a row; beyond it Spark chooses, and may deal out the pieces
+        first = F.broadcast(first)
     return pieces.join(first, ["length", "task"]).select(
         "doc_id", "start", "length", "ids", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
