@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.operators import changes as CH
+from slotwise.operators import daily as DY
 from slotwise.operators import dashboard as DB
 from slotwise.operators import intervals as I
 from slotwise.operators import listings as L
@@ -23,6 +24,7 @@ from slotwise.operators import reports as R
 from slotwise.operators import search as S
 from slotwise.operators import stored as ST
 from slotwise.operators import vouchers as VO
+from slotwise.plans.lineage import cut
 from slotwise.session import shared_dir
 from slotwise.sources import fixtures as FX
 from slotwise.sources import published as PB
@@ -301,7 +303,28 @@ def _publish_admission(s, d):
     return fresh("bookings").unionByName(fresh("voucher_usage"))
 
 
+def _after_cancellations(s, d):
+    """The tables after the cancellations, with a daily aggregate that was built before and refreshed for the days they touch."""
+    t, path = T(s, d), _scratch(s, "daily")
+    DY.build(t, path)
+    later = t.replace(bookings=cut(_cancel(s, d).table))
+    DY.refresh(later, path, DY.changed_days(later.bookings, V(s, d, "booking_actions").select(F.col("booking_id").alias("id"))))
+    return later, path
+
+
+def _daily_monthly(s, d):
+    t, path = _after_cancellations(s, d)
+    return R.owner_monthly_earnings(DY.with_daily(t, path))
+
+
+def _daily_demand(s, d):
+    t, path = _after_cancellations(s, d)
+    return R.court_demand(DY.with_daily(t, path))
+
+
 QUERIES.update({
+    "owner_monthly_earnings_refreshed": _daily_monthly,
+    "court_demand_refreshed": _daily_demand,
     "cancel_bookings_stored": _cancel_stored,
     "settle_payments_stored": _settle_stored,
     "publish_admission": _publish_admission,

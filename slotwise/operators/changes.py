@@ -43,6 +43,7 @@ MSG_COURT_NOT_FOUND = "Court not found"
 MSG_NO_OWNER = "Owner profile not found"
 MSG_USER_EXISTS = "Username or email already exists"
 CANCEL_LEAD_HOURS = 2
+ROUNDS_PER_CUT = 3
 NOTES_MAX = 255
 OPTIONAL_BOOKING_FIELDS = {"voucher_code": ("string", None), "discount_amount": ("decimal(12,2)", None),
                            "notes": ("string", None)}
@@ -371,12 +372,18 @@ def _code_decisions(requests: DataFrame, promotions: DataFrame) -> DataFrame:
     touches its code, its promotion, or the promotion that holds its code; it
     clashes at once when no earlier edit of that holder is left to free the
     code, so a code with many requests takes two rounds. Decided rows leave,
-    and each round's rows are checkpointed.
+    and each round's rows are checkpointed once. The codes in force are those that
+    requests ask for or give up; they follow from the rounds before and are
+    checkpointed every few rounds, so that the plan stays short.
     """
     key = "request_id"
     pending = cut(requests.select(key, "id", "_ucode"))
-    state = cut(promotions.select(F.upper("code").alias("_code"), F.col("id").alias("_holder")))
-    decided = None
+    asked, edited = pending.select(F.col("_ucode").alias("_code")).distinct(), pending.select(F.col("id").alias("_holder")).dropna().distinct()
+    codes = promotions.select(F.upper("code").alias("_code"), F.col("id").alias("_holder"))
+    # of the other promotions neither the code nor the holder can matter to any request
+    state = cut(codes.join(asked.withColumn("_asked", F.lit(True)), "_code", "left").join(edited.withColumn("_edited", F.lit(True)), "_holder", "left")
+                .filter("_asked OR _edited").select("_code", "_holder"))
+    decided, rounds = None, 0
     while not pending.isEmpty():
         held = state.groupBy("_code").agg(F.min("_holder").alias("_holder"), F.max("_holder").alias("_last"))
         p = pending.join(held, F.col("_ucode") == F.col("_code"), "left").drop("_code")
@@ -394,8 +401,10 @@ def _code_decisions(requests: DataFrame, promotions: DataFrame) -> DataFrame:
         done = p.filter("_done").select(key, "clash")
         decided = done if decided is None else decided.unionByName(done)
         taken = p.filter("_done AND NOT clash")
-        state = cut(state.join(taken.select(F.col("id").alias("_holder")).dropna(), "_holder", "left_anti").select("_code", "_holder")
-                    .unionByName(taken.select(F.col("_ucode").alias("_code"), F.coalesce("id", -F.col(key)).alias("_holder"))))
+        state = state.join(taken.select(F.col("id").alias("_holder")).dropna(), "_holder", "left_anti").select("_code", "_holder").unionByName(
+            taken.select(F.col("_ucode").alias("_code"), F.coalesce("id", -F.col(key)).alias("_holder")))
+        rounds += 1
+        state = state if rounds % ROUNDS_PER_CUT else cut(state)
         pending = p.filter("NOT _done").select(key, "id", "_ucode")
     return requests.select(key, F.lit(False).alias("clash")).limit(0) if decided is None else decided
 

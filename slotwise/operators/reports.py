@@ -16,7 +16,7 @@ from slotwise.functions.calendar import as_of_date, as_of_ts, day_text, in_perio
 from slotwise.functions.text import full_name
 from slotwise.plans.paging import listing
 from slotwise.plans.ranking import positions, top_k
-from slotwise.plans.rollup import court_owner, per_owner, share_of
+from slotwise.plans.rollup import court_owner, per_court, per_owner, share_of
 from slotwise.sources.tables import Tables
 
 # Constants of the reference's reports.
@@ -293,8 +293,7 @@ def owner_court_rollup(t: Tables, owner_id=None, ordered: bool = True, after=Non
 
 def court_demand(t: Tables, owner_id=None, share: float = OWNER_SHARE, ordered: bool = True) -> DataFrame:
     """Every owned court with its confirmed bookings and revenue, most booked first; idle courts stay with 0."""
-    agg = (t.bookings.filter(F.col("booking_status") == CONFIRMED).groupBy("court_id")
-           .agg(F.count("id").alias("_n"), F.sum("total_amount").alias("_amt")))
+    agg = per_court(t.bookings.filter(F.col("booking_status") == CONFIRMED)).withColumnsRenamed({"n": "_n", "amount": "_amt"})
     courts = _owner_filter(t.courts.filter(F.col("owner_id").isNotNull()), owner_id).select(
         "owner_id", F.col("id").alias("court_id"), "name")
     out = courts.join(agg, "court_id", "left").select(

@@ -28,10 +28,14 @@ def court_owner(t: Tables) -> DataFrame:
 
 
 def per_court(bookings: DataFrame, keys: dict[str, Column] | None = None) -> DataFrame:
-    """(court_id, keys…) -> amount = SUM(total_amount), n = COUNT(*)."""
+    """(court_id, keys…) -> amount = SUM(total_amount), n = COUNT(*).
+
+    A row of a stored aggregate (``operators.daily``) stands for ``_weight`` bookings.
+    """
     keys = keys or {}
+    number = F.sum("_weight") if "_weight" in bookings.columns else F.count(F.lit(1))
     return (bookings.groupBy("court_id", *[e.alias(k) for k, e in keys.items()])
-            .agg(F.sum("total_amount").alias("amount"), F.count(F.lit(1)).alias("n")))
+            .agg(F.sum("total_amount").alias("amount"), number.alias("n")))
 
 
 def per_owner(t: Tables, where: Column | None = None, keys: dict[str, Column] | None = None) -> DataFrame:
