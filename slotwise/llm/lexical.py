@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import lower_ascii, store
+from slotwise.llm.common import drop_stored, lower_ascii, store
 
 #: Fixed value: a term is a longest stretch of ASCII letters, ASCII digits and characters beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -59,6 +59,10 @@ class Index:
     documents: int
     terms: int
 
+    def drop(self) -> None:
+        """Delete the index's files."""
+        drop_stored(self.postings)
+
 
 def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
@@ -135,6 +139,7 @@ def build(docs: DataFrame, block: int = BLOCK) -> Index:
             yield from _block_rows(held, number + segment, at, number)
 
     rows = store(dealt.mapInArrow(run, _INDEX), "lexical-index")
+    drop_stored(counted)
     return Index(rows.filter("term IS NOT NULL").drop("doc_ids"), rows.filter("term IS NULL").select("segment", "m", "block", "doc_ids"), count, terms)
 
 
@@ -181,7 +186,10 @@ def _visit(visits: DataFrame, wanted: DataFrame, hits: DataFrame, blocks: DataFr
 
 
 def search(index: Index, items: DataFrame, k: int = 10, seeds: int = SEEDS) -> DataFrame:
-    """``(item_id, rank, doc_id, score)``: the ``k`` best documents of each item of ``items(item_id, text)``, score above 0."""
+    """``(item_id, rank, doc_id, score)``: the ``k`` best documents of each item of ``items(item_id, text)``, score above 0.
+
+    The result, k rows an item, is stored, and what led to it is deleted; the index stays for further searches.
+    """
     items = items.select(F.col("item_id").cast("long"), F.explode(terms_of(F.col("text"))).alias("term")).distinct()
     # a struct is never null, so an item without an id is joined like any other
     items = store(items.select(F.xxhash64(F.struct("item_id")).alias("item"), "item_id", "term"), "lexical-items")
@@ -204,4 +212,6 @@ def search(index: Index, items: DataFrame, k: int = 10, seeds: int = SEEDS) -> D
     found = seeded.unionByName(_visit(rest, wanted, hits, index.blocks, k))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     names = items.select("item", "item_id").distinct()
-    return ranked.join(names, "item").select("item_id", "rank", "doc_id", "score")
+    result = store(ranked.join(names, "item").select("item_id", "rank", "doc_id", "score"), "lexical-result")
+    drop_stored(items, hits, weighed, bounds, seeded)
+    return result

@@ -71,7 +71,9 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(documents(spark, sf_dir).select("doc_id", "text"))
-    return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    found = lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    index.drop()
+    return found
 
 
 def periodic_texts(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ tokens, a 2 x 2 transition table and two start weights, fitted by gradient ascen
 stretches of ``STRETCH`` tokens.
 
 Scoring runs the forward-backward recursions over the whole token sequence. Words without lexicon feature share one
-transfer matrix, so a stretch of k of them is its k-th power, taken from a table; the marginals P(T) are thus exact at
+transfer matrix, so a stretch of k of them is its k-th power, from a table or by repeated squaring; the marginals P(T) are thus exact at
 every word with one, in time linear in the text. The document score is a logistic function, fitted on the
 training sample, of the greatest marginal and of the expected number of toxic tokens. Offending spans are the character
 offsets of tokens with a marginal of at least 0.5.
@@ -90,6 +90,21 @@ class Tagger:
         self.weights = Weights(model)
         (self.a, self.b), (self.c, self.d) = np.exp(model.move).tolist()
         self.start, self.other = np.exp(model.start).tolist(), float(np.exp(model.other))
+        self.far: dict[int, tuple[float, float, float, float]] = {}
+
+    def power(self, gap: int) -> tuple[float, float, float, float]:
+        """The transfer matrix of ``gap`` other words, scaled: from the table, or beyond it by repeated squaring."""
+        if gap <= POWERS:
+            return self.powers[gap]
+        found = self.far.get(gap)
+        if found is None:
+            (p, q, r, s), (a, b, c, d) = self.power(gap // 2), self.power(gap - gap // 2)
+            found = (p * a + q * c, p * b + q * d, r * a + s * c, r * b + s * d)
+            top = max(found)
+            if len(self.far) >= REMEMBERED:
+                self.far.clear()
+            self.far[gap] = found = tuple(x / top for x in found)
+        return found
 
     def marginals(self, at: list[int], weight: list[float], n: int) -> list[float]:
         """P(T) at the ascending token places ``at``, whose words weigh ``weight``, among ``n`` tokens."""
@@ -101,7 +116,7 @@ class Tagger:
                 v *= self.other
                 gap -= 1
             if gap:
-                p, q, r, s = self.powers[min(gap, POWERS)]
+                p, q, r, s = self.power(gap)
                 u, v = u * p + v * r, u * q + v * s
             if i:
                 u, v = u * self.a + v * self.c, u * self.b + v * self.d
@@ -113,7 +128,7 @@ class Tagger:
         for k in range(len(at) - 1, -1, -1):
             gap = ahead - at[k] - 1
             if gap:
-                p, q, r, s = self.powers[min(gap, POWERS)]
+                p, q, r, s = self.power(gap)
                 x, y = x * p + y * q, x * r + y * s
             u, v = forward[k]
             out.append(v * y / (u * x + v * y))

@@ -48,7 +48,11 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder named as Hadoop or as Arrow writes it."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    try:
+        return fs.FileSystem.from_uri(path)
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"bundles are written through Arrow, which knows no folder like {path}: name one it knows "
+                         "(a shared path, hdfs://, s3://, gs://, abfs://)") from error
 
 
 class BundleWriter:
@@ -219,4 +223,5 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
 def archive(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]:
     """Write all of ``pages(page_id, url, html)``; the index and the folder of the bundles."""
     folder = fresh_path(pages.sparkSession, "warc")
+    filesystem(folder)  # an unknown kind of folder is an error at once, not in a task
     return write_bundles(mark_revisits(pages, min_bytes), folder), folder

@@ -192,3 +192,14 @@ def test_quality_result_can_be_filtered(spark, edge, edge_rows):
     assert rows.filter("base_failed").count() + rows.filter("NOT base_failed").count() == n
     assert rows.filter("kept").count() == sum(r.kept for r in rows.collect())
     assert rows.filter("doc_id = 1 AND n_repeat_words >= 0 AND NOT base_failed AND kept").count() == 1
+
+
+def test_powers_beyond_the_table_equal_repeated_products():
+    model = toxicity.Model({"bad$": 2.0}, -0.01, np.array([[0.02, -0.01], [-0.03, 0.01]]), np.zeros(2))
+    tagger, one = toxicity.Tagger(model), np.exp(model.move + np.array([0.0, model.other]))
+    for gap in (toxicity.POWERS, toxicity.POWERS + 1, 1000, 12_345):
+        want = np.eye(2)
+        for _ in range(gap):
+            want = want @ one
+            want /= want.max()
+        assert np.allclose(np.array(tagger.power(gap)).reshape(2, 2) / max(tagger.power(gap)), want, rtol=1e-9)

@@ -70,3 +70,21 @@ def test_bpe_stage_and_run(spark, stages, small_dir):
     assert sorted((r.doc_id, list(r.ids)) for r in after.collect()) == want
     digest = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "ids").cast("decimal(38,0)"))).first()
     assert digest(corpus_pipeline.run(spark, small_dir)) == digest(after)
+
+
+@pytest.mark.parametrize("table", ["repeated", "empty"])
+def test_run_over_nulls_repeats_clashing_columns_and_no_rows(spark, request, tmp_path, table):
+    docs = request.getfixturevalue(table)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows, kept = documents(spark, str(tmp_path)), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = corpus_pipeline.store(out, f"test-{name}")
+        kept.append(rows.count())
+    assert kept[1] == kept[0] and kept[2] <= kept[1] and (table == "empty") == (kept[0] == 0)
+    if table == "repeated":
+        left = {r.doc_id for r in rows.collect()}
+        assert not left & {5, 6, 7, 16} and not {1, 2} <= left
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert result.count() == kept[3] and result.columns == ["doc_id", "lang", "source", "ids", "n_tokens"]
