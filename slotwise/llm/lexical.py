@@ -43,7 +43,8 @@ from slotwise.llm.common import drop_stored, lower_ascii, store
 #: Fixed value: a term is a longest stretch of ASCII letters, ASCII digits and characters beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 4096
-PAIRS = 2_000_000  # postings that a task holds before it closes a block, beside those of one document
+FLUSH = 250_000  # counted terms that a task hands on at once
+PAIRS = 1_000_000  # postings that a task holds before it closes a block, beside those of one document
 SEEDS = 8
 #: UTF-8 bytes with A-Z lower-cased and what separates terms as blanks.
 _FOLD = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
@@ -72,15 +73,18 @@ def _counted(docs: DataFrame) -> DataFrame:
     """``(doc_id, n, terms, tfs)``: the distinct terms of each row of ``docs(doc_id, text)`` with their counts; ``n`` terms in all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms, tfs, ends, n = [], [], [0], []
-            for text in b.column(1):
+            at, terms, tfs, ends, n = 0, [], [], [0], []
+            for i, text in enumerate(b.column(1), 1):
                 counts = Counter((text.as_py() or "").encode().translate(_FOLD).split())
                 terms.extend(counts.keys())
                 tfs.extend(counts.values())
                 ends.append(len(terms))
                 n.append(counts.total())
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *lists], names=["doc_id", "n", "terms", "tfs"])
+                if len(terms) >= FLUSH or i == len(b):
+                    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+                             for x in (pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i - at), pa.array(n, pa.int64()), *lists], names=["doc_id", "n", "terms", "tfs"])
+                    at, terms, tfs, ends, n = i, [], [], [0], []
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, terms array<string>, tfs array<int>")
     return store(rows.filter("n > 0"), "lexical-terms")
