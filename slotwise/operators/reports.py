@@ -347,8 +347,10 @@ def history_directory(t: Tables, page: int, sort: str = "newest", page_size: int
     """(owner_id, booking_date, before): the dates that hold rows of the page, and how many rows of the owner stand before each.
 
     Counts per owner and date, prefix-summed in page order: narrow columns only, aggregated before any shuffle. Without
-    ``fk_checked`` bookings whose user is missing are left out of the counts, as they are of the page.
+    ``fk_checked`` bookings whose user is missing are left out of the counts, as they are of the page. A booking without a
+    date, which the schema forbids (``quality.audit_not_null``), is on no page.
     """
+    t = t.replace(bookings=t.bookings.filter(F.col("booking_date").isNotNull()))
     if fk_checked:
         counts = t.bookings.groupBy("court_id", "booking_date").agg(F.count(F.lit(1)).alias("n"))
     else:
@@ -375,10 +377,9 @@ def booking_history_page(t: Tables, page: int = 1, sort: str = "newest", page_si
     found = history_directory(t, page, sort, page_size, fk_checked)
     found = found.select(F.col("owner_id").alias("_owner"), F.col("booking_date").alias("_date"), "before")
     # one row per calendar day at most: broadcast, so that the scan of bookings stored by date lists those dates only
-    days = F.broadcast(found.filter(F.col("_date").isNotNull()).select(F.col("_date").alias("booking_date")).distinct())
-    held = t.bookings.join(days, "booking_date", "left_semi").unionByName(t.bookings.filter(F.col("booking_date").isNull()))
-    base = _owner_bookings_base(t.replace(bookings=held), fk_checked=fk_checked)
-    base = base.join(found, F.col("owner_id").eqNullSafe(F.col("_owner")) & F.col("booking_date").eqNullSafe(F.col("_date")))
+    days = F.broadcast(found.select(F.col("_date").alias("booking_date")).distinct())
+    base = _owner_bookings_base(t.replace(bookings=t.bookings.join(days, "booking_date", "left_semi")), fk_checked=fk_checked)
+    base = base.join(found, (F.col("owner_id") == F.col("_owner")) & (F.col("booking_date") == F.col("_date")))
     place = F.col("before") + F.row_number().over(Window.partitionBy("owner_id", "booking_date").orderBy(*order))
     ranked = base.withColumn("_rn", place).filter(F.col("_rn").between((page - 1) * page_size + 1, page * page_size))
     out = _with_user(ranked, t, ["first_name", "last_name", "email"])
