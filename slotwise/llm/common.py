@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,10 @@ from slotwise.session import checkpoint_dir
 #: The six ASCII white-space characters of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Session settings that operators change while they run.
+SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,6 +42,9 @@ def store(df: DataFrame, name: str, partition_by: str | None = None, compression
     path = fresh_path(spark, name)
     writer = df.write.option("compression", compression)
     writer = writer.partitionBy(partition_by) if partition_by else writer
+    held = _held.get()
+    if held is not None:
+        held.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,11 +52,39 @@ def store(df: DataFrame, name: str, partition_by: str | None = None, compression
 def drop_stored(*frames: DataFrame) -> None:
     """Delete the files of frames that ``store`` returned, once nothing reads them any more."""
     for df in frames:
-        sc = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/llm-" in folder:
-                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished(name: str) -> Callable:
+    """Decorator: the frame that an operator returns is stored; then all that the call stored before it is deleted and ``SETTINGS`` are put back."""
+    def decorate(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(rows: DataFrame, *args, **options) -> DataFrame:
+            spark = rows.sparkSession
+            before = {s: spark.conf.get(s, None) for s in SETTINGS}
+            held: list[str] = []
+            around = _held.get()
+            _held.set(held)
+            try:
+                result = operator(rows, *args, **options)
+                _held.set(around)
+                return store(result, name)  # it belongs to the enclosing call, if there is one
+            finally:
+                _held.set(around)
+                for folder in held:
+                    _delete(spark, folder)
+                for s, value in before.items():
+                    spark.conf.unset(s) if value is None else spark.conf.set(s, value)
+        return run
+    return decorate
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import small_batches, store
+from slotwise.llm.common import finished, small_batches, store
 from slotwise.llm.components import connected_components
 
 WIDTH = 5
@@ -500,8 +500,9 @@ def _group_links(sets: DataFrame, groups: DataFrame, components: DataFrame) -> D
     return _open(rows.select(*cell), asked)
 
 
+@finished("near-duplicates")
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs(doc_id, text)``."""
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs(doc_id, text)``; stored, intermediates are deleted."""
     spark = docs.sparkSession
     small_batches(spark)
     scanned = store(scan_sets(docs), "set-scan")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import small_batches, store
+from slotwise.llm.common import finished, small_batches, store
 from slotwise.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -162,8 +162,9 @@ def _compare(cells: DataFrame, bits: int, tables: int, threshold: float) -> Data
     return dealt.select(*group, "chunk", "key", "weight", "packed", "embedding").mapInArrow(run, "key long, other long, n long")
 
 
+@finished("vector-classes")
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors(vec_id, embedding, label)``."""
+    """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors(vec_id, embedding, label)``; stored, intermediates are deleted."""
     small_batches(vectors.sparkSession, 2048)
     e = F.col("embedding")
     sound = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & F.exists(e, lambda x: x != 0)

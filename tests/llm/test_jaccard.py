@@ -1,10 +1,11 @@
 import collections
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from slotwise.llm import jaccard
+from slotwise.llm import common, jaccard
 from slotwise.llm.components import connected_components
 from tests.llm import brute
 from tests.llm.conftest import DOCS, sentence
@@ -113,3 +114,29 @@ def test_rows_that_share_a_doc_id(spark, rows):
         own = brute.shingle_set(text)
         reach = {c for _, (_, c) in brute.jaccard_components(list(enumerate([text, *[t for _, t in rows]]))).items()}
         assert not own or any(t == text for _, t in kept) or len(reach) < len(rows) + 1
+
+
+def stored(spark):
+    return {p.name for p in Path(common.shared_dir(spark).removeprefix("file:")).glob("llm-*")}
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, edge, edge_rows, empty):
+    before, settings = stored(spark), [spark.conf.get(s, None) for s in common.SETTINGS]
+    result = jaccard.near_duplicates(edge)
+    assert {n.rsplit("-", 1)[0] for n in stored(spark) - before} == {"llm-near-duplicates"}
+    assert [spark.conf.get(s, None) for s in common.SETTINGS] == settings
+    assert found(result) == brute.jaccard_components([r[:2] for r in edge_rows])
+    jaccard.near_duplicates(empty)
+    assert len(stored(spark) - before) == 2
+
+
+def test_a_failed_call_leaves_nothing_behind(spark, edge, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("no links today")
+
+    before, settings = stored(spark), [spark.conf.get(s, None) for s in common.SETTINGS]
+    monkeypatch.setattr(jaccard, "_star_links", fail)
+    with pytest.raises(RuntimeError, match="no links today"):
+        jaccard.near_duplicates(edge)
+    assert stored(spark) == before
+    assert [spark.conf.get(s, None) for s in common.SETTINGS] == settings
