@@ -46,7 +46,7 @@ SKETCH = 24
 ALIKE = 8           # of SKETCH minima that a class and a leader must share to be put in one group
 FLUSH = 1_000_000   # hashes that a map task gathers before it deals them
 BUCKET = 1_000_000  # hashes that a bucket expects
-OFTEN = 1000        # holders of one hash in a flush, from which on it is settled in the map task
+OFTEN = 8           # holders of one hash in a flush, above which it is settled in the map task
 CHUNK = 1000
 _PIECE = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
