@@ -1,18 +1,20 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, with DataFrame expressions only.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Their unigrams and bigrams are hashed to ``BUCKETS`` buckets. One pass over all
-documents counts the buckets of the raw corpus and, in the same scan, of the trusted target: at most ``TARGET_DOCS``
-training documents labelled quality 1, those with the least hashes of their ids. Both are multinomials with additive
-smoothing; a document's score is the sum of log(target / raw) over its n-grams, divided by their number. Every document
-with a score of at least ``threshold`` is kept unless the base rules failed; nothing is drawn at random.
+documents counts the buckets of the raw corpus and, in the same scan, of the trusted target: every training document
+labelled quality 1 that does not set the threshold. Both are multinomials with additive smoothing; a document's score is
+the sum of log(target / raw) over its n-grams, divided by their number. Every document with a score of at least
+``threshold`` is kept unless the base rules failed; nothing is drawn or limited.
 
 The threshold is set on the given corpus, as scores move with its size. It parts the scores of training documents that
 the base rules pass: of quality 1, those with crc32(doc_id) mod 5 = 1, which are no target (a target document scores
-higher than its like); of quality 0, all; at most ``TARGET_DOCS`` of either, those with the least hashes of their ids.
-Of the cuts that lose at most ``LOSS`` of the good ones it has the least sum of the share of good ones lost and of junk
-kept, and lies in the middle of the gap. Without such documents of both classes only the base rules decide.
+higher than its like); of quality 0, all. Of the cuts that lose at most ``LOSS`` of the good ones it has the least sum of
+the share of good ones lost and of junk kept, and lies in the middle of the gap; the scores are ordered and summed by range
+in many tasks. Without such documents of both classes only the base rules decide.
 
-The table of log ratios is one literal array of ``BUCKETS`` doubles, rounded to four decimals; texts are never shuffled.
+The table of log ratios is one literal array of ``BUCKETS`` doubles, rounded to four decimals. Every text is scored once;
+counts and scores are stored without texts, so the threshold costs no second pass. The ids of the target are stored too, so
+Spark knows their size: few are broadcast and texts stay where they are, many are joined by a shuffle of texts.
 
 Repeated words: texts whose windows of three words have distinct hashes hold none. In the others the hash of each window is
 packed with its place into one long; after sorting, equal
@@ -26,13 +28,12 @@ empty table gives an empty table; columns other than doc_id and text are ignored
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import SPACES, held_out
+from slotwise.llm.common import SPACES, finished, held_out, store
 
 BUCKETS = 1 << 16
-TARGET_DOCS = 4000
 SMOOTHING = 1.0
 LOSS = 0.02
 SYMBOLS = r"[#*$%&|<>]"
@@ -64,17 +65,16 @@ def _apart(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1
 
 
-def target_ids(docs: DataFrame, labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
-    """``(_target)``: ids of at most ``limit`` training documents labelled quality 1."""
+def target_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(_target)``: ids of the training documents labelled quality 1 that do not set the threshold."""
     good = _marks(labels).filter("quality = 1").filter(~held_out(F.col("doc_id")) & ~_apart(F.col("doc_id")))
-    return good.select(F.col("doc_id").alias("_target")).orderBy(F.xxhash64("_target"), "_target").limit(limit)
+    return good.select(F.col("doc_id").alias("_target"))
 
 
-def threshold_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
-    """``(_id, _good)``: the training documents whose scores set the threshold, at most ``limit`` of either class."""
+def threshold_ids(labels: DataFrame) -> DataFrame:
+    """``(_id, _good)``: the training documents whose scores set the threshold."""
     marks = _marks(labels).filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_good"))
-    least = lambda rows: rows.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    return least(marks.filter(F.col("_good") == 1).filter(_apart(F.col("_id")))).unionByName(least(marks.filter(F.col("_good") == 0)))
+    return marks.filter((F.col("_good") == 0) | (F.col("_good") == 1) & _apart(F.col("_id")))
 
 
 def cut(scores: list[tuple[float, int]]) -> float:
@@ -93,9 +93,37 @@ def cut(scores: list[tuple[float, int]]) -> float:
     return at
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
+def best_cut(rows: DataFrame) -> float:
+    """``cut`` of ``rows(score, good)`` in many tasks: sums up to each score, by ranges of scores."""
+    counts = rows.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("junk"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = store(counts.repartitionByRange(n, "score").withColumn("_range", F.spark_partition_id()), "scores")
+    ranges = counts.groupBy("_range").agg(F.min("score").alias("_from"), F.sum("good").alias("_good"), F.sum("junk").alias("_junk"))
+    ranges = sorted(ranges.collect())  # one for each partition
+    n_good, n_junk = sum(r["_good"] for r in ranges), sum(r["_junk"] for r in ranges)
+    if not n_good or not n_junk:
+        return float("-inf")
+    before, good, junk = [], 0, 0
+    for r, after in zip(ranges, [*ranges[1:], None]):
+        before.append((r["_range"], good, junk, after and after["_from"]))
+        good, junk = good + r["_good"], junk + r["_junk"]
+    before = F.broadcast(rows.sparkSession.createDataFrame(before, "_range int, _lost long, _dropped long, _next double"))
+    own = Window.partitionBy("_range").orderBy("score")
+    rows = counts.join(before, "_range").select(
+        F.col("score").alias("low"), F.coalesce(F.lead("score").over(own), "_next").alias("high"),
+        (F.col("_lost") + F.sum("good").over(own)).alias("lost"), (F.col("_dropped") + F.sum("junk").over(own)).alias("dropped"))
+    rows = rows.filter(F.col("high").isNotNull() & (F.col("lost") <= F.lit(LOSS) * n_good))
+    rows = rows.withColumn("share", F.col("lost") / n_good + 1 - F.col("dropped") / n_junk).filter("share < 1")
+    best = rows.agg(F.min(F.struct("share", "low", "high")).alias("best")).first()["best"]
+    if best is None:
+        return float("-inf")
+    middle = (best["low"] + best["high"]) / 2
+    return middle if best["low"] < middle else best["high"]
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row ``(ratios)``: log(target / raw) of every bucket, in order."""
-    ids = F.broadcast(target_ids(docs, labels, limit))  # at most ``limit`` ids
+    ids = store(target_ids(docs, labels), "targets")
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_target"), "left")
     grams = marked.select(word_list(F.col("text")).alias("_words"), F.col("_target").isNotNull().cast("long").alias("_good"))
     grams = grams.select(F.explode(_grams(F.col("_words"))).alias("bucket"), "_good")
@@ -154,19 +182,19 @@ def scored(docs: DataFrame, ratios: Column) -> DataFrame:
     return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
-def fitted_threshold(docs: DataFrame, labels: DataFrame, ratios: Column) -> float:
-    ids = F.broadcast(threshold_ids(labels))  # at most 2 * TARGET_DOCS ids
-    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"))
-    # the id carries the class through ``scored``
-    rows = scored(chosen.select(F.struct("doc_id", "_good").alias("doc_id"), "text"), ratios)
-    rows = rows.groupBy("doc_id").agg(F.min("score").alias("score"), F.max("base_failed").alias("failed"))
-    return cut([(r["score"], r["doc_id"]["_good"]) for r in rows.collect() if not r["failed"]])
+def fitted_threshold(rows: DataFrame, labels: DataFrame) -> float:
+    """The threshold from all of ``rows(doc_id, score, base_failed)`` that ``threshold_ids`` names."""
+    chosen = rows.select("doc_id", "score", "base_failed").join(threshold_ids(labels), F.col("doc_id") == F.col("_id"))
+    chosen = chosen.groupBy("doc_id", F.col("_good").alias("good")).agg(F.min("score").alias("score"), F.max("base_failed").alias("failed"))
+    return best_cut(chosen.filter("NOT failed").select("score", F.col("good").cast("long").alias("good")))
 
 
+@finished("quality")
 def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """Base counts, ``score``, ``base_failed`` and ``kept`` of every row of ``docs(doc_id, text)``."""
     # BUCKETS numbers come to the driver and go back as one literal that is folded to an array once
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in log_ratios(docs, labels).first()["ratios"])), ",").cast("array<double>")
+    rows = store(scored(docs, ratios), "scored")
     if threshold is None:
-        threshold = fitted_threshold(docs, labels, ratios)
-    return scored(docs, ratios).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        threshold = fitted_threshold(rows, labels)
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
