@@ -160,10 +160,10 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
 
 def accepted(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``; ``und`` is rejected."""
+    """The rows of ``docs`` whose language is known with at least ``min_score``, all columns, ``lang`` as predicted; ``und`` is rejected."""
     whole = docs.select("text", F.struct(*docs.columns).alias("row"))
-    judged = predict(whole, fit(docs), keep=("row",))
-    return judged.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")
+    judged = predict(whole, fit(docs), keep=("row",)).filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    return judged.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def identify(docs: DataFrame) -> DataFrame:

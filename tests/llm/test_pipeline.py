@@ -1,13 +1,14 @@
 """Every stage of the pipeline against plain Python on the stage's own input."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slotwise.llm import langid, mixing
-from slotwise.llm.common import documents
+from slotwise.llm.common import documents, held_out
 from tests.llm import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,6 +41,18 @@ def test_language_id_stage(stages):
     assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, lang in judged.items() if lang != "und")
 
 
+def test_language_found_reaches_the_result(spark, tmp_path):
+    """Rows without a language, or with a wrong one that is held out, carry the language of their text to the end."""
+    words = {"en": "the house of my old friend and his garden", "de": "der garten von einem alten freund und sein haus"}
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices(words[lang].split(), k=60)) + f" {lang}{i}", lang, "a", 9) for i, lang in enumerate(["en", "de"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = F.when(F.col("doc_id") < 10, None).when(held_out(F.col("doc_id")), "fr").otherwise(F.col("lang"))
+    docs.withColumn("lang", odd).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.lang for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert found == {r[0]: r[2] for r in rows if r[0] in found} and set(range(10)) & set(found)
+
+
 def test_line_dedup_stage(stages):
     before, after = stages["line_dedup"]
     want = brute.dedupe_lines(texts(before))
