@@ -24,7 +24,7 @@ from slotwise.operators.search import validate_requests
 from slotwise.plans import minutes as M
 from slotwise.plans.greedy import first_wins
 from slotwise.plans.ids import assign_ids
-from slotwise.plans.lineage import cut
+from slotwise.plans.lineage import cut, cut_even
 from slotwise.sources.tables import Tables, ensure_columns
 
 # Messages and constants of the reference's write routes.
@@ -377,34 +377,38 @@ def _code_decisions(requests: DataFrame, promotions: DataFrame) -> DataFrame:
     checkpointed every few rounds, so that the plan stays short.
     """
     key = "request_id"
-    pending = cut(requests.select(key, "id", "_ucode"))
+    shuffled = lambda df: df.hint("merge")
+    pending = cut_even(requests.select(key, "id", "_ucode"))
+
+    Every round joins by a shuffle, so that no round's rows go to the driver, and what is checkpointed is rebalanced
+    first: the number of partitions follows the rows that are left, however many rounds' rows are put together.
     asked, edited = pending.select(F.col("_ucode").alias("_code")).distinct(), pending.select(F.col("id").alias("_holder")).dropna().distinct()
     codes = promotions.select(F.upper("code").alias("_code"), F.col("id").alias("_holder"))
     # of the other promotions neither the code nor the holder can matter to any request
-    state = cut(codes.join(asked.withColumn("_asked", F.lit(True)), "_code", "left").join(edited.withColumn("_edited", F.lit(True)), "_holder", "left")
-                .filter("_asked OR _edited").select("_code", "_holder"))
+    state = cut_even(codes.join(shuffled(asked.withColumn("_asked", F.lit(True))), "_code", "left")
+                 .join(shuffled(edited.withColumn("_edited", F.lit(True))), "_holder", "left").filter("_asked OR _edited").select("_code", "_holder"))
     decided, rounds = None, 0
     while not pending.isEmpty():
         held = state.groupBy("_code").agg(F.min("_holder").alias("_holder"), F.max("_holder").alias("_last"))
-        p = pending.join(held, F.col("_ucode") == F.col("_code"), "left").drop("_code")
+        p = pending.join(shuffled(held), F.col("_ucode") == F.col("_code"), "left").drop("_code")
         touched = p.select(key, F.concat(F.lit("c"), F.col("_ucode")).alias("_what"))
         for c in ("id", "_holder", "_last"):
             touched = touched.unionByName(p.filter(F.col(c).isNotNull()).select(key, F.concat(F.lit("p"), F.col(c)).alias("_what")))
         first = touched.groupBy("_what").agg(F.min(key).alias("_first"))
-        waits = touched.join(first, "_what").filter(F.col("_first") < F.col(key)).select(key).distinct().withColumn("_waits", F.lit(True))
+        waits = touched.join(shuffled(first), "_what").filter(F.col("_first") < F.col(key)).select(key).distinct().withColumn("_waits", F.lit(True))
         edits = pending.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("_holder")).agg(F.min(key).alias("_edited"))
         clash = F.col("_holder").isNotNull() & ((F.col("_holder") != F.col("_last")) | ~F.col("_holder").eqNullSafe(F.col("id")))
         stuck = clash & (F.col("_holder") == F.col("_last")) & (F.coalesce("_edited", F.col(key)) >= F.col(key))
-        p = p.join(waits, key, "left").join(edits, "_holder", "left").withColumn("clash", clash).withColumn(
+        p = p.join(shuffled(waits), key, "left").join(shuffled(edits), "_holder", "left").withColumn("clash", clash).withColumn(
             "_done", F.col("_waits").isNull() | stuck)
-        p = cut(p.select(key, "id", "_ucode", "clash", "_done"))
+        p = cut_even(p.select(key, "id", "_ucode", "clash", "_done"))
         done = p.filter("_done").select(key, "clash")
         decided = done if decided is None else decided.unionByName(done)
         taken = p.filter("_done AND NOT clash")
-        state = state.join(taken.select(F.col("id").alias("_holder")).dropna(), "_holder", "left_anti").select("_code", "_holder").unionByName(
+        state = state.join(shuffled(taken.select(F.col("id").alias("_holder")).dropna()), "_holder", "left_anti").select("_code", "_holder").unionByName(
             taken.select(F.col("_ucode").alias("_code"), F.coalesce("id", -F.col(key)).alias("_holder")))
         rounds += 1
-        state = state if rounds % ROUNDS_PER_CUT else cut(state)
+        state = state if rounds % ROUNDS_PER_CUT else cut_even(state)
         pending = p.filter("NOT _done").select(key, "id", "_ucode")
     return requests.select(key, F.lit(False).alias("clash")).limit(0) if decided is None else decided
 
@@ -421,8 +425,8 @@ def upsert_promotions(t: Tables, requests: DataFrame, as_of=None) -> PromotionUp
     known = t.promotions.select("id", F.lit(True).alias("_known"))
     d = _fail(d.join(known, "id", "left"), F.col("id").isNotNull() & F.col("_known").isNull(), MSG_PROMO_NOT_FOUND)
     codes = _code_decisions(d.filter(F.col("reason").isNull()), t.promotions)
-    d = _fail(d.join(codes, "request_id", "left"), F.coalesce("clash", F.lit(False)), MSG_CODE_EXISTS).drop("clash")
-    ok, rejected = _split(cut(d))
+    d = _fail(d.join(codes.hint("merge"), "request_id", "left"), F.coalesce("clash", F.lit(False)), MSG_CODE_EXISTS).drop("clash")
+    ok, rejected = _split(cut_even(d))
     vals = {
         "code": F.col("_ucode"),
         "min_booking_amount": F.when(blank("min_booking_amount", True), F.lit(0)).otherwise(
