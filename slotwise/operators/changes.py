@@ -333,11 +333,12 @@ def settle_payments(t: Tables, requests: DataFrame, as_of) -> Settlement:
     d = _fail(d, F.col("_pending").isNull(), MSG_NOT_PAYABLE)
     d = _first_wins_rule(d, ["booking_id"], MSG_NOT_PAYABLE)
     first, rejected = _split(d)
-    paid = first.select(F.col("booking_id").alias("id"), F.lit("paid").alias("payment_status"))
-    pay = first.select("request_id", "booking_id", F.col("total_amount").cast("decimal(12,2)").alias("amount"),
-                       F.lit("online").alias("payment_method"), F.lit(None).cast("string").alias("transaction_id"),
-                       F.lit("completed").alias("status"), as_of_ts(as_of).alias("created_at"))
-    pay = assign_ids(pay, t.payments, [F.col("request_id")]).drop("request_id")
+    # numbering checkpoints the narrow rows; both tables go on from there
+    pay = assign_ids(first.select("request_id", "booking_id", F.col("total_amount").cast("decimal(12,2)").alias("amount")),
+                     t.payments, [F.col("request_id")])
+    paid = pay.select(F.col("booking_id").alias("id"), F.lit("paid").alias("payment_status"))
+    pay = pay.select("id", "booking_id", "amount", F.lit("online").alias("payment_method"), F.lit(None).cast("string").alias("transaction_id"),
+                     F.lit("completed").alias("status"), as_of_ts(as_of).alias("created_at"))
     return Settlement(merge_updates(t.bookings, paid, "id", ["payment_status"]),
                       t.payments.unionByName(pay.select(*t.payments.columns)), rejected)
 

@@ -2,7 +2,7 @@
 
 Beside the rows (partitioned by one column, as bookings by booking_date) stands a directory from key to partition,
 itself partitioned by blocks of keys. A batch of changes looks its keys up in the blocks they fall in, which names the
-partitions to read; their new contents are written to the shared checkpoint folder first and then replace those
+partitions to read; their new contents are written to a folder beside the rows first and then replace those
 partitions by a dynamic partition overwrite. All other partitions are neither read nor shuffled nor written.
 
 The change jobs need no change for this: given ``touched(keys)`` as their bookings they return the new contents of those
@@ -12,13 +12,14 @@ partitions, which ``overwrite`` puts in place.
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.operators.changes import merge_updates
-from slotwise.plans.lineage import cut
+from slotwise.sources.published import _hadoop
 from slotwise.sources.tables import write_table
 
 BLOCK = 1_000_000
@@ -68,9 +69,13 @@ class StoredTable:
 
     def overwrite(self, df: DataFrame) -> None:
         """Replace the partitions that ``df`` holds rows of by those rows, which must be all that belong there."""
-        kept = cut(df.select(*self.schema.fieldNames()))  # safe in the shared folder before anything is removed
-        kept.hint("rebalance", self.partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            self.partition).parquet(f"{self.path}/rows")
+        aside = f"{self.path}/aside-{uuid.uuid4().hex}"  # safe there before anything is removed
+        write_table(df.select(*self.schema.fieldNames()), aside, partition_by=[self.partition])
+        kept = self.spark.read.schema(self.schema).parquet(aside).select(*self.schema.fieldNames())
+        # its files hold one partition each, so they are brought together without a shuffle
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(f"{self.path}/rows")
+        fs, folder = _hadoop(self.spark, aside)
+        fs.delete(folder, True)
 
     def update(self, changes: DataFrame, columns: list[str], order: str | None = None) -> None:
         """``merge_updates`` of ``changes(key, columns...)`` in the partitions that hold the keys; unknown keys change nothing."""
@@ -85,7 +90,8 @@ class StoredTable:
 
 
 def create(df: DataFrame, path: str, key: str = "id", partition: str = "booking_date", block: int = BLOCK) -> StoredTable:
-    """Store ``df`` at ``path`` with its directory."""
+    """Store ``df`` at ``path`` with its directory, which is made from the stored rows: ``df`` is evaluated once."""
     table = StoredTable(df.sparkSession, path, df.schema, key, partition, block)
-    table.insert(df)
+    write_table(df, f"{path}/rows", mode="append", partition_by=[partition])
+    write_table(table._entries(table.rows()), f"{path}/directory", mode="append", partition_by=["_block"])
     return table
