@@ -227,10 +227,12 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of=None, strict: bool = Fa
     first_day, last_day = iv.agg(F.min("booking_date")).scalar(), iv.agg(F.max("booking_date")).scalar()
     existing = (t.bookings.filter((F.col("booking_status") == "confirmed") & F.col("booking_date").between(first_day, last_day))
                 .join(iv.select(*day).distinct(), day, "left_semi").select(*interval))
+    if strict:  # read three times; equal intervals block alike
+        existing = cut(existing.distinct())
     d = d.join(M.occupancy(existing), day, "left").withColumn(
         "reason", F.coalesce("reason", F.when(taken(F.col("hours"), strict), F.lit(MSG_TAKEN)))).drop("hours")
     if strict:  # intervals that cover no minute
-        distinct = existing.distinct().withColumn("id", F.lit(0))
+        distinct = existing.withColumn("id", F.lit(0))
         odd = blocked_rows(iv.filter(~proper()), distinct, strict, later_id=key).unionByName(
             blocked_rows(iv.filter(proper()), distinct.filter(~proper()), strict, later_id=key)).distinct().withColumn("_odd", F.lit(True))
         d = _fail(d.join(odd, key, "left"), F.col("_odd"), MSG_TAKEN).drop("_odd")
@@ -376,13 +378,13 @@ def _code_decisions(requests: DataFrame, promotions: DataFrame) -> DataFrame:
     and each round's rows are checkpointed once. The codes in force are those that
     requests ask for or give up; they follow from the rounds before and are
     checkpointed every few rounds, so that the plan stays short.
+
+    Every round joins by a shuffle, so that no round's rows go to the driver, and what is checkpointed is rebalanced
+    first: the number of partitions follows the rows that are left, however many rounds' rows are put together.
     """
     key = "request_id"
     shuffled = lambda df: df.hint("merge")
     pending = cut_even(requests.select(key, "id", "_ucode"))
-
-    Every round joins by a shuffle, so that no round's rows go to the driver, and what is checkpointed is rebalanced
-    first: the number of partitions follows the rows that are left, however many rounds' rows are put together.
     asked, edited = pending.select(F.col("_ucode").alias("_code")).distinct(), pending.select(F.col("id").alias("_holder")).dropna().distinct()
     codes = promotions.select(F.upper("code").alias("_code"), F.col("id").alias("_holder"))
     # of the other promotions neither the code nor the holder can matter to any request
