@@ -7,7 +7,8 @@ Training: at most ``PER_LANGUAGE`` labelled rows of each language (least hashes
 presence vectors come to the driver as bit maps of ``DIM / 8`` bytes each, however long the texts are. At most
 ``LANDMARKS`` of them, an equal share of each language, are the Nystrom landmarks: with K_mm = V S V', the features of a
 text are its kernel values to the landmarks times V S^(-1/2), and ridge regression in that space is fitted once per
-language, one against the rest.
+language, one against the rest. Bit maps are opened ``BLOCK`` at a time, and the model keeps those of its landmarks, so
+the driver never holds the sample's dense vectors; tasks open the landmarks once.
 
 Scoring: kernel values of a batch are one matrix product of its presence vectors with the landmarks', and its scores one
 more with the fitted map. The languages' scores are turned into shares by a softmax; the greatest share is the score.
@@ -20,6 +21,7 @@ repeated rows are scored alike; columns other than doc_id, text and lang are ign
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ PER_LANGUAGE = 300
 LANDMARKS = 128
 RIDGE = 1e-2
 SHARPNESS = 6.0
+BLOCK = 64
 ORDERS = (1, 2, 3)
 STRETCH = 1 << 20
 UND = "und"
@@ -58,11 +61,23 @@ def presence(text: str, seen: np.ndarray) -> np.ndarray:
     return found
 
 
+def _opened(bits: list[bytes]) -> np.ndarray:
+    """(rows, DIM) float32: the presence vectors of bit maps, each divided by the root of its size."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8)).reshape(len(bits), DIM).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    return x
+
+
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray  # (DIM, m) float32: presence of the landmarks, each divided by the root of its size
-    map: np.ndarray        # (m, languages) float32: Nystrom projection times ridge weights
+    bits: list[bytes]  # bit maps of the landmarks
+    map: np.ndarray    # (m, languages) float32: Nystrom projection times ridge weights
+
+    @cached_property
+    def landmarks(self) -> np.ndarray:
+        """(DIM, m) float32, opened where it is first used."""
+        return np.ascontiguousarray(_opened(self.bits).T)
 
     def scores(self, found: list[np.ndarray]) -> np.ndarray:
         """Regression scores of a batch of presence vectors."""
@@ -108,28 +123,28 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     names, bits = names[order], [bits[i] for i in order]
     languages = sorted(set(names))
     if not languages:
-        return Model([], np.zeros((DIM, 0), np.float32), np.zeros((0, 0), np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8)).reshape(len(names), DIM).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        return Model([], [], np.zeros((0, 0), np.float32))
     share = max(1, landmarks // len(languages))
     picked = np.concatenate([(own := np.flatnonzero(names == lang))[np.linspace(0, len(own) - 1, min(share, len(own))).astype(int)]
                              for lang in languages])
-    z = x[picked]
+    chosen = [bits[i] for i in picked]
+    z = _opened(chosen)
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     held = values > 1e-6 * values.max()
     project = vectors[:, held] / np.sqrt(values[held])
-    features = (x @ z.T).astype(np.float64) @ project
+    kernel = np.concatenate([_opened(bits[at:at + BLOCK]) @ z.T for at in range(0, len(bits), BLOCK)])
+    features = kernel.astype(np.float64) @ project
     goal = np.where(names[:, None] == np.array(languages, dtype=object)[None, :], 1.0, -1.0)
     weight = np.sqrt(len(names) / (len(languages) * np.array([(names == n).sum() for n in names])))[:, None]  # languages count alike
     f, g = features * weight, goal * weight
     beta = np.linalg.solve(f.T @ f + ridge * len(names) * np.eye(f.shape[1]) / len(languages), f.T @ g)
-    return Model(languages, np.ascontiguousarray(z.T), (project @ beta).astype(np.float32))
+    return Model(languages, chosen, (project @ beta).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), batch: int = 64) -> DataFrame:
     """The columns ``keep`` of ``docs`` plus ``lang_pred`` and ``score``; only ``text`` is an input of the prediction."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: DIM x landmarks floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: a bit map for each landmark
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
     schema = ", ".join([*[f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], "lang_pred string", "score double"])
 

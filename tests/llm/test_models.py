@@ -1,6 +1,9 @@
 """Language ID, toxicity and quality rules on small tables with nulls, empty texts, repeats and clashing columns."""
 
 import itertools
+import pickle
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -203,3 +206,20 @@ def test_powers_beyond_the_table_equal_repeated_products():
             want = want @ one
             want /= want.max()
         assert np.allclose(np.array(tagger.power(gap)).reshape(2, 2) / max(tagger.power(gap)), want, rtol=1e-9)
+
+
+def test_language_fit_never_holds_the_dense_sample(spark):
+    """The driver opens few bit maps at a time and keeps none dense: 600 dense vectors alone would be 79 MB."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["haus", "garten", "und"] if i % 2 else ["house", "garden", "and"], k=9)) + f" {i}", "de" if i % 2 else "en")
+            for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.training_sample(table).count() == 600
+    tracemalloc.start()
+    try:
+        model = langid.fit(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6 and len(pickle.dumps(model)) < 1e6
+    assert all((r.lang_pred == "de") == r.doc_id % 2 for r in langid.predict(table, model).collect())
