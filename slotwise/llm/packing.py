@@ -13,7 +13,7 @@ Ids come from a tokenizer file of the ``tokenizers`` library whose pre-tokenizer
 ``word_bpe_49k.json``: no token crosses white space, so ids of a text are those of its white-space separated words,
 one after the other. A worker remembers the ids of the words it has met, and those of their parts: a word of ASCII and
 Latin letters is cut as the tokenizer's own pattern does and only its unknown parts meet the BPE model; any other word is
-encoded whole. Either memory is bounded (two generations of ``MEMO`` entries). Words of more than ``LONG`` characters are not
+encoded whole. Letters alone are one part, and letters before closing marks are two, so most words need no pattern. Either memory is bounded (two generations of ``MEMO`` entries). Words of more than ``LONG`` characters are not
 remembered and are cut beside digits, where that tokenizer always cuts. Texts are worked through in stretches, so
 memory grows by 4 bytes a token only. The file has a fixed size and is broadcast.
 
@@ -29,6 +29,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,10 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 #: Words of ASCII and the Latin letters of U+00C0 to U+017F, but for U+0130: in composed form, each lower-cased to one letter.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _KNOWN = re.compile(f"[!-~{_LATIN}]+")
-_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^0-9{_LATIN}]+")
+_PART = re.compile(f"[{_LATIN}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^0-9{_LATIN}]+")  # letters first: no other branch can begin with one
+#: ASCII marks that follow each other in one part; the apostrophe may begin a part of its own.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+_ID = attrgetter("id")
 #: The set-up of the tokenizer file whose cuts ``_PART`` repeats.
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -100,11 +104,18 @@ class WordIds:
         self.cut = _PART.findall if (set_up["normalizer"], set_up["pre_tokenizer"]) == (KNOWN_NORMALIZER, KNOWN_PRE_TOKENIZER) else None
 
     def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize("".join(map(_BYTE.__getitem__, part.encode())))]).tobytes()
+        shown = part if part.isascii() else "".join(map(_BYTE.__getitem__, part.encode()))  # printable ASCII is written as itself
+        return array("I", map(_ID, self.model.tokenize(shown))).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if self.cut and _KNOWN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.parts.__getitem__, self.cut(word.lower())))
+        if self.cut and (word.isascii() and word.isprintable() or _KNOWN.fullmatch(word)) and "<|" not in word:
+            low = word.lower()
+            if low.isalpha():
+                return self.parts[low]
+            head = low.rstrip(_MARKS)
+            if head.isalpha():
+                return self.parts[head] + self.parts[low[len(head):]]
+            return b"".join(map(self.parts.__getitem__, self.cut(low)))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:

@@ -125,3 +125,14 @@ def test_another_tokenizer_file_is_encoded_word_by_word(tokenizer):
     assert coder.cut is None
     words = "it's a Été of 12 x's"
     assert np.frombuffer(coder.of(words), "<u4").tolist() == Tokenizer.from_str(text).encode(words, add_special_tokens=False).ids
+
+
+def test_letters_and_closing_marks_need_no_pattern(tokenizer):
+    coder = packing.WordIds(open(PATH, encoding="utf-8").read())
+    cut, seen = coder.cut, []
+    coder.cut = lambda word: seen.append(word) or cut(word)
+    texts = ["the Garden, (of) Été: wörter!&&& a.'s", "x_ y's, '' 's' rock'n'roll'... don't! '&' &&& we'll-- 3rd. \x7fa a\x01 İx ſt. ŉ, ſ'S"]
+    for text in texts:
+        assert np.frombuffer(coder.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {"the", "garden,", "été:", "wörter!&&&", "x_", "ſt.", "ŉ,"} & {*seen}
+    assert {"(of)", "a.'s", "don't!", "3rd."} <= {*seen}
