@@ -24,7 +24,7 @@ from slotwise.operators.search import validate_requests
 from slotwise.plans import minutes as M
 from slotwise.plans.greedy import first_wins
 from slotwise.plans.ids import assign_ids
-from slotwise.plans.lineage import cut, cut_even
+from slotwise.plans.lineage import cut, cut_even, cut_stored
 from slotwise.sources.tables import Tables, ensure_columns
 
 # Messages and constants of the reference's write routes.
@@ -304,15 +304,24 @@ def admit_reviews(t: Tables, requests: DataFrame, as_of=None) -> Outcome:
     Rating 1..5 → booking owned and 'completed' → no review of that booking yet
     (nor an earlier accepted request for it in this batch). One decision
     frame: each rule fills ``reason`` through a left join.
+
+    Requests are shuffled once, against completed bookings that know whether
+    they are reviewed, and what became of them is stored; only those still in
+    the running meet again for the first of each booking. Columns of the new
+    review go along only as long as a request may still become one.
     """
-    d = validate_requests(requests, "review").drop("valid")
+    carried = ["user_id", "booking_id", *[c for c in ("rating", "comment", "requested_at") if c in requests.columns]]
+    d = validate_requests(requests, "review")
+    d = d.select("request_id", "reason", "user_id", "booking_id", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in carried[2:]])
+    reviewed = t.reviews.select("booking_id").dropna().distinct().withColumn("_reviewed", F.lit(True))
     done = t.bookings.filter(F.col("booking_status") == "completed").select(
-        F.col("id").alias("booking_id"), "user_id", "court_id", F.lit(True).alias("_done"))
+        F.col("id").alias("booking_id"), "user_id", "court_id", F.lit(True).alias("_done")).join(reviewed, "booking_id", "left")
     d = _fail(d.join(done, ["booking_id", "user_id"], "left"), F.col("_done").isNull(), MSG_REVIEW_BOOKING)
-    reviewed = t.reviews.select("booking_id").dropna().distinct().withColumn("_reviewed", F.lit(True))
-    d = _fail(d.join(reviewed, "booking_id", "left"), F.col("_reviewed").isNotNull(), MSG_REVIEW_EXISTS)
-    d = _first_wins_rule(d, ["booking_id"], MSG_REVIEW_EXISTS)
-    first, rejected = _split(d)
+    d = _fail(d, F.col("_reviewed").isNotNull(), MSG_REVIEW_EXISTS)
+    judged = cut_stored(d.select("request_id", "reason", *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in (*carried, "court_id")]))
+    turns = cut_stored(_first_wins_rule(judged.filter(F.col("reason").isNull()), ["booking_id"], MSG_REVIEW_EXISTS))
+    first, late = _split(turns)
+    rejected = _split(judged)[1].unionByName(late)
     created = F.col("requested_at").cast("timestamp_ntz") if "requested_at" in requests.columns else as_of_ts(as_of)
     rows = first.select("request_id", "court_id", "user_id", "booking_id", F.col("rating").cast("int").alias("rating"),
                         F.col("comment").cast("string").alias("comment") if "comment" in first.columns

@@ -1,11 +1,16 @@
 """What must not grow with the tables: partitions of the rounds, evaluations of an input, the size of a task's input."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from slotwise.catalog import QUERIES
 from slotwise.operators import changes as CH
 from slotwise.operators import stored as ST
+from slotwise.plans.lineage import FREE_SHUFFLES, cut_stored
 from slotwise.session import SCALE_CONF
 from slotwise.sources.fixtures import fixture
+from tests import hand as H
 
 
 def test_rounds_of_code_decisions_neither_add_partitions_nor_broadcast(spark):
@@ -54,3 +59,46 @@ def test_queries_bound_what_a_task_reads_in_any_session(spark, small_dir):
         assert spark.conf.get(size) == SCALE_CONF[size] == "8MB"
     finally:
         spark.conf.set(size, SCALE_CONF[size])
+
+
+def test_reviews_are_judged_in_one_pass_over_their_requests(spark):
+    seen = spark.sparkContext.accumulator(0)
+    asked = [(1, 10, 1, 5), (2, 10, 1, 4), (3, 10, 2, 4), (4, 20, 1, 3), (5, 30, 1, 3), (6, 40, 1, 0), (7, 40, 1, 2),
+             (8, None, 1, 2), (9, 50, 1, None), (None, 60, 1, 5), (11, 60, 1, 5), (12, 70, 1, 6), (13, 70, 1, 1), (14, 70, 1, 1)]
+    requests = spark.createDataFrame(spark.sparkContext.parallelize(asked, 3).map(lambda r: (seen.add(1), (*r, f"text {r[0]}"))[1]),
+                                     "request_id long, booking_id long, user_id long, rating int, comment string")
+    done = [H.booking(i, court_id=i + 100, booking_status="completed") for i in (10, 20, 40, 50, 60, 70, 70)]  # 70 comes twice
+    t = H.tables(spark, bookings=[*done, H.booking(30)], reviews=[
+        H.row("reviews", id=7, court_id=120, user_id=1, booking_id=20, rating=1), H.row("reviews", id=8, court_id=1, user_id=1, rating=1)])
+    got = CH.admit_reviews(t, requests, "2001-06-15 12:00:00")
+    missing, exists, invalid = CH.MSG_REVIEW_BOOKING, CH.MSG_REVIEW_EXISTS, "Invalid rating"
+    assert sorted(map(tuple, got.rejected.collect())) == [
+        (2, exists), (3, missing), (4, exists), (5, missing), (6, invalid), (8, missing), (9, invalid), (12, invalid), (12, invalid),
+        (14, exists), (14, exists)]
+    new = got.table.filter("id > 8").orderBy("id").collect()
+    assert [r.id for r in new] == [9, 10, 11, 12, 13, 14] and [r.court_id for r in new] == [160, 110, 140, 160, 170, 170]
+    assert sorted((r.booking_id, r.rating, r.comment) for r in got.extra.collect()) == [
+        (10, 5, "text 1"), (40, 2, "text 7"), (60, 5, "text 11"), (60, 5, "text None"), (70, 1, "text 13"), (70, 1, "text 13")]
+    assert seen.value == len(asked)
+
+
+def test_rejected_reviews_do_not_make_the_bookings_again(spark, small_dir):
+    for query in ("admit_reviews", "admit_reviews_rejected"):
+        files = QUERIES[query](spark, small_dir).inputFiles()
+        assert files and not [f for f in files if small_dir in f]
+
+
+def test_a_stored_frame_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(FREE_SHUFFLES, None)
+    got = cut_stored(spark.range(0, 1000, 1, 4).repartition(5, "id").groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s")))
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:  # they are removed in the background
+        time.sleep(0.1)
+    assert not left and spark.conf.get(FREE_SHUFFLES, None) == setting
+    assert got.count() == 10 and got.agg(F.sum("s")).first()[0] == 499500
